@@ -1,0 +1,32 @@
+"""Documents with every awkward case, and brute-force versions of the operators."""
+
+import random
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, n_words string, row string"
+
+
+def some_docs(n=60, seed=3):
+    """Rows with nulls, empty and long texts, ties, repeated rows and columns with clashing names."""
+    rng = random.Random(seed)
+    vocab = [f"w{i}" for i in range(40)] + ["Été", "ÄB", "the", "Of"]
+    rows = []
+    for i in range(n):
+        text = "\n".join(" ".join(rng.choices(vocab, k=rng.randrange(3, 20))) for _ in range(rng.randrange(1, 8)))
+        rows.append((i, text, "en", f"s{i % 3}", len(text), "x", "y"))
+    long = " ".join(rng.choices(vocab, k=30_000))
+    same = rows[5][1]
+    rows += [
+        (100, None, None, None, None, None, None),
+        (None, "no id here at all", "en", "s1", 1, "x", "y"),
+        (101, "", "en", "s0", 0, "x", "y"),
+        (102, " \n\t ", "en", "s0", 0, "x", "y"),
+        (103, long, "en", "s0", len(long), "x", "y"),
+        (104, long + " tail", "en", "s0", len(long), "x", "y"),
+        (105, same, "en", "s2", 1, "x", "y"),
+        (106, same + " more", "en", "s2", 1, "x", "y"),
+        (107, "one two", "en", "s2", 1, "x", "y"),
+        (108, "one \\ <|im_end|> | two x\x0by z", "en", "s2", 1, "x", "y"),
+        rows[5],
+        rows[5],
+    ]
+    return rows

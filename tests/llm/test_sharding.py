@@ -1,0 +1,42 @@
+import zlib
+from collections import Counter
+
+import pytest
+
+from countloom.llm import sharding
+
+from .cases import DOCS, some_docs
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 64, 1000])
+def test_permutation_and_its_inverse(n):
+    seen = sharding.permute(range(n), n, 7)
+    assert sorted(seen.tolist()) == list(range(n))
+    assert sharding.permute(seen, n, 7, back=True).tolist() == list(range(n))
+
+
+def test_large_domain_stays_in_range():
+    n = (1 << 40) + 12345
+    x = [0, 1, n - 1, 999_999_999_999]
+    y = sharding.permute(x, n, 1)
+    assert (y >= 0).all() and (y < n).all()
+    assert sharding.permute(y, n, 1, back=True).tolist() == x
+
+
+def test_documents_against_brute_force(spark):
+    rows = some_docs()
+    got = sharding.shard_documents(spark.createDataFrame(rows, DOCS).repartition(5), shards=7).collect()
+    n = len(rows)
+    digest = lambda r: (r[0] is not None, r[0] or 0, zlib.crc32((r[1] or "").encode()), len((r[1] or "").encode()) + 8)
+    ranked = enumerate(sorted(map(digest, rows)))
+    want = sorted(((d[1] if d[0] else None, d[3], d[2], *sharding.place(i, n, 7, 20)) for i, d in ranked), key=str)
+    assert sorted(((r.doc_id, r["size"], r.text_crc32, r.shard, r.slot) for r in got), key=str) == want
+    counts = Counter(r.shard for r in got)
+    assert max(counts.values()) - min(counts.values()) <= 1
+    for s, c in counts.items():
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(c))
+    assert all(sharding.row_at(r.shard, r.slot, n, 7, 20) == r.row_no for r in got)
+
+
+def test_empty_table(spark):
+    assert sharding.shard_documents(spark.createDataFrame([], DOCS)).count() == 0

@@ -1,0 +1,79 @@
+import random
+import re
+
+import numpy as np
+import xxhash
+from pyspark.sql import functions as F
+
+from countloom.llm import simhash
+
+from .cases import DOCS, some_docs
+
+
+def slow_fingerprint(text):
+    ws = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if not ws:
+        return 0
+    hs = [xxhash.xxh64_intdigest(" ".join(ws[i : i + 4]).encode(), 42) for i in range(max(1, len(ws) - 3))]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
+def slow_components(fps):
+    left, out = set(fps), {}
+    while left:
+        todo, group = [left.pop()], set()
+        while todo:
+            x = todo.pop()
+            group.add(x)
+            near = {y for y in left if bin((x ^ y) & (2**64 - 1)).count("1") <= 4}
+            left -= near
+            todo += near
+        out |= {x: min(group) for x in group}
+    return out
+
+
+def test_documents_against_brute_force(spark):
+    rows = some_docs()
+    df = spark.createDataFrame(rows, DOCS)
+    fp = [slow_fingerprint(r[1]) for r in rows]
+    root = slow_components(fp)
+    least = {}
+    for r, f in zip(rows, fp):
+        if r[0] is not None:
+            least[root[f]] = min(least.get(root[f], r[0]), r[0])
+    want = sorted(((r[0], f"{f:016x}", least.get(root[f])) for r, f in zip(rows, fp)), key=str)
+    assert sorted(((r.doc_id, r.fingerprint, r.component_id) for r in simhash.group_documents(df).collect()), key=str) == want
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted({least.get(root[f]) for f in fp}, key=str)
+
+
+def test_hash_is_sparks(spark):
+    t = "été the quick Brown"
+    assert spark.range(1).select(F.xxhash64(F.lit(t))).first()[0] == np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).astype(np.int64)
+
+
+def test_chains_and_long_lists(spark, monkeypatch):
+    rng = random.Random(5)
+    fps = {0}
+    for _ in range(12):  # chains of small steps, and unrelated values
+        x = rng.getrandbits(64)
+        for _ in range(25):
+            fps.add(x)
+            for b in rng.sample(range(64), rng.randrange(1, 6)):
+                x ^= 1 << b
+    near = rng.getrandbits(32)
+    fps |= {near << 32 | rng.getrandbits(5) << 3 for _ in range(30)}
+    fps = sorted(fps)
+    df = spark.createDataFrame([(int(np.uint64(f).astype(np.int64)),) for f in fps], "fp long")
+    want = slow_components(fps)
+    for longest in (simhash.MAX_LIST, 3):
+        monkeypatch.setattr(simhash, "MAX_LIST", longest)
+        found = {r.node % 2**64: r.root % 2**64 for r in simhash.components(simhash.link_fingerprints(df)).collect()}
+        group = lambda m: {frozenset(k for k in fps if m.get(k, k) == r) for r in {m.get(k, k) for k in fps}}
+        assert group(found) == group(want)
+
+
+def test_empty(spark):
+    empty = spark.createDataFrame([], DOCS)
+    assert simhash.group_documents(empty).count() == 0 and simhash.keep_one(empty).count() == 0
