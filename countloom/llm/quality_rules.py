@@ -157,8 +157,9 @@ def learn_rules(labelled: DataFrame) -> list[Rule]:
     rows = rows.coalesce(4).persist()
     try:
         quantiles = rows.groupBy("bad").agg(*[F.percentile_approx("f_" + f, probs, 10_000).alias(f) for f in names]).collect()
-        cuts = {f: sorted({c for q in quantiles for c in q[f]}) for f in names} if len(quantiles) > 1 else {}
-        cuts = {f: cs for f, cs in cuts.items() if cs}
+        seen = {f: sorted({c for q in quantiles for c in q[f]}) for f in names} if len(quantiles) > 1 else {}
+        # Half-way between neighbouring quantiles of both kinds, so that a threshold touches neither.
+        cuts = {f: [(a + b) / 2 for a, b in zip(v, v[1:], strict=False)] for f, v in seen.items() if len(v) > 1}
         rules: list[Rule] = []
         left = rows
         while cuts and len(rules) < MAX_RULES:
