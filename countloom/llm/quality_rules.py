@@ -120,24 +120,27 @@ def _gain(p: float, n: float, p0: float, n0: float) -> float:
     return p * (log2((p + 1) / (p + n + 2)) - log2((p0 + 1) / (p0 + n0 + 2)))
 
 
-def _best_condition(rows: DataFrame, cuts: dict[str, list[float]], p0: int, n0: int) -> tuple[Condition, int, int] | None:
-    """The condition with the largest gain; all are counted by one grouped aggregation over bins."""
+def _best_condition(rows: DataFrame, cuts: dict[str, list[tuple[float, float]]], p0: int, n0: int) -> tuple[Condition, int, int] | None:
+    """The condition with the largest gain, of equal ones that with the widest gap around it.
+
+    cuts has thresholds with their gaps; all are counted by one grouped aggregation over bins.
+    """
     bins = F.array(
         *[
-            F.struct(F.lit(f).alias("f"), sum((F.when(F.col("f_" + f) > c, 1).otherwise(0) for c in cs), F.lit(0)).alias("b"))
+            F.struct(F.lit(f).alias("f"), sum((F.when(F.col("f_" + f) > c, 1).otherwise(0) for c, _ in cs), F.lit(0)).alias("b"))
             for f, cs in cuts.items()
         ]
     )
     counts = rows.select("bad", F.explode(bins).alias("x")).groupBy("x.f", "x.b").agg(F.sum("bad").alias("p"), F.sum(1 - F.col("bad")).alias("n")).collect()
-    best, most = None, 0.0
+    best, most = None, (0.0, 0.0)
     for f, cs in cuts.items():
-        for k, cut in enumerate(cs):
+        for k, (cut, gap) in enumerate(cs):
             hi = [r for r in counts if r["f"] == f and r["b"] > k]
             p, n = sum(r["p"] for r in hi), sum(r["n"] for r in hi)
             for above, pp, nn in ((True, p, n), (False, p0 - p, n0 - n)):
                 g = _gain(pp, nn, p0, n0)
-                if pp and g > most + 1e-9:
-                    best, most = (Condition(f, above, cut), pp, nn), g
+                if pp and g > 1e-9 and (round(g, 9), gap) > most:
+                    best, most = (Condition(f, above, cut), pp, nn), (round(g, 9), gap)
     return best
 
 
@@ -158,8 +161,8 @@ def learn_rules(labelled: DataFrame) -> list[Rule]:
     try:
         quantiles = rows.groupBy("bad").agg(*[F.percentile_approx("f_" + f, probs, 10_000).alias(f) for f in names]).collect()
         seen = {f: sorted({c for q in quantiles for c in q[f]}) for f in names} if len(quantiles) > 1 else {}
-        # Half-way between neighbouring quantiles of both kinds, so that a threshold touches neither.
-        cuts = {f: [(a + b) / 2 for a, b in zip(v, v[1:], strict=False)] for f, v in seen.items() if len(v) > 1}
+        # Half-way between neighbouring quantiles of both kinds, with the gap as a share of the feature's range.
+        cuts = {f: [((a + b) / 2, (b - a) / (v[-1] - v[0])) for a, b in zip(v, v[1:], strict=False)] for f, v in seen.items() if len(v) > 1}
         rules: list[Rule] = []
         left = rows
         while cuts and len(rules) < MAX_RULES:
