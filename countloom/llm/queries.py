@@ -6,13 +6,40 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, linededup, quality_rules, sharding, simhash
+from . import chat, decontam, html_template, linededup, lm, packing, quality_eb, quality_rules, sharding, simhash
+
+
+def tokenizer_path() -> str:
+    """The public byte-level BPE vocabulary; imported here only, so that the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(_table(spark, sf_dir, "documents"))
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_template.extract_pages(_table(spark, sf_dir, "pages"))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_eb.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
@@ -58,8 +85,14 @@ FROM marked GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op7_line_dedup, op8_chat_formatting, op9_quality_rules, op10_simhash_dedup)}
+    from corpus_pipeline import run
+
+    ops = (
+        op1_decontamination, op2_sharding, op3_packing, op4_lm_scoring, op5_html_extraction,
+        op6_quality_classifier, op7_line_dedup, op8_chat_formatting, op9_quality_rules, op10_simhash_dedup,
+    )
+    return {f.__name__: f for f in ops} | {"pipeline": run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": linededup.ORACLE_SQL, "op8_chat_formatting": _OP8_SQL}
+    return {"op5_html_extraction": html_template.ORACLE_SQL, "op7_line_dedup": linededup.ORACLE_SQL, "op8_chat_formatting": _OP8_SQL}
