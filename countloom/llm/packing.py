@@ -11,6 +11,8 @@ windows nor deficits stop at partitions, and no tokens are shuffled.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -32,40 +34,65 @@ MAX_QUEUES = 64
 REST = "\0rest"
 #: Entries of a worker's table of encoded words; it is emptied when full.
 _CACHE = 400_000
+#: Fixed value: how the byte-level pre-tokenizer cuts a text.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_BESIDE_SPACE = re.compile(r" \s|\s |^ | $")
 
 
-class Encoder:
-    """Token ids of texts by a tokenizers file whose ids are below 65536.
+def _byte_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
 
-    In byte-level BPE with this pre-tokenizer, a single space between two
-    other characters always begins a new piece, so texts are cut there and
-    each stretch is encoded once. Texts with other white space next to a
-    space go through the tokenizer whole.
+class Encoder:
+    """Token ids of texts by the vocabulary of a tokenizers file (byte-level BPE, ids below 65536 in merge order).
+
+    The merges run in tiktoken, built from the same file: it gives the same
+    ids in a third of the time (tests hold it against tokenizers). A single
+    space between two other characters always begins a new piece, so texts
+    are cut there and each stretch is encoded once; what is new in a batch is
+    encoded as one text and split by the tokens' lengths. Texts with other
+    white space next to a space are encoded whole.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            vocab = json.load(f)["model"]["vocab"]
+        of = _byte_of()
+        ranks = {bytes(map(of.__getitem__, t)): i for t, i in vocab.items() if all(c in of for c in t) and not t.startswith("<|")}
+        self.length = np.zeros(max(ranks.values()) + 1, np.int64)
+        for t, i in ranks.items():
+            self.length[i] = len(t)
+        self.bpe = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.known: dict[str, bytes] = {}
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=np.uint16).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, text: str) -> bytes:
-        """Ids as unsigned 16-bit values."""
-        parts = text.split(" ")
-        if len(parts) == 1 or any(not p or p[0].isspace() or p[-1].isspace() for p in parts):
-            return self._ids([text])[0]
-        known = self.known
-        parts = [parts[0], *[" " + p for p in parts[1:]]]
-        if new := list({p for p in parts if p not in known}):
-            if len(known) > _CACHE:
-                known.clear()
-                new = list(set(parts))
-            known.update(zip(new, self._ids(new), strict=True))
-        return b"".join(map(known.__getitem__, parts))
+    def whole(self, text: str) -> bytes:
+        return np.array(self.bpe.encode_ordinary(text), dtype=np.uint16).tobytes()
+
+    def _learn(self, new: list[str]) -> None:
+        """Encode " " + p for each new p at once."""
+        for at in range(0, len(new), 20_000):
+            some = [" " + p for p in new[at : at + 20_000]]
+            ids = np.array(self.bpe.encode_ordinary("".join(some)), dtype=np.uint16)
+            ends = np.searchsorted(np.cumsum(self.length[ids]), np.cumsum([len(p.encode()) for p in some])) + 1
+            raw, start = ids.tobytes(), 0
+            for p, e in zip(new[at : at + 20_000], ends.tolist(), strict=True):
+                self.known[p] = raw[2 * start : 2 * e]
+                start = e
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as unsigned 16-bit values."""
+        split = [None if _BESIDE_SPACE.search(t) else t.split(" ") for t in texts]
+        words = set().union(*(p[1:] for p in split if p))
+        if len(self.known) > _CACHE:
+            self.known.clear()
+        self._learn(list(words - self.known.keys()))
+        get = self.known.__getitem__
+        return [self.whole(t) if p is None else b"".join((self.whole(p[0]), *map(get, p[1:]))) for t, p in zip(texts, split, strict=True)]
 
 
 def _encode(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -75,7 +102,7 @@ def _encode(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
         for b in batches:
             for at in range(0, b.num_rows, 500):  # small batches out: ids of long texts add up
                 c = b.slice(at, 500)
-                ids = [encoder.encode(t.as_py() or "") + end for t in c.column(2)]
+                ids = [x + end for x in encoder.encode([t or "" for t in c.column(2).to_pylist()])]
                 n = [len(x) // 2 for x in ids]
                 start = []
                 for s, k in zip(c.column(1).to_pylist(), n, strict=True):
