@@ -48,38 +48,55 @@ def part_of(doc_id: int | None) -> int:
     return TEST if c % 5 == 1 else HELD if c // 5 % 5 == 0 else KEEP
 
 
-_CHUNK = "chunk long, doc_ids binary, lens binary, ids binary, vocab binary"
+_CHUNK = "chunk long, doc_ids binary, lens binary, ids binary, vocab binary, tokens long, words long"
+_CHUNK_COLUMNS = ["chunk", "doc_ids", "lens", "ids", "vocab", "tokens", "words"]
+
+
+class _Open:
+    """A chunk that still takes documents."""
+
+    def __init__(self):
+        self.docs: list[int | None] = []
+        self.ids: list[np.ndarray] = []
+        self.vocab: dict[bytes, int] = defaultdict(count().__next__)
+        self.total = 0
+
+    def add(self, doc: int | None, tokens: list[bytes]) -> None:
+        self.docs.append(doc)
+        self.ids.append(np.fromiter(map(self.vocab.__getitem__, tokens), np.int32, len(tokens)))
+        self.total += len(tokens)
+
+    def row(self, number: int) -> pa.RecordBatch:
+        """Words are numbered in the order of their hashes, which are kept as differences; ids as byte planes."""
+        words = np.fromiter((xxhash.xxh64_intdigest(w) for w in self.vocab), np.uint64, len(self.vocab))
+        order = np.argsort(words)
+        place = np.empty(len(words), np.int32)
+        place[order] = np.arange(len(words), dtype=np.int32)
+        ids = place[np.concatenate(self.ids)]
+        planes = zlib.compress(np.ascontiguousarray(ids.view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+        known = np.array([d is not None for d in self.docs])
+        docs = np.array([d or 0 for d in self.docs], np.int64).tobytes() + known.tobytes()
+        lens = np.array([len(x) for x in self.ids], np.int64).tobytes()
+        row = [pa.array([x], pa.binary()) for x in (docs, lens, planes, _pack_keys(words[order]))]
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *row, pa.array([self.total], pa.int64()), pa.array([len(words)], pa.int64())], _CHUNK_COLUMNS)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, made = TaskContext.get().partitionId(), count()
-    docs: list = []
-    lens: list[int] = []
-    ids: list[np.ndarray] = []
-    vocab: dict[bytes, int] = defaultdict(count().__next__)
-    total = 0
-
-    def close() -> pa.RecordBatch:
-        nonlocal total, vocab
-        words = np.fromiter((xxhash.xxh64_intdigest(w) for w in vocab), np.uint64, len(vocab))
-        known = np.array([d is not None for d in docs])
-        doc_ids = np.array([d or 0 for d in docs], np.int64)
-        row = [(part << 32) + next(made), doc_ids.tobytes() + known.tobytes(), np.array(lens, np.int64).tobytes(), np.concatenate(ids).tobytes(), words.tobytes()]
-        docs.clear(), lens.clear(), ids.clear()
-        vocab, total = defaultdict(count().__next__), 0
-        return pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), *(pa.array([x], pa.binary()) for x in row[1:])], ["chunk", "doc_ids", "lens", "ids", "vocab"])
-
+    """Chunks with odd numbers hold the deleted part, those with even numbers the rest."""
+    first, made = TaskContext.get().partitionId() << 32, count()
+    opened = [_Open(), _Open()]
     for b in batches:
         for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
             tokens = (text.as_py() or "").encode("utf-8", "replace").lower().split()
             tokens.append(_END)
-            docs.append(doc), lens.append(len(tokens))
-            ids.append(np.fromiter(map(vocab.__getitem__, tokens), np.int32, len(tokens)))
-            total += len(tokens)
-            if total >= CHUNK_TOKENS:
-                yield close()
-    if docs:
-        yield close()
+            held = part_of(doc) == HELD
+            opened[held].add(doc, tokens)
+            if opened[held].total >= CHUNK_TOKENS:
+                yield opened[held].row(first + 2 * next(made) + held)
+                opened[held] = _Open()
+    for held, chunk in enumerate(opened):
+        if chunk.docs:
+            yield chunk.row(first + 2 * next(made) + held)
 
 
 class Chunk:
@@ -90,12 +107,9 @@ class Chunk:
         n = len(raw) // 9
         self.doc_ids = [int(d) if k else None for d, k in zip(np.frombuffer(raw, np.int64, n), np.frombuffer(raw, bool, n, n * 8), strict=True)]
         self.lens = np.frombuffer(bytes(row.lens), np.int64)
-        ids, vocab = np.frombuffer(bytes(row.ids), np.int32), np.frombuffer(bytes(row.vocab), np.uint64)
-        rank = np.argsort(vocab)
-        place = np.empty(len(vocab), np.int64)
-        place[rank] = np.arange(len(vocab))
-        self.words = vocab[rank]
-        self.word = place[ids]  # each token's place in words
+        self.words = _unpack_keys(bytes(row.vocab))
+        planes = np.frombuffer(zlib.decompress(bytes(row.ids)), np.uint8).reshape(4, -1)
+        self.word = np.ascontiguousarray(planes.T).view(np.int32).ravel()  # each token's place in words
         ends = np.cumsum(self.lens)
         end_word = self.word[ends - 1][0]
         self.context = np.concatenate(([end_word], self.word[:-1]))  # the end of the text before stands for a start
@@ -274,14 +288,16 @@ def score_documents(docs: DataFrame) -> DataFrame:
     every word is unknown and the counts are 0.
     """
     chunks = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_chunks, _CHUNK), "chunks")
-    size = chunks.agg(F.sum(F.octet_length("vocab")) / 8, F.sum(F.octet_length("ids")) / 4).first()
+    size = chunks.agg(F.sum("words"), F.sum("tokens")).first()
     ranges = tuple(max(1, int((x or 0) // RANGE_KEYS) + 1) for x in size)
     blocks = chunks.mapInArrow(_blocks(ranges), _BLOCK)
     sums = materialize(blocks.groupBy("kind", "range").applyInPandas(_sum_range, _SUMS), "sums")
     got = sums.where("kind = 0").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("new_words", "new_kept", "tokens", "kept_tokens")]).first()
     types, kept_types, tokens, kept = (int(x) for x in got)
-    together = chunks.groupBy("chunk").cogroup(sums.select("kind", "range", "chunk", "keep", "held").groupBy("chunk"))
-    cells = together.applyInPandas(lambda a, b: _histogram(a, b, kept), "bucket long, bigram long, unigram long, n long")
+    back = sums.select("kind", "range", "chunk", "keep", "held")
+    together = chunks.groupBy("chunk").cogroup(back.groupBy("chunk"))
+    deleted = chunks.where("chunk % 2 = 1").groupBy("chunk").cogroup(back.where("chunk % 2 = 1").groupBy("chunk"))
+    cells = deleted.applyInPandas(lambda a, b: _histogram(a, b, kept), "bucket long, bigram long, unigram long, n long")
     # Cells are buckets by rounded logs: at most 64 x 700 x 700, and some thousands in practice, for any input.
     cells = cells.groupBy("bucket", "bigram", "unigram").agg(F.sum("n").alias("n")).toPandas()
     weights = fit_weights(cells, kept_types)
