@@ -1,0 +1,25 @@
+import corpus_pipeline
+from countloom.llm import simhash
+
+from .cases import DOCS, some_docs
+from .test_decontam import ITEM, planted
+
+
+def test_stages_on_awkward_rows(spark, tmp_path):
+    items, docs, leaks = planted()
+    spark.createDataFrame(some_docs() + docs, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, ITEM).write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    d = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    before = d
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        d = stage(spark, d, str(tmp_path))
+        assert d.columns == before.columns, name
+        d = d.cache()
+    left = {r.doc_id for r in d.collect()}
+    assert not left & {x for x, k in leaks}
+    groups = simhash.group_documents(d).collect()
+    assert len(groups) == len({r.component_id for r in groups})
+    assert d.where("text IS NULL").count() == 0
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in pieces} == left
