@@ -16,6 +16,7 @@ import re
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ SHARES = 1 << 16
 MAX_QUEUES = 64
 REST = "\0rest"
 #: Entries of a worker's table of encoded words; it is emptied when full.
-_CACHE = 400_000
+_CACHE = 1_000_000
 #: Fixed value: how the byte-level pre-tokenizer cuts a text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _BESIDE_SPACE = re.compile(r" \s|\s |^ | $")
@@ -95,9 +96,15 @@ class Encoder:
         return [self.whole(t) if p is None else b"".join((self.whole(p[0]), *map(get, p[1:]))) for t, p in zip(texts, split, strict=True)]
 
 
+@lru_cache(1)
+def _encoder(path: str) -> Encoder:
+    """One for a worker: its table serves all tasks that the worker runs."""
+    return Encoder(path)
+
+
 def _encode(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, sofar = Encoder(path), TaskContext.get().partitionId(), {}
+        encoder, part, sofar = _encoder(path), TaskContext.get().partitionId(), {}
         end = np.array([END_ID], np.uint16).tobytes()
         for b in batches:
             for at in range(0, b.num_rows, 500):  # small batches out: ids of long texts add up
