@@ -85,6 +85,31 @@ def fit_alpha(cal: DataFrame, y: str = "y", mu: str = "mu") -> float:
     return nll.agg(F.min_by("alpha", F.struct("nll", "i"))).first()[0]
 
 
+#: Nine weights and sixteen multipliers for the mixture.
+MIXTURE_WEIGHTS = [i / 10 for i in range(1, 10)]
+MIXTURE_MULTIPLIERS = [1.05 + 0.05 * i for i in range(16)]
+
+
+def mixture_losses(cal: DataFrame, weights: list[float], multipliers: list[float], max_count: int = 20) -> DataFrame:
+    """weight, multiplier and mean negative log likelihood of the two-part Poisson mixture at each grid point.
+
+    Counts repeat, so rows are grouped by (y, rounded mu) first.
+    """
+    cells = cal.groupBy(F.col("y").cast("int").alias("y"), F.round("mu", 4).alias("mu")).agg(F.count("*").alias("n"))
+    held = cells.select("*", F.explode(F.array(*[F.lit(float(m)) for m in multipliers])).alias("multiplier"))
+    at = lambda mu: F.element_at(dist.poisson_pmf(mu, max_count), F.least(F.col("y"), F.lit(max_count)) + 1)
+    held = held.withColumns({"a": at(F.col("mu") * F.col("multiplier")), "b": at(F.col("mu") / F.col("multiplier"))})
+    points = held.select("*", F.explode(F.array(*[F.lit(float(w)) for w in weights])).alias("weight"))
+    p = F.greatest(F.col("weight") * F.col("a") + (1 - F.col("weight")) * F.col("b"), F.lit(1e-12))
+    return points.groupBy("weight", "multiplier").agg((-F.sum(F.col("n") * F.ln(p)) / F.sum("n")).alias("nll"))
+
+
+def fit_mixture(cal: DataFrame) -> tuple[float, float]:
+    """Weight and multiplier with the least loss; the first in the grid's order among equals."""
+    losses = mixture_losses(cal, MIXTURE_WEIGHTS, MIXTURE_MULTIPLIERS)
+    return tuple(losses.agg(F.min_by(F.struct("weight", "multiplier"), F.struct("nll", "weight", "multiplier"))).first()[0])
+
+
 def score_rows(df: DataFrame, alpha: float, threshold: float = 6.5, max_count: int = 20) -> DataFrame:
     """abs_error, crps, dist_nll, p_over, y_over, over_brier and mid_pit for rows with y and mu."""
     out = df.withColumn("pmf", dist.nb2_pmf(F.col("mu"), alpha, max_count))
@@ -102,7 +127,7 @@ def fold_bounds(n: int, folds: int = 5) -> list[tuple[int, int]]:
     return [(n - (folds - i) * t, n - (folds - i - 1) * t) for i in range(folds)]
 
 
-def evaluate(df: DataFrame, kind: str, features: list[str], bounds: list[tuple[int, int]], cal_fraction: float = 0.2, threshold: float = 6.5) -> DataFrame:
+def evaluate(df: DataFrame, kind: str, features: list[str], bounds: list[tuple[int, int]], cal_fraction: float = 0.2, threshold: float = 6.5, **params) -> DataFrame:
     """Per-contest scores of a model over chronological folds; df has idx and the target total_goals.
 
     In each fold the last cal_fraction of the training rows calibrate the dispersion.
@@ -111,7 +136,7 @@ def evaluate(df: DataFrame, kind: str, features: list[str], bounds: list[tuple[i
     for fold, (lo, hi) in enumerate(bounds):
         n_cal = max(1, int(min(max(cal_fraction, 0.05), 0.5) * lo))
         fit, cal = df.where(F.col("idx") < lo - n_cal), df.where((F.col("idx") >= lo - n_cal) & (F.col("idx") < lo))
-        predict = fit_point_model(kind, fit, features)
+        predict = fit_point_model(kind, fit, features, **params)
         named = lambda d: predict(d).withColumn("y", F.col("total_goals"))  # noqa: B023, E731
         alpha = fit_alpha(named(cal))
         test = score_rows(named(df.where((F.col("idx") >= lo) & (F.col("idx") < hi))), alpha, threshold)

@@ -11,10 +11,10 @@ from pyspark.sql import Window as W
 
 from ..functions import distributions as dist
 from ..functions import scalars
-from ..operators import resample, rolling, scoring, tables
+from ..operators import rolling, scoring, tables
 from ..sources.games import SCHEDULE, games_view, parse_schedule
 from ..streaming import live
-from . import features, models
+from . import features, models, studies
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -345,34 +345,21 @@ def candidate_scores(spark, d) -> DataFrame:
     return models.score_rows(long, 0.0).drop("pmf")
 
 
-def candidate_metrics(scores: DataFrame) -> DataFrame:
-    return scores.groupBy("model").agg(F.avg("abs_error").alias("mae"), *[F.avg(c).alias(c) for c in ("crps", "dist_nll", "over_brier")])
-
-
 @query(f"{_CAND} SELECT model, round(mae, 6) AS mae, round(crps, 6) AS crps, round(dist_nll, 6) AS dist_nll, round(over_brier, 6) AS over_brier, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY score, mae, crps) AS INT) AS rank FROM sc")
 def candidate_ranking(spark, d):
-    return rounded(scoring.rank_candidates(scoring.weighted_score(candidate_metrics(candidate_scores(spark, d)), "team_strength")))
+    return rounded(scoring.rank_candidates(scoring.weighted_score(studies.metrics_by_model(candidate_scores(spark, d)), "team_strength")))
 
 
 @query()
 def champion_selection(spark, d):
     """Leader against the others by block bootstrap over weeks, Holm's correction, and the simplest equivalent model."""
-    scores = scoring.per_game_scores(candidate_scores(spark, d), "team_strength").withColumns({"game_key": F.col("game_pk"), "block_key": scalars.week_block(F.col("date"))})
-    ranked = scoring.rank_candidates(scoring.weighted_score(candidate_metrics(scores), "team_strength"))
-    names = [r["model"] for r in ranked.orderBy("rank").select("model").collect()]  # one row a model
-    of = lambda m: scores.where(F.col("model") == m).select("game_key", "block_key", "score")
-    tests = None
-    for i, name in enumerate(names[1:]):
-        t = resample.block_bootstrap(resample.block_sums(of(names[0]), of(name)), n_boot=1000).select(F.lit(i).alias("idx"), F.lit(name).alias("model_b"), F.col("p_value").alias("p"), "mean_diff")
-        tests = t if tests is None else tests.unionByName(t)
-    adjusted = scoring.holm(tests).withColumn("significant", F.col("p_holm") < 0.05)
-    return scoring.equivalence_champion(ranked, adjusted)
+    return studies.champion(candidate_scores(spark, d), n_boot=1000)
 
 
 @query(f"""{_CAND}, x AS (SELECT model, CASE WHEN score <= 0 THEN 0 ELSE least(1, score / 25) END AS p, row_number() OVER (ORDER BY model) AS idx FROM sc), h AS (SELECT *, row_number() OVER (ORDER BY p, idx) AS rn, count(*) OVER () AS m FROM x)
 SELECT model, round(p, 6) AS p, round(max(least(1, p * (m - rn + 1))) OVER (ORDER BY rn), 6) AS p_holm FROM h""")
 def holm_adjustment(spark, d):
-    sc = scoring.weighted_score(candidate_metrics(candidate_scores(spark, d)), "team_strength")
+    sc = scoring.weighted_score(studies.metrics_by_model(candidate_scores(spark, d)), "team_strength")
     t = sc.select("model", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score") / 25)).alias("p"), F.row_number().over(W.orderBy("model")).alias("idx"))
     return rounded(scoring.holm(t).select("model", "p", "p_holm"))
 
@@ -425,6 +412,16 @@ def cross_validation(spark, d):
     return rounded(models.fold_metrics(models.evaluate(g, "team_strength", [], models.fold_bounds(g.count(), 3))))
 
 
+@query(f"""{WITH}, g AS (SELECT m, 1 + 0.1 * m AS mult FROM (SELECT unnest(range(1, 4)) AS m)), c AS (SELECT y, round(mu, 4) AS mu, count(*) AS n FROM fc GROUP BY 1, 2),
+p AS (SELECT m, y, c.mu, n, k, exp(k * ln(mu * mult) - mu * mult - lgamma(k + 1)) AS a, exp(k * ln(mu / mult) - mu / mult - lgamma(k + 1)) AS b FROM c CROSS JOIN g CROSS JOIN (SELECT unnest(range(21)) AS k)),
+q AS (SELECT m, y, mu, any_value(n) AS n, sum(a) FILTER (WHERE k = least(y, 20)) / sum(a) AS a, sum(b) FILTER (WHERE k = least(y, 20)) / sum(b) AS b FROM p GROUP BY m, y, mu), w AS (SELECT *, unnest([1, 5, 9]) AS w FROM q)
+SELECT CAST(w AS INT) AS weight10, CAST(m AS INT) AS multiplier10, round(-sum(n * ln(greatest(w / 10.0 * a + (1 - w / 10.0) * b, 1e-12))) / sum(n), 5) AS nll FROM w GROUP BY 1, 2""")
+def mixture_grid(spark, d):
+    """Mean loss of the two-part Poisson mixture at some weights and multipliers (in tenths above 0 and 1)."""
+    grid = models.mixture_losses(forecasts(spark, d), [0.1, 0.5, 0.9], [1.1, 1.2, 1.3])
+    return grid.select(F.round(F.col("weight") * 10).cast("int").alias("weight10"), F.round(F.col("multiplier") * 10 - 10).cast("int").alias("multiplier10"), F.round("nll", 5).alias("nll"))
+
+
 @cache
 def registered() -> tuple[dict[str, Query], dict[str, str]]:
     return dict(QUERIES), dict(SQL)
