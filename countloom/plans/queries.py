@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cache
+from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,8 +11,9 @@ from pyspark.sql import Window as W
 
 from ..functions import distributions as dist
 from ..functions import scalars
-from ..operators import rolling, scoring, tables
-from ..sources.games import SCHEDULE, games_view, parse_schedule
+from ..operators import rolling, scoring, signals, tables
+from ..sources.games import BOXSCORE, SCHEDULE, games_view, parse_schedule, starters
+from ..sources.shared import written
 from ..streaming import live
 from . import features, models, studies
 
@@ -391,9 +392,128 @@ def latest_event(spark, d):
     return rounded(live.latest_state(ev, "user_id", ["ts", "event_id"], ["event_type", "value"]).drop("ts"))
 
 
+# --- expected goals and goalies -----------------------------------------------------------------
+
+
+def xg_games(spark, d) -> DataFrame:
+    """Expected goals of the contests: a 25th of the quantity of each side's lines; the key may repeat."""
+    q = lambda cond: F.sum(F.when(cond, F.col("l_quantity")).otherwise(0.0)) / 25
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").groupBy("l_orderkey").agg(q(F.col("l_returnflag") == "N").alias("home_xg"), q(F.col("l_returnflag") != "N").alias("away_xg"))
+    # A third of the contests is not in the feed.
+    return games_view(spark, d).where("game_pk % 3 <> 0").join(lines, F.col("game_pk") == F.col("l_orderkey")).select("season", "date", "home_team", "away_team", "home_xg", "away_xg")
+
+
+XG = """xg AS (SELECT season, date, home_team, away_team, h / 25 AS home_xg, a / 25 AS away_xg FROM games JOIN (SELECT l_orderkey, sum(CASE WHEN l_returnflag = 'N' THEN l_quantity ELSE 0 END) AS h, sum(CASE WHEN l_returnflag <> 'N' THEN l_quantity ELSE 0 END) AS a FROM lineitem GROUP BY 1) ON game_pk = l_orderkey WHERE game_pk % 3 <> 0),
+xl AS (SELECT season, date, team, opponent, avg(xgf) AS xgf, avg(xga) AS xga FROM (SELECT season, date, home_team AS team, away_team AS opponent, home_xg AS xgf, away_xg AS xga FROM xg UNION ALL SELECT season, date, away_team, home_team, away_xg, home_xg FROM xg) GROUP BY ALL)"""
+
+
+@query(f"""WITH {GAMES}, {LOG}, {XG} SELECT game_pk, team, round(xgf, 6) AS xgf, round(xga, 6) AS xga, round(avg(xgf) OVER (w ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 6) AS avg_xgf_5g, round(avg(xga) OVER (w ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 6) AS avg_xga_5g,
+round(avg(xgf) OVER (w ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), 6) AS avg_xgf_20g, round(avg(xga) OVER (w ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), 6) AS avg_xga_20g FROM log LEFT JOIN xl USING (season, date, team, opponent) WINDOW w AS (PARTITION BY team ORDER BY date, game_pk)""")
+def xg_features(spark, d):
+    out = signals.add_xg(log_of(spark, d), signals.xg_log(xg_games(spark, d)), (5, 20))
+    return rounded(out.select("game_pk", "team", "xgf", "xga", *[f"avg_{c}_{n}g" for n in (5, 20) for c in ("xgf", "xga")]))
+
+
+@query(f"WITH {GAMES}, {LOG}, {XG} SELECT round(count(xgf) / count(*), 6) AS match_rate, count(*) AS rows FROM log LEFT JOIN xl USING (season, date, team, opponent)")
+def xg_match_rate(spark, d):
+    return rounded(signals.match_rate(signals.add_xg(log_of(spark, d), signals.xg_log(xg_games(spark, d)), ())))
+
+
+def boxscores(spark, d) -> DataFrame:
+    """Boxscore payloads: an order's lines are its goalies, by flag on either side; read back from their text."""
+    saves, against = F.col("l_quantity").cast("int"), F.round(F.col("l_tax") * 100).cast("int")
+    goalie = F.struct(
+        F.col("l_suppkey").alias("playerId"), F.struct(F.col("l_suppkey").cast("string").alias("default")).alias("name"), (F.col("l_linenumber") == 3).alias("starter"),
+        F.concat_ws(":", saves.cast("string"), F.lpad((F.col("l_linenumber") * 7).cast("string"), 2, "0")).alias("toi"), saves.alias("saves"), (saves + against).alias("shotsAgainst"), against.alias("goalsAgainst"), (saves / (saves + against)).alias("savePctg"),
+    )
+    line = F.struct("l_linenumber", "l_suppkey", saves.alias("s"), against.alias("a"), (F.col("l_returnflag") == "N").alias("home"), goalie.alias("g"))
+    of = lambda home: F.struct(F.transform(F.filter("ls", lambda x: x.home == home), lambda x: x.g).alias("goalies"))
+    games = spark.read.parquet(f"{d}/lineitem.parquet").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("ls"))
+    raw = games.select(F.to_json(F.struct(F.col("l_orderkey").alias("game_pk"), F.struct(of(True).alias("homeTeam"), of(False).alias("awayTeam")).alias("playerByGameStats"))).alias("raw"))
+    return raw.select(F.from_json("raw", BOXSCORE).alias("j")).select("j.*")
+
+
+_SIDES = ", ".join(f"max(pid) FILTER (WHERE {c}) AS {s}_goalie_id, coalesce(max(saves) FILTER (WHERE {c}), 0) AS {s}_saves, coalesce(max(saves + ga) FILTER (WHERE {c}), 0) AS {s}_shots_against, coalesce(max(ga) FILTER (WHERE {c}), 0) AS {s}_goals_against" for s, c in (("home", "home"), ("away", "NOT home")))
+STARTERS = f"""gl AS (SELECT l_orderkey AS game_pk, l_returnflag = 'N' AS home, l_linenumber AS ln, l_suppkey AS pid, CAST(trunc(l_quantity) AS INT) AS saves, CAST(round(l_tax * 100) AS INT) AS ga FROM lineitem),
+gr AS (SELECT *, row_number() OVER (PARTITION BY game_pk, home ORDER BY CASE WHEN ln = 3 THEN 0 ELSE 1 END, saves * 60 + ln * 7 DESC, ln, pid, saves, ga) AS rn FROM gl WHERE ln <> 3
+  UNION ALL SELECT *, row_number() OVER (PARTITION BY game_pk, home ORDER BY pid, saves, ga) FROM gl WHERE ln = 3),
+gf AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY game_pk, home ORDER BY CASE WHEN ln = 3 THEN 0 ELSE 1 END) AS r1 FROM gr WHERE rn = 1) WHERE r1 = 1),
+st AS (SELECT game_pk, {_SIDES} FROM gf GROUP BY game_pk)"""
+
+
+@query(f"WITH {STARTERS} SELECT * FROM st")
+def boxscore_starters(spark, d):
+    return starters(boxscores(spark, d)).select("game_pk", *[f"{s}_{c}" for s in ("home", "away") for c in ("goalie_id", "saves", "shots_against", "goals_against")])
+
+
+_FORM = lambda s: f"""SELECT game_pk, round(CASE WHEN count(*) OVER w >= 3 AND sum({s}_shots_against) OVER w > 0 THEN sum({s}_saves) OVER w / sum({s}_shots_against) OVER w END, 6) AS {s}_goalie_sv_pct, round(CASE WHEN count(*) OVER w >= 3 THEN avg({s}_goals_against) OVER w END, 6) AS {s}_goalie_gaa
+FROM st JOIN games USING (game_pk) WHERE {s}_goalie_id IS NOT NULL WINDOW w AS (PARTITION BY {s}_goalie_id ORDER BY date, game_pk ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)"""
+
+
+@query(f"WITH {GAMES}, {STARTERS} SELECT games.game_pk AS game_pk, home_goalie_sv_pct, home_goalie_gaa, away_goalie_sv_pct, away_goalie_gaa FROM games LEFT JOIN ({_FORM('home')}) h ON h.game_pk = games.game_pk LEFT JOIN ({_FORM('away')}) a ON a.game_pk = games.game_pk")
+def goalie_features(spark, d):
+    out = signals.add_goalies(games_view(spark, d), starters(boxscores(spark, d)))
+    return rounded(out.select("game_pk", *[f"{s}_goalie_{c}" for s in ("home", "away") for c in ("sv_pct", "gaa")]))
+
+
 # --- models -------------------------------------------------------------------------------------
 
 
+def frame(spark, d, windows: tuple[int, ...] = (5,)) -> tuple[DataFrame, list[str]]:
+    """The contests that have all features, numbered in order of time and kept as a table, and the features' names."""
+    cols = features.feature_columns(windows)
+    # Written before the filter: pushed below the windows' projections, it would repeat all features' expressions.
+    every = written(features.add_features(games_view(spark, d), windows=windows), "features")
+    return written(models.indexed(features.complete_cases(every, cols)), "frame"), cols
+
+
+def halves(df: DataFrame, share: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    cut = int(share * df.count())
+    return df.where(F.col("idx") < cut), df.where(F.col("idx") >= cut)
+
+
+@query()
+def model_holdout(spark, d):
+    """Errors of five models on the last fifth of the contests, fitted on the others."""
+    df, cols = frame(spark, d)
+    train, test = halves(df)
+    kinds = {"poisson_glm": {}, "ridge": {}, "random_forest": {"trees": 20, "depth": 6}, "boosted_trees": {"trees": 5}}
+    fitted = {k: models.fit_point_model(k, train, cols, **p) for k, p in kinds.items()} | {"stacked": studies.fit_stack(train, cols, ("ridge", "poisson_glm"), folds=2)}
+    each = [f(test).select(F.lit(k).alias("model"), "mu", F.col("total_goals").alias("y")) for k, f in fitted.items()]
+    return rounded(scoring.point_metrics(reduce(DataFrame.unionByName, each), by=["model"]))
+
+
+@query()
+def feature_importance(spark, d):
+    """Permutation importance of some features of the ridge regression on the last fifth."""
+    df, cols = frame(spark, d)
+    train, test = halves(df)
+    names = ["combined_avg_total", "home_avg_total", "away_avg_total", "rest_advantage"]
+    return rounded(studies.permutation_importance(models.fit_point_model("ridge", train, cols), test.drop("idx"), names, repeats=2))
+
+
+@query()
+def parameter_search(spark, d):
+    """Trials of the ridge penalty over two folds."""
+    df, cols = frame(spark, d)
+    return studies.random_search(df, "ridge", cols, models.fold_bounds(df.count(), 2), {"alpha": (0.1, 100.0, "log")}, trials=3).select("trial", r6(F.col("params")["alpha"]).alias("alpha"), r6("mae").alias("mae"), "rank")
+
+
+@query()
+def ablation_study(spark, d):
+    """All 79 features against all but one family, on the last fifth."""
+    df, cols = frame(spark, d, features.WINDOWS)
+    n = df.count()
+    return rounded(studies.ablation(df, "ridge", cols, [(int(0.8 * n), n)]))
+
+
+@query()
+def locked_benchmark(spark, d):
+    """Gate, fixed hold-out, three candidates and their champion."""
+    df, cols = frame(spark, d)
+    return studies.locked_benchmark(df, cols)
+
+
 @query()
 def team_strength_holdout(spark, d):
     """Team-strength and double-Poisson means of the last fifth of the contests, fitted on the others."""

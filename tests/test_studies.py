@@ -41,3 +41,11 @@ def test_mixture_fit(spark):
     wide = spark.createDataFrame([(y, 4.0) for y in (0, 1, 1, 2, 2, 8, 9, 9, 10, 12)] * 4, "y int, mu double")
     weight, multiplier = models.fit_mixture(wide)
     assert 0.1 <= weight <= 0.9 and multiplier > 1.5
+
+
+def test_locked_benchmark_refuses_wrong_totals(spark):
+    import pytest
+
+    df = rolling.chronological_index(contests(spark)).withColumn("total_goals", F.col("total_goals") + (F.col("game_pk") == 3).cast("int"))
+    with pytest.raises(ValueError, match="1 totals differ"):
+        studies.locked_benchmark(df, ["strong"])
