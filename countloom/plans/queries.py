@@ -462,7 +462,7 @@ def goalie_features(spark, d):
 def frame(spark, d, windows: tuple[int, ...] = (5,)) -> tuple[DataFrame, list[str]]:
     """The contests that have all features, numbered in order of time and kept as a table, and the features' names."""
     cols = features.feature_columns(windows)
-    # Written before the filter: pushed below the windows' projections, it would repeat all features' expressions.
+    # Written before the filter, which would otherwise be planned together with all features' expressions.
     every = written(features.add_features(games_view(spark, d), windows=windows), "features")
     return written(models.indexed(features.complete_cases(every, cols)), "frame"), cols
 
