@@ -2,11 +2,16 @@
 
 The documents of a source are one queue of tokens. Every window of 1024
 tokens takes from each queue its share; what rounding leaves over is carried
-to the next window (the tokens given after j windows are the floor of j
-times the share, so a deficit is always below one token). When a queue runs
-dry, its share goes to the others in proportion. The whole schedule follows
-from the queues' lengths, so each task cuts its own documents: neither
-windows nor deficits stop at partitions, and no tokens are shuffled.
+to the next window. For that the queues are the leaves of a binary tree: of
+the first c tokens of a node, its left child has its share of c, rounded
+down, and its right child the others. So one more token is always one more
+of exactly one queue, none is given twice, and a queue can be found without
+the others by its path from the root. The tree is Huffman's: an inner node
+has at most two thirds of its parent's weight, so rounding adds up to a
+deficit of a few tokens at most, however many queues there are. When a queue
+runs dry, its share goes to the others in proportion. The whole schedule
+follows from the queues' lengths, so each task cuts its own documents:
+neither windows nor deficits stop at partitions, and no tokens are shuffled.
 """
 
 from __future__ import annotations
@@ -17,6 +22,7 @@ import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +34,6 @@ from pyspark.sql import Window as W
 from .common import materialize
 
 WINDOW, END_ID = 1024, 0
-#: Shares are whole parts of this; WINDOW * SHARES stays a power of two.
-SHARES = 1 << 16
 #: Sources beyond the largest ones share one queue.
 MAX_QUEUES = 64
 REST = "\0rest"
@@ -125,99 +129,147 @@ def _encode(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
 
 @dataclass(frozen=True)
 class Phase:
-    """Windows first .. first + count - 1. Queue q gives, after j of them, (j*cum[q+1] - j*cum[q]) * WINDOW / SHARES
-    tokens, each product rounded down; where fixed is set, there is one window with these tokens instead."""
+    """The tokens first .. first + size - 1 of all sequences laid end to end. of has, for each queue that gives
+    tokens, how many it gave before, how many it gives, and its path in the tree of queues from the root: a step
+    to the left child is the left child's share, a step to the right one is that share negated (in parts of ONE)."""
 
     first: int
-    count: int
-    base: tuple[int, ...]
-    cum: tuple[int, ...]
-    fixed: tuple[int, ...] | None = None
+    size: int
+    of: dict[int, tuple[int, int, tuple[int, ...]]]
+
+    @property
+    def count(self) -> int:
+        """Whole windows of the phase."""
+        return max(0, (self.first + self.size) // WINDOW - -(-self.first // WINDOW))
+
+
+#: Shares of a tree's left children are whole parts of this.
+_BITS = 62
+ONE = 1 << _BITS
+_HALF = _BITS // 2
+
+
+def _paths(weights: dict[int, int]) -> dict[int, tuple[int, ...]]:
+    """The path of each queue in the Huffman tree of the weights (all positive)."""
+    heap: list[tuple] = [(w, q, None) for q, w in sorted(weights.items())]
+    heapify(heap)
+    name = max(weights) + 1
+    while len(heap) > 1:
+        a, b = heappop(heap), heappop(heap)
+        heappush(heap, (a[0] + b[0], name, (a, b)))
+        name += 1
+    out, todo = {}, [(heap[0], ())]
+    while todo:
+        (w, q, children), path = todo.pop()
+        if children is None:
+            out[q] = path
+            continue
+        share = -(-(children[0][0] << _BITS) // w)
+        todo += [(children[0], (*path, share)), (children[1], (*path, -share))]
+    return out
 
 
-_SHIFT = (SHARES // WINDOW).bit_length() - 1
+def _given(c: int, path: tuple[int, ...]) -> int:
+    """Tokens of the queue among a phase's first c."""
+    for s in path:
+        c = c * s >> _BITS if s > 0 else c - (c * -s >> _BITS)
+    return c
 
 
-def _given(j: int, cum: list[int], q: int) -> int:
-    return (j * cum[q + 1] >> _SHIFT) - (j * cum[q] >> _SHIFT)
+def _until(m: int, path: tuple[int, ...]) -> int:
+    """The largest number of a phase's tokens that has at most m of the queue."""
+    for s in reversed(path):
+        m = ((m + 1 << _BITS) - 1) // s if s > 0 else (m << _BITS) // (ONE + s)
+    return m
 
 
 def schedule(lengths: list[int], targets: list[float]) -> list[Phase]:
-    """The phases that give out all tokens: at most two for each queue."""
-    left, taken = list(lengths), [0] * len(lengths)
+    """The phases that give out all tokens: at most one for each queue with a target, and one for the rest."""
+    left, taken = dict(enumerate(lengths)), [0] * len(lengths)
+    top = max(targets, default=0.0)
     phases, first = [], 0
-    while any(left):
-        live = [t if n else 0.0 for t, n in zip(targets, left, strict=True)]
-        if not sum(live):
-            live = [float(n) for n in left]
-        whole, run, cum = sum(live), 0.0, [0]
-        for x in live:
-            run += x
-            cum.append(round(SHARES * run / whole))
-        cum[-1] = SHARES
-        last = max(q for q, x in enumerate(live) if x)
-        cum = [SHARES if q > last else c for q, c in enumerate(cum)]
-        count = 0
-        step = 1 << max(0, sum(left) // WINDOW).bit_length()
-        while step:
-            if all(_given(count + step, cum, q) <= left[q] for q in range(len(left))):
-                count += step
-            step >>= 1
-        if count:
-            phases.append(Phase(first, count, tuple(taken), tuple(cum)))
-            first += count
-            for q in range(len(left)):
-                g = _given(count, cum, q)
-                taken[q], left[q] = taken[q] + g, left[q] - g
-        if any(left):
-            give = [min(n, _given(1, cum, q)) for q, n in enumerate(left)]
-            while (room := WINDOW - sum(give)) and (more := [q for q in range(len(left)) if give[q] < left[q]]):
-                for q in more:
-                    give[q] += (x := min(left[q] - give[q], -(-room // len(more)), WINDOW - sum(give)))
-            phases.append(Phase(first, 1, tuple(taken), (), tuple(give)))
-            first += 1
-            for q, g in enumerate(give):
-                taken[q], left[q] = taken[q] + g, left[q] - g
+    while left := {q: n for q, n in left.items() if n}:
+        live = {q: max(1, round(targets[q] / top * (1 << 50))) for q in left if targets[q] > 0}
+        # Weights in proportion to what is left end all queues together: the shares are rounded up, so that
+        # all of a node's tokens give its left child exactly the child's.
+        if not live or all(targets[q] == n for q, n in left.items()):
+            live = dict(left)
+        paths = _paths(live)
+        size = min(_until(left[q], p) for q, p in paths.items())
+        give = {q: _given(size, p) for q, p in paths.items()}
+        phases.append(Phase(first, size, {q: (taken[q], g, paths[q]) for q, g in give.items() if g}))
+        first += size
+        for q, g in give.items():
+            taken[q], left[q] = taken[q] + g, left[q] - g
     return phases
 
 
+def _part(c: np.ndarray, share: int) -> np.ndarray:
+    """c * share / ONE rounded down, by halves of 31 bits."""
+    s1, s0 = np.uint64(share >> _HALF), np.uint64(share & (1 << _HALF) - 1)
+    h, mask = np.uint64(_HALF), np.uint64((1 << _HALF) - 1)
+    c1, c0 = c >> h, c & mask
+    return c1 * s1 + (c1 * s0 + c0 * s1 + (c0 * s0 >> h) >> h)
+
+
+def cut_in_phase(starts: list[int], ends: list[int], first: int, size: int, base: int, path: tuple[int, ...]) -> tuple[np.ndarray, ...]:
+    """(number of the stretch, place in the queue, length, sequence, offset) of the pieces of some stretches of a
+    queue, all within the phase."""
+    window = lambda i: (first + _until(i - base, path)) // WINDOW
+    each = []
+    for a, b in zip(starts, ends, strict=True):
+        w0, w1 = window(a), window(b - 1)
+        # A rare source's tokens can be many windows apart.
+        each.append(np.arange(w0, w1 + 1) if w1 - w0 < b - a else np.unique([window(i) for i in range(a, b)]))
+    w = np.concatenate(each)
+    who = np.repeat(np.arange(len(starts)), [len(x) for x in each])
+    lo = np.clip(w * WINDOW - first, 0, size).astype(np.uint64)
+    hi = np.clip((w + 1) * WINDOW - first, 0, size).astype(np.uint64)
+    off = np.maximum(first - w * WINDOW, 0).astype(np.uint64)
+    for s in path:
+        x, y = _part(lo, abs(s)), _part(hi, abs(s))
+        if s < 0:
+            off += y - x
+            x, y = lo - x, hi - y
+        lo, hi = x, y
+    at, to, off = lo.astype(np.int64) + base, hi.astype(np.int64) + base, off.astype(np.int64)
+    s, e = np.maximum(at, np.array(starts, np.int64)[who]), np.minimum(to, np.array(ends, np.int64)[who])
+    use = e > s
+    return who[use], s[use], (e - s)[use], w[use], (off + s - at)[use]
+
+
 def cut(a: int, n: int, q: int, phases: list[Phase]) -> Iterator[tuple[int, int, int, int]]:
     """(tokens before, length, sequence, offset) of each piece of the document at a .. a+n-1 of queue q."""
-    end = a + n
-    for k, p in enumerate(phases):
-        base = p.base[q]
-        top = phases[k + 1].base[q] if k + 1 < len(phases) else end
-        lo, hi = max(a, base), min(end, top)
-        if lo >= hi:
-            continue
-        if p.fixed is not None:
-            yield lo - a, hi - lo, p.first, sum(p.fixed[:q]) + lo - base
-            continue
-        c0, c1 = p.cum[q], p.cum[q + 1]
-        rate = (c1 - c0) * WINDOW / SHARES
-        j0, j1 = max(0, int((lo - base) / rate) - 2), min(p.count, int((hi - base) / rate) + 3)
-        j = np.arange(j0, j1 + 1, dtype=np.int64)
-        before, upto = j * c0 >> _SHIFT, j * c1 >> _SHIFT
-        at = upto - before + base  # where window j begins in the queue
-        s, e = np.maximum(at[:-1], lo), np.minimum(at[1:], hi)
-        for i in np.flatnonzero(e > s).tolist():
-            yield int(s[i]) - a, int(e[i] - s[i]), p.first + int(j[i]), int(before[i + 1] - before[i] + s[i] - at[i])
+    for p in phases:
+        base, size, path = p.of.get(q, (0, 0, ()))
+        lo, hi = max(a, base), min(a + n, base + size)
+        if lo < hi:
+            _, s, k, seq, off = cut_in_phase([lo], [hi], p.first, p.size, base, path)
+            yield from zip((s - a).tolist(), k.tolist(), seq.tolist(), off.tolist(), strict=True)
 
 
 _PIECES = "doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def _cut(phases: list[Phase], with_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _cut(with_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [*(x.split()[0] for x in _PIECES.split(", ")), "ids"]
         kinds = [pa.int64(), pa.string(), *[pa.int64()] * 6, pa.binary()]
         for b in batches:
+            docs, sources, starts, firsts = (b.column(c).to_pylist() for c in ("doc_id", "source", "start", "first"))
+            groups: dict[tuple, list[int]] = {}
+            for i, key in enumerate(zip(sources, firsts, strict=True)):
+                groups.setdefault(key, []).append(i)
             rows: list[tuple] = []
-            for doc, source, start, q, ids in zip(*(b.column(c).to_pylist() for c in ("doc_id", "source", "start", "q", "ids")), strict=True):
-                whole = np.frombuffer(ids, np.uint16).astype("<u4")
-                for s, n, seq, off in cut(start, len(whole), q, phases):
-                    piece = whole[s : s + n].tobytes()
-                    rows.append((doc, source, s, n, zlib.crc32(piece), len(whole), seq, off, piece if with_ids else None))
+            for (source, first), rs in groups.items():
+                size, base, gives, path = (b.column(c)[rs[0]].as_py() for c in ("size", "base", "gives", "path"))
+                whole = [np.frombuffer(b.column("ids")[i].as_py(), np.uint16).astype("<u4") for i in rs]
+                lo = [max(starts[i], base) for i in rs]
+                hi = [min(starts[i] + len(x), base + gives) for i, x in zip(rs, whole, strict=True)]
+                for k, s, n, seq, off in zip(*(x.tolist() for x in cut_in_phase(lo, hi, first, size, base, path)), strict=True):
+                    s -= starts[rs[k]]
+                    piece = whole[k][s : s + n].tobytes()
+                    rows.append((docs[rs[k]], source, s, n, zlib.crc32(piece), len(whole[k]), seq, off, piece if with_ids else None))
             cols = list(zip(*rows, strict=True)) or [[]] * len(names)
             use = len(names) - (not with_ids)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols[:use], kinds[:use], strict=True)], names[:use])
@@ -230,33 +282,37 @@ def pack(docs: DataFrame, tokenizer: str, targets: dict[str, float] | None = Non
     (with_ids: and ids, little-endian unsigned 32-bit).
 
     targets: the wanted share of each source; those not named have none until
-    the named ones are used up. Without targets, each source's share is its
-    part of all tokens, so that all queues end together. The 63 largest
-    sources have a queue of their own; the others share one, whose target is
-    the sum of theirs.
+    the named ones are used up, and then go in proportion to their tokens.
+    Without targets, each source's share is its part of all tokens, so that
+    all queues end together. The 63 largest sources have a queue of their own;
+    the others share one, whose target is the sum of theirs.
 
     A null text is empty (its end id alone), a null source is the empty one.
     Repeated rows are documents of their own; an empty table has no pieces.
     Only the last sequence can be shorter than 1024.
     """
+    spark = docs.sparkSession
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source"), F.lit("")).alias("source"), "text")
     schema = "doc_id long, source string, part long, start_in_part long, n long, ids binary"
     tokens = materialize(given.mapInArrow(_encode(tokenizer), schema), "tokens")
     parts = materialize(tokens.groupBy("source", "part").agg(F.sum("n").alias("n")), "parts")
     largest = parts.groupBy("source").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "source").limit(MAX_QUEUES - 1).collect()
     own = sorted(r["source"] for r in largest)
-    queues = [*own, REST]
-    queue = F.when(F.col("source").isin(own), F.array_position(F.array(*[F.lit(s) for s in own]), F.col("source")) - 1).otherwise(len(own)) if own else F.lit(0)
-    parts = parts.withColumn("q", queue.cast("int"))
-    length = {r["q"]: r["n"] for r in parts.groupBy("q").agg(F.sum("n").alias("n")).collect()}
-    lengths = [length.get(q, 0) for q in range(len(queues))]
-    if targets is None:
-        wanted = [float(n) for n in lengths]
-    else:
-        wanted = [targets.get(s, 0.0) for s in own] + [sum(v for s, v in targets.items() if s not in own)]
-    phases = schedule(lengths, wanted)
+    parts = parts.withColumn("queue", F.when(F.col("source").isin(own), F.col("source")).otherwise(REST))
+    lengths = {r["queue"]: r["n"] for r in parts.groupBy("queue").agg(F.sum("n").alias("n")).collect()}
+    queues = sorted(lengths)
+    share = lambda s: targets.get(s, 0.0) if s != REST else sum(v for k, v in targets.items() if k not in own)
+    wanted = [float(lengths[s]) if targets is None else share(s) for s in queues]
+    phases = schedule([lengths[s] for s in queues], wanted)
+    rows = [(queues[q], p.first, p.size, base, gives, list(path)) for p in phases for q, (base, gives, path) in p.of.items()]
+    plan = materialize(spark.createDataFrame(rows, "queue string, first long, size long, base long, gives long, path array<long>"), "plan")
     # A row for each source and input partition; the window orders them within a queue.
-    order = W.partitionBy("q").orderBy("part", "source").rowsBetween(W.unboundedPreceding, -1)
-    starts = materialize(parts.select("source", "part", "q", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before")), "starts")
-    placed = tokens.join(starts, ["source", "part"]).select("doc_id", "source", (F.col("before") + F.col("start_in_part")).alias("start"), "q", "ids")
-    return placed.mapInArrow(_cut(phases, with_ids), _PIECES + (", ids binary" if with_ids else ""))
+    order = W.partitionBy("queue").orderBy("part", "source").rowsBetween(W.unboundedPreceding, -1)
+    starts = parts.select("source", "part", "queue", "n", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))
+    # ... and for each phase in which it gives tokens.
+    inside = (F.col("base") < F.col("before") + F.col("n")) & (F.col("base") + F.col("gives") > F.col("before"))
+    starts = materialize(starts.join(plan, "queue").where(inside).drop("n", "queue"), "starts")
+    start = F.col("before") + F.col("start_in_part")
+    placed = tokens.join(starts, ["source", "part"]).where((F.col("base") < start + F.col("n")) & (F.col("base") + F.col("gives") > start))
+    placed = placed.select("doc_id", "source", start.alias("start"), "ids", "first", "size", "base", "gives", "path")
+    return placed.mapInArrow(_cut(with_ids), _PIECES + (", ids binary" if with_ids else ""))

@@ -50,6 +50,23 @@ def test_schedule_gives_out_every_token_once(lengths, targets):
                 assert abs(got - packing.WINDOW * t / whole) <= 2
 
 
+@pytest.mark.parametrize("small,targets", [([1015, 900, 513, 7, 1, 0], None), ([1015, 900, 513, 7, 1, 0], [0.35, 0.0002, 0.0003, 0.64, 0.0001, 0.0, 0.0094, 1e-7]), ([300] * 500, None)])
+def test_small_queues_over_many_windows(small, targets):
+    lengths = [1_800_000, *small, 3_300_000]
+    phases = packing.schedule(lengths, targets or [float(n) for n in lengths])
+    assert len(phases) <= 1 + len(lengths) * bool(targets)
+    spans, whole = [], sum(lengths)
+    for q, n in enumerate(lengths):
+        pieces = [p for a in range(0, n, 700) for p in ((a + s, k, w, off) for s, k, w, off in packing.cut(a, min(700, n - a), q, phases))]
+        assert [p[0] for p in pieces] == np.cumsum([0, *[p[1] for p in pieces]])[:-1].tolist() and sum(p[1] for p in pieces) == n
+        spans += [(w * packing.WINDOW + off, k) for _, k, w, off in pieces]
+        assert all(k > 0 and 0 <= off and off + k <= packing.WINDOW for _, k, _, off in pieces)
+        if targets is None:  # the carried deficit stays small at any place of the queue
+            assert all(abs(s - w * packing.WINDOW * n / whole) <= packing.WINDOW * n / whole + 5 for s, _, w, _ in pieces)
+    spans.sort()
+    assert [a for a, _ in spans] == np.cumsum([0, *[k for _, k in spans]])[:-1].tolist()
+
+
 def test_documents_against_their_ids(spark, tokenizer):
     rows = some_docs() + [(109, "null source", None, None, 1, "x", "y")]
     got = packing.pack(spark.createDataFrame(rows, DOCS).repartition(3), tokenizer_path(), {"s0": 0.5, "s1": 0.5}, with_ids=True).collect()
