@@ -34,9 +34,6 @@ from pyspark.sql import Window as W
 from .common import materialize
 
 WINDOW, END_ID = 1024, 0
-#: Sources beyond the largest ones share one queue.
-MAX_QUEUES = 64
-REST = "\0rest"
 #: Entries of a worker's table of encoded words; it is emptied when full.
 _CACHE = 1_000_000
 #: Fixed value: how the byte-level pre-tokenizer cuts a text.
@@ -284,8 +281,8 @@ def pack(docs: DataFrame, tokenizer: str, targets: dict[str, float] | None = Non
     targets: the wanted share of each source; those not named have none until
     the named ones are used up, and then go in proportion to their tokens.
     Without targets, each source's share is its part of all tokens, so that
-    all queues end together. The 63 largest sources have a queue of their own;
-    the others share one, whose target is the sum of theirs.
+    all queues end together. Every source has a queue of its own; the driver
+    holds one row for each source while it makes the schedule.
 
     A null text is empty (its end id alone), a null source is the empty one.
     Repeated rows are documents of their own; an empty table has no pieces.
@@ -296,22 +293,18 @@ def pack(docs: DataFrame, tokenizer: str, targets: dict[str, float] | None = Non
     schema = "doc_id long, source string, part long, start_in_part long, n long, ids binary"
     tokens = materialize(given.mapInArrow(_encode(tokenizer), schema), "tokens")
     parts = materialize(tokens.groupBy("source", "part").agg(F.sum("n").alias("n")), "parts")
-    largest = parts.groupBy("source").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "source").limit(MAX_QUEUES - 1).collect()
-    own = sorted(r["source"] for r in largest)
-    parts = parts.withColumn("queue", F.when(F.col("source").isin(own), F.col("source")).otherwise(REST))
-    lengths = {r["queue"]: r["n"] for r in parts.groupBy("queue").agg(F.sum("n").alias("n")).collect()}
+    lengths = {r["source"]: r["n"] for r in parts.groupBy("source").agg(F.sum("n").alias("n")).collect()}
     queues = sorted(lengths)
-    share = lambda s: targets.get(s, 0.0) if s != REST else sum(v for k, v in targets.items() if k not in own)
-    wanted = [float(lengths[s]) if targets is None else share(s) for s in queues]
+    wanted = [float(lengths[s]) if targets is None else targets.get(s, 0.0) for s in queues]
     phases = schedule([lengths[s] for s in queues], wanted)
     rows = [(queues[q], p.first, p.size, base, gives, list(path)) for p in phases for q, (base, gives, path) in p.of.items()]
-    plan = materialize(spark.createDataFrame(rows, "queue string, first long, size long, base long, gives long, path array<long>"), "plan")
+    plan = materialize(spark.createDataFrame(rows, "source string, first long, size long, base long, gives long, path array<long>"), "plan")
     # A row for each source and input partition; the window orders them within a queue.
-    order = W.partitionBy("queue").orderBy("part", "source").rowsBetween(W.unboundedPreceding, -1)
-    starts = parts.select("source", "part", "queue", "n", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))
+    order = W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    starts = parts.select("source", "part", "n", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))
     # ... and for each phase in which it gives tokens.
     inside = (F.col("base") < F.col("before") + F.col("n")) & (F.col("base") + F.col("gives") > F.col("before"))
-    starts = materialize(starts.join(plan, "queue").where(inside).drop("n", "queue"), "starts")
+    starts = materialize(starts.join(plan, "source").where(inside).drop("n"), "starts")
     start = F.col("before") + F.col("start_in_part")
     placed = tokens.join(starts, ["source", "part"]).where((F.col("base") < start + F.col("n")) & (F.col("base") + F.col("gives") > start))
     placed = placed.select("doc_id", "source", start.alias("start"), "ids", "first", "size", "base", "gives", "path")

@@ -1,5 +1,5 @@
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -85,5 +85,20 @@ def test_documents_against_their_ids(spark, tokenizer):
         assert np.frombuffer(b"".join(p for _, p in pieces), "<u4").tolist() == x
 
 
+def test_each_of_many_sources_keeps_its_share(spark):
+    text = "some words of a text " * 40
+    rows = [(i, text, "en", f"s{i % 80}", 1, "x", "y") for i in range(800)] + [(1000 + i, text, "en", "rare", 1, "x", "y") for i in range(5)]
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    got = packing.pack(df, tokenizer_path()).collect()
+    whole = sum(r.length for r in got)
+    of = Counter((r.sequence_id, r.source) for r in got for _ in range(r.length))
+    for seq in range(whole // packing.WINDOW):  # every window has every source in proportion
+        assert all(abs(of[seq, f"s{k}"] - packing.WINDOW * 10 / 805) <= 4 for k in range(80)), seq
+    got = packing.pack(df, tokenizer_path(), {"rare": 0.5, "s3": 0.5}).collect()
+    of = Counter((r.sequence_id, r.source) for r in got for _ in range(r.length))
+    assert abs(of[0, "rare"] - 512) <= 2 and abs(of[0, "s3"] - 512) <= 2
+    assert sum(r.length for r in got) == whole == sum({r.doc_id: r.doc_tokens for r in got}.values())
+
+
 def test_empty(spark):
     assert packing.pack(spark.createDataFrame([], DOCS), tokenizer_path()).count() == 0
