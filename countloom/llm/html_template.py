@@ -1,22 +1,27 @@
 """Main text by equivalence-class template deduction over the pages of a host.
 
-A page is a sequence of tokens: block tags with the path of block tags around
-them, and whole texts with that path. Tokens with the same occurrence vector
-over the pages of their host (how often on which page) form an equivalence
-class. A class is valid if it is on enough pages and its tokens keep their
-order; valid classes of tags nest in each other and make up the host's
-template, and what stands between their tokens are its slots. A slot's path
-tells its role; the slots of the article are extracted, and repeated texts
-outside an article are part of the template, not content.
+A page is a sequence of tokens: start and end of each block element, with the
+path of block elements around it, and whole block texts with that path. Tokens
+with the same occurrence vector over the pages of their host (how often on
+which page) form an equivalence class. A class that is on enough pages makes
+up the host's template if it is valid: its tokens come in one order on each
+page and its occurrences nest in those of other classes without crossing.
+What stands between a template's tokens are its slots. A text that is itself
+a token of a valid class of elements is template; all other text is content
+of the slot it stands in. The slots' amounts of text over all pages of the
+host tell which element holds the main text, and its slots are extracted.
+Names of tags and classes only take slots out again (menus, adverts, comments).
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -26,63 +31,100 @@ from .common import materialize
 
 #: A class is part of the template if so large a share of the host's pages has it, and so many pages.
 SHARE, MIN_PAGES = 0.3, 3
+#: A class with a larger share of pages on which it is out of order or crosses another is not valid.
+MAX_BAD = 0.1
+#: The main element is the deepest one that holds so large a share of the slots' text.
+MAIN_SHARE = 0.8
 #: Tags that carry no text of a page.
 SILENT = frozenset("script style noscript template head title svg math iframe object canvas select textarea button datalist".split())
 #: Tags that stand around the article.
-ASIDE = frozenset("nav header footer aside form menu dialog".split())
+ASIDE = frozenset("nav footer aside form menu dialog".split())
 MAIN = frozenset("article main".split())
+#: Tags that can hold a page's main text as a whole.
+HOLDERS = frozenset("html body div section center td".split()) | MAIN
 #: Tags that run within a line of text.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark output q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Tags whose start ends an open one of the same kind.
 SELF_CLOSING = frozenset("p li dt dd tr td th option".split())
-_ROLE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|sidebar|side|nav\w*|menu|breadcrumbs?|header|footer|masthead|cookies?|consent|notice|popup|modal|share|social|related|comments?|reply|replies|discussion|respond|newsletter|subscribe|login|search|toolbar|widget|pagination|pager)(?:$|[\s_-])",
-    re.I,
-)
+#: Tags whose start ends an open paragraph.
+ENDS_P = frozenset("address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup main menu nav ol p pre section table ul".split())
+_LIMITS = frozenset("ul ol dl table select div section".split()) | MAIN | ASIDE
+#: Words of a class, id or role that tell what is not content, and words that may stand beside them.
+ASIDE_WORDS = frozenset("ad ads advert advertisement banner sponsor sponsored promo sidebar nav navbar navigation menu breadcrumb breadcrumbs footer cookie cookies consent notice popup modal share sharing social related comment comments reply replies disqus newsletter subscribe login search toolbar widget pagination pager".split())
+HEADER_WORDS = frozenset("header masthead".split())
+BESIDE_WORDS = frozenset("site page main top bottom left right box bar block list item items wrap wrapper container area section slot unit button buttons link links post posts article entry user reader form inner outer".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(script|style|noscript|template|svg|math|iframe|title|textarea)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)|</?[A-Za-z](?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>|$)|[^<]+|<", re.S | re.I)
 _NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _SPACE = re.compile(r"\s+")
-_OFF, _MAIN, _PLAIN = "off", "main", ""
+_PARTS = re.compile(r"[\s_-]+")
+OPEN, CLOSE, TEXT = 0, 1, 2
+#: Marks at the end of an element's label: never content, not content by its name, content only inside the main element.
+_NEVER, _NAMED, _HEADER = "!", "~", "^"
 
 
-def _role(name: str, tag: str) -> str:
-    """off: not content; main: the article; or neither."""
-    if name in SILENT or name in ASIDE:
-        return _OFF
+def _label(name: str, tag: str) -> str:
+    """name.class with a mark of the element's role, for paths."""
     marks = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(tag[len(name) + 1 :])} if len(tag) > len(name) + 2 else {}
-    if "hidden" in marks or marks.get("aria-hidden") == "true" or "display:none" in marks.get("style", "").replace(" ", ""):
-        return _OFF
-    said = " ".join(marks.get(k, "") for k in ("class", "id", "role"))
-    if name in MAIN or marks.get("role") == "main":
-        return _MAIN
-    return _OFF if said and name not in ("html", "body") and _ROLE.search(said) else _PLAIN
-
-
-def read_page(html: str) -> list[tuple[str, str, str]]:
-    """(kind, path, text) in page order: kind is tag, or the role of a text's surroundings; texts are blocks, decoded."""
-    out: list[tuple[str, str, str]] = []
-    stack: list[tuple[str, str, str]] = []  # name, label, role
+    kinds = [k for k in marks.get("class", "").lower().replace("/", "_").split() if sum(map(str.isdigit, k)) < 2]  # numbered names are the page's own
+    out = ".".join([name, *sorted(kinds)])
+    if name in SILENT or "hidden" in marks or marks.get("aria-hidden") == "true" or "display:none" in marks.get("style", "").replace(" ", ""):
+        return out + _NEVER
+    if name in ASIDE:
+        return out + _NAMED
+    for said in [*kinds, marks.get("id", "").lower(), marks.get("role", "").lower()] if marks and name not in ("html", "body", *MAIN) else ():
+        parts = set(_PARTS.split(said))
+        if parts & ASIDE_WORDS and parts <= ASIDE_WORDS | BESIDE_WORDS:
+            return out + _NAMED
+        if parts & HEADER_WORDS and parts <= HEADER_WORDS | BESIDE_WORDS:
+            return out + _HEADER
+    return out + _HEADER if name == "header" else out
+
+
+@dataclass
+class Page:
+    """A page's tokens: for each its kind, the number of its path and, for texts, the text."""
+
+    paths: list[str] = field(default_factory=list)
+    kinds: list[int] = field(default_factory=list)
+    at: list[int] = field(default_factory=list)
+    texts: list[str] = field(default_factory=list)
+
+    def keys(self) -> list[int]:
+        """A signed 64-bit hash for each token."""
+        h = xxhash.xxh64_intdigest
+        tags = [(h(p) - (1 << 63), h("/" + p) - (1 << 63)) for p in self.paths]
+        said = iter(self.texts)
+        return [h(f"{self.paths[a]}\0{next(said)}") - (1 << 63) if k == TEXT else tags[a][k] for k, a in zip(self.kinds, self.at, strict=True)]
+
+
+def read_page(html: str) -> Page:
+    """The tokens of a page; texts are whole blocks, decoded, with single spaces. Unclosed elements end where they must."""
+    page, known = Page(), {}
+    stack: list[tuple[str, int]] = []  # name, number of the path
     line: list[str] = []
 
+    def number(path: str) -> int:
+        if path not in known:
+            known[path] = len(page.paths)
+            page.paths.append(path)
+        return known[path]
+
     def flush() -> None:
         text = _SPACE.sub(" ", "".join(line)).strip()
         line.clear()
         if text:
-            roles = [r for _, _, r in stack]
-            inner = roles[len(roles) - roles[::-1].index(_MAIN) :] if _MAIN in roles else roles
-            outer = roles[: len(roles) - len(inner)]
-            off = _OFF in inner or _OFF in outer and any(n in SILENT for n, _, _ in stack)
-            # An article's own header holds its title: it is content there.
-            if off and _MAIN in roles and all(n == "header" for n, _, r in stack[len(outer) :] if r == _OFF):
-                off = False
-            out.append((_OFF if off else _MAIN if _MAIN in roles else _PLAIN, "/".join(x for _, x, _ in stack), text))
+            page.kinds.append(TEXT), page.at.append(stack[-1][1] if stack else number("")), page.texts.append(text)
+
+    def close(down_to: int) -> None:
+        while len(stack) > down_to:
+            page.kinds.append(CLOSE), page.at.append(stack.pop()[1])
 
     for m in _TOKEN.finditer(html):
         t = m[0]
         if t[0] != "<":
-            line.append(unescape(t))
+            line.append(unescape(t) if "&" in t else t)
             continue
         named = _NAME.match(t)
         if not named:
@@ -98,105 +140,282 @@ def read_page(html: str) -> list[tuple[str, str, str]]:
         if t[1] == "/":
             at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
             if at is not None:
-                del stack[at:]
+                close(at)
             continue
         if name in SELF_CLOSING:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name or stack[i][0] in ("ul", "ol", "dl", "table", "select", "div", "section", *MAIN, *ASIDE)), None)
+            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name or stack[i][0] in _LIMITS), None)
             if at is not None and stack[at][0] == name:
-                del stack[at:]
-        role = _role(name, t)
-        stack.append((name, f"{name}:{role}" if role else name, role))
-        out.append(("tag", "/".join(x for _, x, _ in stack), ""))
+                close(at)
+        elif name in ENDS_P and stack and stack[-1][0] == "p":
+            close(len(stack) - 1)
+        above = page.paths[stack[-1][1]] if stack else ""
+        stack.append((name, number(f"{above}/{_label(name, t)}")))
+        page.kinds.append(OPEN), page.at.append(stack[-1][1])
     flush()
-    return out
+    close(0)
+    return page
 
 
-def _token_key(kind: str, path: str, text: str) -> int:
-    return xxhash.xxh64_intdigest(f"{path}\0{text}") - (1 << 63)
+_TOKENS = "page_id long, url string, host string, mark long, keys array<long>, kinds array<int>, at array<int>, chars array<int>, paths array<string>, texts array<string>, types array<long>, times array<int>, firsts array<int>, tags array<boolean>"
 
 
-def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """host, token, count on the page, place of the first one, and a hash of page and count."""
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each page as its tokens, and its distinct tokens with their number, first place and kind."""
+    lists = [pa.list_(t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())]
+    names = [x.split()[0] for x in _TOKENS.split(", ")]
     for b in batches:
-        cols: list[list] = [[], [], [], [], []]
-        for host, page, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-            seen: Counter[int] = Counter()
-            first: dict[int, int] = {}
-            tag: dict[int, bool] = {}
-            for i, (kind, path, text) in enumerate(read_page(html.as_py() or "")):
-                k = _token_key(kind, path, text)
-                seen[k] += 1
-                first.setdefault(k, i), tag.setdefault(k, kind == "tag")
-            for k, n in seen.items():
-                for c, v in zip(cols, (host, k, tag[k], first[k], xxhash.xxh64_intdigest(f"{page}:{n}") - (1 << 63)), strict=True):
-                    c.append(v)
-        kinds = (pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["host", "token", "is_tag", "place", "mark"])
+        for start in range(0, b.num_rows, 256):
+            c = b.slice(start, 256)
+            cols: list[list] = [[] for _ in lists]
+            for html in c.column(3).to_pylist():
+                p = read_page(html or "")
+                keys = p.keys()
+                types, first, times = np.unique(np.array(keys, np.int64), return_index=True, return_counts=True)
+                kinds = np.array(p.kinds, np.int64)
+                row = (keys, p.kinds, p.at, [len(t) for t in p.texts], p.paths, p.texts, types, times, first, kinds[first] != TEXT if len(keys) else [])
+                for col, v in zip(cols, row, strict=True):
+                    col.append(v)
+            yield pa.RecordBatch.from_arrays([c.column(0), c.column(1), c.column(2), c.column(4), *[pa.array(v, t) for v, t in zip(cols, lists, strict=True)]], names)
 
 
 def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def deduce_templates(pages: DataFrame, share: float = SHARE, min_pages: int = MIN_PAGES) -> DataFrame:
-    """host, token, class, pages, place: the tokens of each host's valid classes.
+def page_tokens(pages: DataFrame) -> DataFrame:
+    """The tokens of each row of pages (page_id, url, html); equal rows share a mark."""
+    held = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host_of(F.col("url")).alias("host"), "html", F.xxhash64("page_id", "url", "html").alias("mark"))
+    return held.mapInArrow(_read, _TOKENS)
 
-    A token's occurrence vector is kept as the exclusive-or of a 64-bit hash
-    of (page, count) over the pages that have it, which sums up by halves on
-    any number of machines. A class is the tokens of a host with the same
-    vector; it is valid if its pages reach share and min_pages, and, for
-    tags, if it has another token or is on all pages. place is the mean
-    position, by which classes and tokens are ordered and nested.
+
+def token_classes(tokens: DataFrame, share: float = SHARE, min_pages: int = MIN_PAGES) -> DataFrame:
+    """host, class, pages, tokens (array of key and is_tag, by mean place): the classes that are on enough pages.
+
+    The occurrence vector of a token is kept as sums, over its pages, of two
+    28-bit hashes of the page and the number of times; sums add up by parts on
+    any number of machines and count repeated pages as often as they occur.
+    Tokens are of one class if sums, pages and occurrences are equal. Only
+    classes with a tag are returned: texts that merely occur on the same
+    pages, as in copies, are content.
     """
-    marked = pages.mapInArrow(_occurrences, "host string, token long, is_tag boolean, place long, mark long")
-    tokens = marked.groupBy("host", "token").agg(
-        F.bit_xor("mark").alias("vector"), F.count("*").alias("pages"), F.avg("place").alias("place"), F.first("is_tag").alias("is_tag")
-    )
-    totals = pages.groupBy("host").agg(F.count("*").alias("total"))
-    often = tokens.where(F.col("pages") >= min_pages).join(totals, "host").where(F.col("pages") >= F.lit(share) * F.col("total"))
-    size = often.groupBy("host", "vector").agg(F.count("*").alias("size"))
-    valid = often.join(size, ["host", "vector"]).where(~F.col("is_tag") | (F.col("size") > 1) | (F.col("pages") == F.col("total")))
-    return valid.select("host", "token", F.col("vector").alias("class"), "pages", "place", "is_tag")
-
-
-def extract_slots(html: str | None, template: set[int]) -> str:
-    """The article's slots of a page, in page order, joined by a space.
-
-    With an article (or main) on the page, its texts are content, whether
-    repeated or not. Without one, the texts outside the surroundings of an
-    article are, except those that belong to the template.
+    each = tokens.select("host", "mark", F.explode(F.arrays_zip("types", "times", "firsts", "tags")).alias("t"))
+    each = each.select("host", F.col("t.types").alias("key"), F.col("t.times").alias("n"), F.col("t.firsts").alias("place"), F.col("t.tags").alias("is_tag"), F.xxhash64("mark", "t.times").alias("h"))
+    half = lambda by: F.sum(F.shiftrightunsigned("h", by).bitwiseAND(F.lit((1 << 28) - 1)))
+    vectors = each.groupBy("host", "key").agg(half(0).alias("v0"), half(28).alias("v1"), F.count("*").alias("pages"), F.sum("n").alias("n"), F.avg("place").alias("place"), F.first("is_tag").alias("is_tag"))
+    totals = tokens.groupBy(F.col("host").alias("of_host")).agg(F.count("*").alias("total"))
+    often = vectors.where(F.col("pages") >= min_pages).join(totals, F.col("host") == F.col("of_host")).where(F.col("pages") >= F.lit(share) * F.col("total"))
+    # A host has at most (mean distinct tokens a page) / share such tokens.
+    found = often.groupBy("host", "v0", "v1", "pages", "n").agg(F.array_sort(F.collect_list(F.struct("place", "key", "is_tag"))).alias("t"))
+    found = found.where(F.exists("t", lambda x: x.is_tag) & (F.size("t") > 1))
+    return found.select("host", F.xxhash64("v0", "v1", "pages", "n").alias("class"), "pages", F.transform("t", lambda x: F.struct(x.key.alias("key"), x.is_tag.alias("is_tag"))).alias("tokens"))
+
+
+#: A token's class, its place in it and the class's size.
+Places = dict[int, tuple[int, int, int]]
+
+
+@dataclass
+class Slots:
+    """What a walk over a page finds: by number of the text, its class and gap, and the innermost template element;
+    and the classes that are out of order or cross others."""
+
+    of_text: list[tuple[int, int, str]]
+    constant: list[int | None]
+    bad: set[int]
+
+
+def walk(keys: list[int], kinds: list[int], at: list[int], paths: list[str], places: Places) -> Slots:
+    """Nest the occurrences of the classes on a page; each text falls in the gap after the last template token."""
+    out = Slots([], [], set())
+    open_classes: list[tuple[int, int]] = []
+    elements: list[str] = []
+    for key, kind, a in zip(keys, kinds, at, strict=True):
+        found = places.get(key)
+        if kind == TEXT:
+            top = open_classes[-1] if open_classes else (0, -1)
+            out.of_text.append((*top, elements[-1] if elements else ""))
+            out.constant.append(found[0] if found else None)
+        if found is None:
+            continue
+        cls, place, size = found
+        if place and (not open_classes or open_classes[-1] != (cls, place - 1)):
+            # Out of order, or another class is still open where this one goes on.
+            out.bad.add(cls)
+            depth = next((i for i in range(len(open_classes) - 1, -1, -1) if open_classes[i][0] == cls), None)
+            if depth is not None:
+                out.bad.update(c for c, _ in open_classes[depth + 1 :])
+                del open_classes[depth + 1 :]
+        if place and open_classes and open_classes[-1][0] == cls:
+            open_classes.pop()
+        if place < size - 1:
+            open_classes.append((cls, place))
+        if kind == OPEN:
+            elements.append(paths[a])
+        elif kind == CLOSE and elements:
+            elements.pop()
+    out.bad.update(c for c, _ in open_classes)
+    return out
+
+
+def _places(classes: list[dict]) -> Places:
+    return {t["key"]: (c["class"], i, len(c["tokens"])) for c in classes for i, t in enumerate(c["tokens"])}
+
+
+_FOUND = "host string, kind int, class long, path string, n long"
+_BAD, _SLOT, _CONSTANT = 0, 1, 2
+
+
+def _try_template(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For a host and class, on how many pages it is bad; for an element, the characters of its slots and, by class, of its constant texts."""
+    for b in batches:
+        sums: dict[tuple, int] = defaultdict(int)
+        known: dict[str, Places] = {}
+        cols = [b.column(i) for i in range(7)]
+        for i, host in enumerate(cols[0].to_pylist()):
+            if host not in known:
+                known[host] = _places(cols[6][i].as_py())
+            keys, kinds, at, chars, paths = (c[i].as_py() for c in cols[1:6])
+            got = walk(keys, kinds, at, paths, known[host])
+            for c in got.bad:
+                sums[host, _BAD, c, ""] += 1
+            for (_, _, path), constant, n in zip(got.of_text, got.constant, chars, strict=True):
+                sums[host, _SLOT if constant is None else _CONSTANT, constant or 0, path] += n
+        rows = list(zip(*((*k, n) for k, n in sums.items()), strict=True)) or [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64()), strict=True)], ["host", "kind", "class", "path", "n"])
+
+
+def _inside(path: str, holder: str) -> bool:
+    return path == holder or path.startswith(holder + "/")
+
+
+def is_aside(path: str, holder: str = "") -> bool:
+    """An element that is not content stands on the path; headers inside the holder are content."""
+    if any(s.endswith((_NEVER, _NAMED)) for s in path.split("/")):
+        return True
+    return any(s.endswith(_HEADER) for s in (holder or path).split("/"))
+
+
+def _tag(path: str) -> str:
+    return re.split(r"[.!~^]", path.rsplit("/", 1)[-1], maxsplit=1)[0]
+
+
+def main_element(slots: dict[str, int]) -> str:
+    """The path of the element that holds the main text, from the characters of the slots by path.
+
+    The deepest element that holds MAIN_SHARE of the text outside asides.
+    Titles belong to it: it is widened to hold the first-level headings. An
+    article or main element around it or within it, with most of such
+    elements' text, takes its place.
+    """
+    use = {p: n for p, n in slots.items() if n and not any(s.endswith(_NEVER) or s.split(".")[0].rstrip("!~^") in ASIDE for s in p.split("/"))}
+    total = sum(use.values())
+    above: dict[str, int] = defaultdict(int)
+    for p, n in use.items():
+        steps = p.split("/")
+        for k in range(1, len(steps) + 1):
+            above["/".join(steps[:k])] += n
+    holders = {p: n for p, n in above.items() if p and _tag(p) in HOLDERS and not is_aside(p)}
+    main = max((p for p, n in holders.items() if n >= MAIN_SHARE * total), key=lambda p: (p.count("/"), p), default="")
+    named = {p: n for p, n in holders.items() if _tag(p) in MAIN}
+    if around := [p for p in named if _inside(main, p)]:
+        return max(around, key=len)
+    if within := {p: n for p, n in named.items() if _inside(p, main)}:
+        top = max(within.values())
+        return max((p for p, n in within.items() if 2 * n >= top), key=lambda p: (p.count("/"), p))
+    for p in sorted(use):
+        if _tag(p) == "h1" and not is_aside(p):
+            while main and not _inside(p, main):
+                main = main.rpartition("/")[0]
+    return main
+
+
+@dataclass
+class Template:
+    """A host's template: its tokens' places, the classes whose texts are constant, and the main element."""
+
+    places: Places
+    constant: frozenset[int]
+    main: str
+
+
+def host_template(classes: list[dict], found: list[dict]) -> Template:
+    """What is valid and what is the main element, from the sums over a host's pages.
+
+    A class that is bad on too many pages keeps its elements, which nest by
+    themselves, but its texts are content. Constant texts are never most of
+    the main element: where they are, pages are copies and show no template.
+    """
+    pages = {c["class"]: c["pages"] for c in classes}
+    bad = {f["class"] for f in found if f["kind"] == _BAD and f["n"] > MAX_BAD * pages[f["class"]]}
+    slots: dict[str, int] = defaultdict(int)
+    fixed: dict[str, int] = defaultdict(int)
+    for f in found:
+        if f["kind"] == _SLOT or f["kind"] == _CONSTANT and f["class"] in bad:
+            slots[f["path"]] += f["n"]
+        elif f["kind"] == _CONSTANT:
+            fixed[f["path"]] += f["n"]
+    main = main_element(slots)
+    held = lambda of: sum(n for p, n in of.items() if _inside(p, main) and not is_aside(p, main))
+    if held(fixed) > held(slots):
+        return Template(_places(classes), frozenset(), main_element({p: slots[p] + fixed[p] for p in {*slots, *fixed}}))
+    return Template(_places(classes), frozenset(set(pages) - bad), main)
+
+
+def extract_slots(keys: list[int], kinds: list[int], at: list[int], paths: list[str], texts: list[str], template: Template | None) -> str:
+    """The texts of the slots of the main element, in page order, joined by a space.
+
+    Without a template, the page's own elements are one and its own amounts
+    of text tell the main element. The same holds for a page without the
+    template's main element.
     """
-    read = [x for x in read_page(html or "") if x[0] != "tag"]
-    main = [t for kind, _, t in read if kind == _MAIN]
-    if main:
-        return " ".join(main)
-    return " ".join(t for kind, path, t in read if kind == _PLAIN and _token_key(kind, path, t) not in template)
+    own = [paths[a] for k, a in zip(kinds, at, strict=True) if k == TEXT]
+    main, constant = None, [False] * len(texts)
+    if template:
+        got = walk(keys, kinds, at, paths, template.places)
+        if any(_inside(path, template.main) for _, _, path in got.of_text):
+            main = template.main
+            constant = [c in template.constant for c in got.constant]
+    if main is None:
+        amounts: dict[str, int] = defaultdict(int)
+        for p, t in zip(own, texts, strict=True):
+            amounts[p] += len(t)
+        main = main_element(amounts)
+    return " ".join(t for p, t, c in zip(own, texts, constant, strict=True) if not c and _inside(p, main) and not is_aside(p, main))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        templates: dict[int, set[int]] = {}
+        known: dict[str, Template | None] = {}
         texts = []
-        for html, t in zip(b.column(2), b.column(3), strict=True):
-            texts.append(extract_slots(html.as_py(), set(t.as_py() or ())))
-        templates.clear()
+        cols = [b.column(i) for i in range(2, 10)]
+        for i, host in enumerate(cols[0].to_pylist()):
+            if host not in known:
+                classes = cols[6][i].as_py()
+                known[host] = host_template(classes, cols[7][i].as_py() or []) if classes else None
+            texts.append(extract_slots(*(c[i].as_py() for c in cols[1:6]), known[host]))
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
-def extract_pages(pages: DataFrame) -> DataFrame:
+def extract_pages(pages: DataFrame, share: float = SHARE, min_pages: int = MIN_PAGES) -> DataFrame:
     """page_id, url, text (empty if none), n_chars for each row of pages, over the whole html.
 
     A null html is empty; a null or odd url has the empty host. Repeated rows
     count as pages of their own. A host with fewer than 3 pages has no
-    template, so only the tags' roles count. Broken markup is read as it
-    stands: what is not closed lasts to the end.
+    template: each page is read by its own elements. Broken markup is read as
+    it stands: what is not closed ends with what is around it. Texts of any
+    length are kept whole; a page has to fit in a row. Columns other than
+    page_id, url and html are not used.
     """
-    held = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"))
-    numbered = held.select("host", F.xxhash64("page_id", "url").alias("page"), "html")
-    found = deduce_templates(numbered).where("NOT is_tag").groupBy("host").agg(F.collect_list("token").alias("template"))
-    # At most (mean texts a page) / SHARE tokens a host; joined as the table's size allows.
-    found = materialize(found.withColumnRenamed("host", "of_host"), "templates")
-    joined = held.join(found, held.host == found.of_host, "left").select("page_id", "url", "html", "template")
+    tokens = materialize(page_tokens(pages), "page-tokens")
+    classes = token_classes(tokens, share, min_pages).groupBy("host").agg(F.collect_list(F.struct("class", "pages", "tokens")).alias("classes"))
+    # One row a host, of bounded size (see token_classes); joined as the table's file size allows.
+    classes = materialize(classes.withColumnRenamed("host", "of_host"), "classes")
+    seen = tokens.select("host", "keys", "kinds", "at", "chars", "paths").join(classes, F.col("host") == F.col("of_host")).drop("of_host")
+    found = seen.mapInArrow(_try_template, _FOUND).groupBy("host", "kind", "class", "path").agg(F.sum("n").alias("n"))
+    # At most one row for each template element and class of a host.
+    found = found.groupBy("host").agg(F.collect_list(F.struct("kind", "class", "path", "n")).alias("found")).withColumnRenamed("host", "with_host")
+    templates = materialize(classes.join(found, F.col("of_host") == F.col("with_host"), "left").drop("with_host"), "templates")
+    joined = tokens.select("page_id", "url", "host", "keys", "kinds", "at", "paths", "texts").join(templates, F.col("host") == F.col("of_host"), "left").drop("of_host")
     return joined.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
 
 
