@@ -56,24 +56,30 @@ class Encoder:
     space between two other characters always begins a new piece, so texts
     are cut there and each stretch is encoded once; what is new in a batch is
     encoded as one text and split by the tokens' lengths. Texts with other
-    white space next to a space are encoded whole.
+    white space next to a space, or with one of the file's added tokens
+    (which have the ids of the file), are encoded whole.
     """
 
     def __init__(self, path: str):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
+            file = json.load(f)
+        vocab, special = file["model"]["vocab"], {t["content"]: t["id"] for t in file.get("added_tokens", ())}
         of = _byte_of()
-        ranks = {bytes(map(of.__getitem__, t)): i for t, i in vocab.items() if all(c in of for c in t) and not t.startswith("<|")}
+        ranks = {bytes(map(of.__getitem__, t)): i for t, i in vocab.items() if all(c in of for c in t) and t not in special}
         self.length = np.zeros(max(ranks.values()) + 1, np.int64)
         for t, i in ranks.items():
             self.length[i] = len(t)
-        self.bpe = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.bpe = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.known: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.bpe.encode_ordinary(text), dtype=np.uint16).tobytes()
+        return np.array(self.bpe.encode(text, allowed_special="all"), dtype=np.uint16).tobytes()
+
+    def _as_whole(self, text: str) -> bool:
+        return _BESIDE_SPACE.search(text) is not None or self.special is not None and self.special.search(text) is not None
 
     def _learn(self, new: list[str]) -> None:
         """Encode " " + p for each new p at once."""
@@ -88,7 +94,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as unsigned 16-bit values."""
-        split = [None if _BESIDE_SPACE.search(t) else t.split(" ") for t in texts]
+        split = [None if self._as_whole(t) else t.split(" ") for t in texts]
         words = set().union(*(p[1:] for p in split if p))
         if len(self.known) > _CACHE:
             self.known.clear()
@@ -299,7 +305,7 @@ def pack(docs: DataFrame, tokenizer: str, targets: dict[str, float] | None = Non
     phases = schedule([lengths[s] for s in queues], wanted)
     rows = [(queues[q], p.first, p.size, base, gives, list(path)) for p in phases for q, (base, gives, path) in p.of.items()]
     plan = materialize(spark.createDataFrame(rows, "source string, first long, size long, base long, gives long, path array<long>"), "plan")
-    # A row for each source and input partition; the window orders them within a queue.
+    # A row for each source and input partition: at most the partitions of one read for a source. The window orders them within a queue.
     order = W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     starts = parts.select("source", "part", "n", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))
     # ... and for each phase in which it gives tokens.
