@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, spark_partitions
 
 #: Tokens of a chunk, at least, before it is closed; a longer text is a chunk of its own.
 CHUNK_TOKENS = 1_500_000
@@ -227,8 +227,12 @@ def _histogram(left: pd.DataFrame, blocks: pd.DataFrame, kept: int) -> pd.DataFr
 
 
 def fit_weights(cells: pd.DataFrame, types: int, rounds: int = 60) -> dict[int, np.ndarray]:
-    """Mixture weights (bigram, unigram, uniform, unknown word) of each bucket, by expectation-maximisation; -1: of all."""
-    start = np.array([0.3, 0.5, 0.1, 0.1])
+    """Mixture weights (bigram, unigram, uniform) of each bucket, by expectation-maximisation; -1: of all.
+
+    The uniform estimate is over the known words and one type for all others,
+    so an unknown word costs its share of that. After a context that was not
+    seen (bucket 0) there is no bigram estimate, and the others share all.
+    """
 
     def run(rows: pd.DataFrame, first: np.ndarray, prior: float) -> np.ndarray:
         p = np.stack(
@@ -236,7 +240,6 @@ def fit_weights(cells: pd.DataFrame, types: int, rounds: int = 60) -> dict[int,
                 np.where(rows["bigram"] < 1, np.exp(np.minimum(rows["bigram"], 0) * CELL), 0),
                 np.where(rows["unigram"] < 1, np.exp(np.minimum(rows["unigram"], 0) * CELL), 0),
                 np.full(len(rows), 1 / (types + 1)),
-                np.where(rows["unigram"] < 1, 0.0, 1.0),
             ],
             axis=1,
         )
@@ -247,8 +250,11 @@ def fit_weights(cells: pd.DataFrame, types: int, rounds: int = 60) -> dict[int,
             weight = ((post * n).sum(axis=0) + prior * first) / (n.sum() + prior)
         return weight
 
+    unseen = lambda w: w * [0, 1, 1] / w[1:].sum()
+    start = np.array([0.3, 0.5, 0.2])
     pooled = run(cells, start, 1.0) if len(cells) else start
-    return {-1: pooled} | {int(b): run(rows, pooled, POOL) for b, rows in cells.groupby("bucket")}
+    own = {int(b): run(rows, pooled if b else unseen(pooled), POOL) for b, rows in cells.groupby("bucket")}
+    return {-1: pooled, 0: unseen(pooled)} | own
 
 
 def _scores(left: pd.DataFrame, blocks: pd.DataFrame, tokens: int, types: int, weights: dict[int, np.ndarray]) -> pd.DataFrame:
@@ -259,7 +265,7 @@ def _scores(left: pd.DataFrame, blocks: pd.DataFrame, tokens: int, types: int, w
         words, pairs = n[0, "keep"] + n[0, "held"], n[1, "keep"] + n[1, "held"]
         c, context = words[chunk.word], words[chunk.context]
         w = table[_bucket(context)]
-        p = w[:, 0] * pairs[chunk.pair] / np.maximum(context, 1) + w[:, 1] * c / max(tokens, 1) + w[:, 2] / (types + 1) + w[:, 3] * (c == 0)
+        p = w[:, 0] * pairs[chunk.pair] / np.maximum(context, 1) + w[:, 1] * c / max(tokens, 1) + w[:, 2] / (types + 1)
         base = np.log10((c + 0.5) / (tokens + 0.5 * (types + 1)))
         docs = len(chunk.lens)
         out.append(
@@ -282,7 +288,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs.
 
     The end of a text is a token, and the context of the next text's first
-    word. Unknown words are one type beside the known ones. A null or empty
+    word. Unknown words are one type beside the known ones, with the uniform
+    estimate's probability. A null or empty
     text is its end alone; a null doc_id counts as the empty text in the
     split. Repeated rows count and score each. Without training documents,
     every word is unknown and the counts are 0.
@@ -290,13 +297,17 @@ def score_documents(docs: DataFrame) -> DataFrame:
     chunks = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_chunks, _CHUNK), "chunks")
     size = chunks.agg(F.sum("words"), F.sum("tokens")).first()
     ranges = tuple(max(1, int((x or 0) // RANGE_KEYS) + 1) for x in size)
-    blocks = chunks.mapInArrow(_blocks(ranges), _BLOCK)
+    blocks = chunks.mapInArrow(_blocks(ranges), _BLOCK).repartition(max(spark_partitions(docs), sum(ranges)), "kind", "range")
     sums = materialize(blocks.groupBy("kind", "range").applyInPandas(_sum_range, _SUMS), "sums")
     got = sums.where("kind = 0").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("new_words", "new_kept", "tokens", "kept_tokens")]).first()
     types, kept_types, tokens, kept = (int(x) for x in got)
     back = sums.select("kind", "range", "chunk", "keep", "held")
-    together = chunks.groupBy("chunk").cogroup(back.groupBy("chunk"))
-    deleted = chunks.where("chunk % 2 = 1").groupBy("chunk").cogroup(back.where("chunk % 2 = 1").groupBy("chunk"))
+    # As many tasks as the corpus needs, whatever the session's setting: some chunks each.
+    tasks = max(spark_partitions(docs), int(size[1] or 0) // (4 * CHUNK_TOKENS) + 1)
+    dealt, returned = chunks.repartition(tasks, "chunk"), back.repartition(tasks, "chunk")
+    together = dealt.groupBy("chunk").cogroup(returned.groupBy("chunk"))
+    odd = "chunk % 2 = 1"
+    deleted = chunks.where(odd).repartition(tasks, "chunk").groupBy("chunk").cogroup(back.where(odd).repartition(tasks, "chunk").groupBy("chunk"))
     cells = deleted.applyInPandas(lambda a, b: _histogram(a, b, kept), "bucket long, bigram long, unigram long, n long")
     # Cells are buckets by rounded logs: at most 64 x 700 x 700, and some thousands in practice, for any input.
     cells = cells.groupBy("bucket", "bigram", "unigram").agg(F.sum("n").alias("n")).toPandas()

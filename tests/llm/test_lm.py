@@ -47,7 +47,7 @@ def test_against_brute_force(spark, monkeypatch):
         s = 0.0
         for u, w in pairs([(r.doc_id, text)]):
             lam = weights.get(bucket(ct[u]), weights[-1])
-            s += math.log10(lam[0] * (pt[u, w] / ct[u] if ct[u] else 0) + lam[1] * ct[w] / n + lam[2] / (v + 1) + lam[3] * (not ct[w]))
+            s += math.log10(lam[0] * (pt[u, w] / ct[u] if ct[u] else 0) + lam[1] * ct[w] / n + lam[2] / (v + 1))
         assert abs(s - r.score) < 1e-6 * max(1, abs(s))
 
 
@@ -66,5 +66,30 @@ def test_beats_the_base_on_texts_it_has_not_seen(spark):
     assert held["sum(score)"] > 0.8 * held["sum(base_score)"] and held["sum(score)"] < 0
 
 
+def test_unknown_words_are_the_dearest(spark):
+    rng = random.Random(4)
+    vocab = [f"w{i}" for i in range(300)]
+    text = lambda i: " ".join(rng.choices(vocab, k=50)) + f" own{i}"
+    rows = [(i, text(i), "en", "s", 1, "x", "y") for i in range(200)]
+    rows += [(1000 + i, " ".join(f"x{rng.random()}" for _ in range(50)), "en", "s", 1, "x", "y") for i in range(40)]
+    got = lm.score_documents(spark.createDataFrame(rows, DOCS)).where("held_out").collect()
+    each = {known: [r.score / r.n_tokens for r in got if (r.doc_id < 1000) == known] for known in (True, False)}
+    assert each[True] and each[False] and max(each[False]) < min(each[True])
+
+
+def test_probabilities_sum_to_one():
+    """Over all known words and the unknown type, after seen and unseen contexts."""
+    import pandas as pd
+
+    cells = pd.DataFrame([(0, 1, -20, 30), (0, 1, 1, 9), (3, -5, -20, 40), (3, 1, 1, 3)], columns=["bucket", "bigram", "unigram", "n"])
+    weights = lm.fit_weights(cells, 4)
+    c, follows = [6, 3, 2, 1], [2, 1, 0, 0]
+    for bucket, pairs in ((3, follows), (0, None)):
+        lam = weights[bucket]
+        p = [lam[1] * c[w] / sum(c) + lam[2] / 5 + (lam[0] * pairs[w] / sum(pairs) if pairs else 0) for w in range(4)]
+        assert abs(sum(p) + lam[2] / 5 - 1) < 1e-12
+    assert weights[0][0] == 0
+
+
 def test_empty(spark):
     assert lm.score_documents(spark.createDataFrame([], DOCS)).count() == 0
