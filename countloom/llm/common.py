@@ -12,6 +12,9 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: White space of the word rule [^\x20\x09-\x0D]+, without the plain space.
 OTHER_SPACE = "\t\n\x0b\f\r"
 
+#: A key with this part of all rows or more is hot.
+HOT_PARTS = 1000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
@@ -41,6 +44,27 @@ def materialize(df: DataFrame, tag: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table that materialize wrote, once nothing needs it any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def join_counted(left: DataFrame, right: DataFrame, left_key: str, right_key: str, n: str, total: int) -> DataFrame:
+    """Inner join with a table of distinct keys that knows (column n) how many of the total rows of left have each key.
+
+    Keys of a thousandth of all rows or more, so a thousand at most, are
+    broadcast; no task gets more than the rows of a rarer key.
+    """
+    few = max(1, total // HOT_PARTS)
+    hot, rest = F.broadcast(right.where(F.col(n) >= few)), right.where(F.col(n) < few)
+    on = F.col(left_key) == F.col(right_key)
+    cold = left.join(hot.select(F.col(right_key)), on, "left_anti").join(rest, on)
+    return left.join(hot, on).unionByName(cold)
+
+
 def spark_partitions(df: DataFrame) -> int:
     """The session's number of shuffle partitions."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -20,13 +20,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, join_counted, materialize, spark_partitions
 
 SHINGLE, MAX_BITS = 4, 4
 MIN_BYTES = 8 - MAX_BITS
 SETS = list(combinations(range(8), MIN_BYTES))
 #: Longer lists are split by common neighbours instead of by pairs (see `_far_links`).
 MAX_LIST = 2048
+#: Fingerprints that one task posts, about.
+POSTED = 20_000
 
 
 def fingerprint(text: str | None) -> int:
@@ -153,7 +155,8 @@ def _far_links(long_lists: DataFrame) -> DataFrame:
 
 def link_fingerprints(fps: DataFrame) -> DataFrame:
     """Links (a, b) over distinct fingerprints (column fp) that give the same components as all pairs at most 4 bits apart."""
-    posted = materialize(fps.mapInArrow(_postings, "key long, fp long"), "postings")
+    tasks = max(spark_partitions(fps), fps.count() // POSTED + 1)
+    posted = materialize(fps.repartition(tasks, "fp").mapInArrow(_postings, "key long, fp long"), "postings")
     long_keys = materialize(posted.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > MAX_LIST).select("key"), "long-lists")
     short = posted.join(long_keys, "key", "left_anti").repartition("key").sortWithinPartitions("key")
     links = short.mapInArrow(_links, "a long, b long")
@@ -172,31 +175,36 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     """
     edges = links.select(F.col(a).alias("u"), F.col(b).alias("v"))
     edges = materialize(edges.unionByName(links.select(F.col(b).alias("u"), F.col(a).alias("v"))).where("u <> v").distinct(), "edges")
-    labels = materialize(edges.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("node")).alias("root")), "labels")
+    labels = materialize(edges.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("node")).alias("root"), F.count("*").alias("degree")), "labels")
+    total, ends = labels.count(), edges.count()
     for _ in range(max_rounds):
-        near = edges.join(labels, edges.v == labels.node).groupBy(F.col("u").alias("n1")).agg(F.min("root").alias("near"))
+        near = join_counted(edges, labels, "v", "node", "degree", ends).groupBy(F.col("u").alias("n1")).agg(F.min("root").alias("near"))
         # A root also hears from the nodes below it, so that whole stars move at once.
-        heard = labels.join(near, F.col("node") == F.col("n1")).select("node", "root", F.least("root", "near").alias("low"))
+        heard = labels.join(near, F.col("node") == F.col("n1")).select("node", "degree", "root", F.least("root", "near").alias("low"))
         heard = materialize(heard, "heard")
-        roots = heard.groupBy(F.col("root").alias("r")).agg(F.min("low").alias("r_low"))
-        jump = heard.join(roots, F.col("root") == F.col("r")).select("node", "root", F.least("low", "r_low").alias("low"))
+        roots = heard.groupBy(F.col("root").alias("r")).agg(F.min("low").alias("r_low"), F.count("*").alias("below"))
+        jump = join_counted(heard, roots, "root", "r", "below", total).select("node", "degree", "root", F.least("low", "r_low").alias("low"))
         jump = materialize(jump, "jump")
-        up = jump.select(F.col("node").alias("up"), F.col("low").alias("up_low"))
-        moved = jump.join(up, F.col("low") == F.col("up"), "left").select("node", F.col("root").alias("old"), F.coalesce("up_low", "low").alias("root"))
+        # A label is a node itself; its own label is the next one.
+        lows = jump.groupBy(F.col("low").alias("l")).agg(F.count("*").alias("below"))
+        up = lows.join(jump.select(F.col("node").alias("up"), F.col("low").alias("up_low")), F.col("l") == F.col("up"))
+        moved = join_counted(jump, up, "low", "up", "below", total).select("node", "degree", F.col("root").alias("old"), F.col("up_low").alias("root"))
         moved = materialize(moved, "labels")
-        labels = moved.select("node", "root")
+        for done in (labels, heard, jump):
+            discard(done)
+        labels = moved.select("node", "root", "degree")
         if moved.where("root <> old").isEmpty():
-            return labels
+            discard(edges)
+            return labels.select("node", "root")
     raise RuntimeError(f"labels still change after {max_rounds} rounds")
 
 
-def _grouped(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, fp and root, the smallest fingerprint reachable; equal fingerprints are one node."""
-    rows = materialize(fingerprints(docs), "fingerprints")
-    nodes = materialize(rows.select("fp").distinct(), "nodes")
-    found = components(link_fingerprints(nodes))
-    # Nodes without a link are their own root; the table of linked ones is joined as its size allows.
-    return rows.join(found, rows.fp == found.node, "left").select("doc_id", "text_hash", "fp", F.coalesce("root", "fp").alias("root"))
+def _nodes(rows: DataFrame) -> DataFrame:
+    """fp, n (rows that have it), first_id (their smallest doc_id) and root, the smallest fingerprint reachable; one row a fingerprint."""
+    nodes = materialize(rows.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")), "nodes")
+    found = components(link_fingerprints(nodes.select("fp")))
+    # Both sides have a node once; those without a link are their own root.
+    return materialize(nodes.join(found, nodes.fp == found.node, "left").select("fp", "n", "first_id", F.coalesce("root", "fp").alias("root")), "roots")
 
 
 def group_documents(docs: DataFrame) -> DataFrame:
@@ -207,9 +215,12 @@ def group_documents(docs: DataFrame) -> DataFrame:
     ids of the component are null (then null). Equal fingerprints meet first,
     so a group of copies of any size is one node.
     """
-    rows = materialize(_grouped(docs), "grouped")
-    named = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = rows.join(named, "root")
+    rows = materialize(fingerprints(docs), "fingerprints")
+    nodes = _nodes(rows)
+    named = nodes.groupBy(F.col("root").alias("r")).agg(F.min("first_id").alias("component_id"), F.count("*").alias("nodes"))
+    names = join_counted(nodes, named, "root", "r", "nodes", nodes.count())
+    names = materialize(names.select(F.col("fp").alias("node"), F.col("n").alias("of_node"), "component_id"), "names")
+    out = join_counted(rows, names, "fp", "node", "of_node", rows.count())
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -217,11 +228,22 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one row of each component: that of the smallest doc_id, then of the smallest hash of its text.
 
     A row with a null doc_id stays only where its component has no other id.
-    Of rows equal in doc_id and text, one stays.
+    Of rows equal in doc_id and text, one stays. What goes is found on ids and
+    hashes alone; whole rows move only where a row that stays is repeated.
     """
-    names = docs.columns
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.col("text_hash").alias("text_hash"))
-    first = materialize(_grouped(docs).groupBy("root").agg(F.min(order).alias("k")).select("k.doc_id", "k.text_hash"), "first")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("th"))
-    kept = rows.join(first, rows.id.eqNullSafe(first.doc_id) & (rows.th == first.text_hash), "left_semi")
-    return kept.dropDuplicates(["id", "th"]).select("row.*")
+    rows = materialize(fingerprints(docs), "fingerprints")
+    nodes = _nodes(rows).select(F.col("fp").alias("node"), F.col("n").alias("of_node"), "root")
+    # Rows equal in id and text have one fingerprint, so a key belongs to one component.
+    keys = rows.groupBy("doc_id", "text_hash", "fp").agg(F.count("*").alias("times"))
+    keys = materialize(join_counted(keys, nodes, "fp", "node", "of_node", rows.count()).select("doc_id", "text_hash", "root", "times"), "keys")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), F.col("times").alias("times"))
+    first = keys.groupBy(F.col("root").alias("r")).agg(F.min(order).alias("k"), F.count("*").alias("held"))
+    marked = materialize(join_counted(keys, first, "root", "r", "held", keys.count()).select("doc_id", "text_hash", "times", (F.col("doc_id").eqNullSafe(F.col("k.id")) & (F.col("text_hash") == F.col("k.hash"))).alias("stays")), "marked")
+    gone, repeated = (materialize(marked.where(x).select("doc_id", "text_hash"), t) for x, t in (("NOT stays", "gone"), ("stays AND times > 1", "repeated")))
+    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("th"))
+    on = lambda t: given.id.eqNullSafe(t.doc_id) & (given.th == t.text_hash)
+    kept = given.join(gone, on(gone), "left_anti")
+    if repeated.isEmpty():
+        return kept.select("row.*")
+    once = kept.join(repeated, on(repeated), "left_anti")
+    return once.unionByName(given.join(repeated, on(repeated), "left_semi").dropDuplicates(["id", "th"])).select("row.*")
