@@ -1,16 +1,25 @@
-"""Line dedup by site-relative frequency."""
+"""Line dedup by site-relative frequency.
+
+Lines are grouped by host; the pages that have a line, divided by the host's
+page total, tell boilerplate from text. A long line does not come twice by
+chance, so for those the whole corpus is one more site, with an absolute
+number of pages as its limit. Pages with equal texts count as one page: a
+group of copies is not a reason to empty all of them.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_counted, materialize, words
 
 #: A line goes if more than this share of its host's pages have it ...
-RATIO = 0.05
+RATIO = 0.005
 #: ... and at least so many pages; on a small host, a share alone says little.
 MIN_PAGES = 5
+#: A line of more words than this goes if so many pages of the corpus have it.
+LONG_WORDS, LONG_PAGES = 50, 3
 _BLANK = " \t\x0b\f\r"
 
 
@@ -27,59 +36,94 @@ def _is_blank(line: Column) -> Column:
     return F.btrim(line, F.lit(_BLANK)) == ""
 
 
-def boilerplate_lines(pages: DataFrame, host: str = "host", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def page_lines(pages: DataFrame) -> DataFrame:
+    """host, page (a hash of the text), line (its key), is_long: each line once for each different text of a host."""
+    each = F.transform(F.filter(_lines(F.col("text")), lambda x: ~_is_blank(x)), lambda x: F.struct(_key(x).alias("line"), (F.size(words(x)) > LONG_WORDS).alias("is_long")))
+    lines = pages.select("host", F.xxhash64("text").alias("page"), F.explode(F.array_distinct(each)).alias("l"))
+    return lines.select("host", "page", "l.line", "l.is_long").distinct()
+
+
+def boilerplate_lines(lines: DataFrame, pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """host and the keys of its boilerplate lines, one row a host that has any.
 
-    Each line counts once a page. A host has at most (mean lines a page) /
-    ratio such lines, which bounds the array.
+    A host has at most (mean lines a page) / ratio such lines, which bounds the array.
     """
-    lines = pages.select(
-        F.col(host).alias("host"),
-        F.explode(F.array_distinct(F.transform(F.filter(_lines(F.col(text)), lambda x: ~_is_blank(x)), _key))).alias("line"),
-    )
     seen = lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    totals = pages.groupBy(F.col(host).alias("of_host")).agg(F.count("*").alias("total"))
+    totals = pages.select(F.col("host").alias("of_host"), F.xxhash64("text").alias("page")).distinct().groupBy("of_host").agg(F.count("*").alias("total"))
     common = seen.join(totals, seen.host.eqNullSafe(totals.of_host)).where(F.col("n") > F.lit(ratio) * F.col("total"))
     return common.groupBy("host").agg(F.collect_list("line").alias("lines"))
 
 
+def repeated_passages(lines: DataFrame, long_pages: int = LONG_PAGES) -> DataFrame:
+    """page and the keys of its long lines that so many pages of the corpus have, one row a page that has any."""
+    long = materialize(lines.where("is_long").select("page", "line").distinct(), "long-lines")
+    often = materialize(long.groupBy(F.col("line").alias("key")).agg(F.count("*").alias("n")).where(F.col("n") >= long_pages), "passages")
+    return join_counted(long, often, "line", "key", "n", long.count()).groupBy("page").agg(F.collect_list("line").alias("lines"))
+
+
+def _cleaned(pages: DataFrame, host: str, text: str, ratio: float, min_pages: int) -> DataFrame:
+    """row (all columns as a struct), clean, n_lines, n_dropped."""
+    given = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("row"), F.col(f"`{host}`").alias("host"), F.col(f"`{text}`").alias("text"))
+    lines = materialize(page_lines(given), "lines")
+    found = materialize(boilerplate_lines(lines, given, ratio, min_pages), "boilerplate").select(F.col("host").alias("of_host"), F.col("lines").alias("of_site"))
+    passages = materialize(repeated_passages(lines), "repeated").select(F.col("page").alias("of_page"), F.col("lines").alias("of_text"))
+    # The tables' sizes are known from their files: Spark broadcasts them below the threshold and shuffles beyond.
+    joined = given.join(found, F.col("host").eqNullSafe(F.col("of_host")), "left").join(passages, F.xxhash64("text") == F.col("of_page"), "left")
+    none = F.array().cast("array<bigint>")
+    drop = F.concat(F.coalesce("of_site", none), F.coalesce("of_text", none))
+    kept = F.when(F.col("of_site").isNull() & F.col("of_text").isNull(), _lines(F.col("text"))).otherwise(
+        F.filter(_lines(F.col("text")), lambda x: _is_blank(x) | ~F.array_contains(drop, _key(x)))
+    )
+    out = joined.select("row", "text", kept.alias("kept"))
+    return out.select(
+        "row",
+        F.when(F.col("text").isNotNull(), F.array_join("kept", "\n")).alias("clean"),
+        F.size(F.filter(_lines(F.col("text")), lambda x: ~_is_blank(x))).cast("long").alias("n_lines"),
+        (F.size(_lines(F.col("text"))) - F.size("kept")).cast("long").alias("n_dropped"),
+    )
+
+
 def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """pages with the boilerplate lines taken out of text, and n_lines, n_dropped added.
+    """pages with boilerplate lines and repeated passages taken out of text, and n_lines, n_dropped added.
 
     All pages stay, also those that lose all lines (empty text). A null text
     stays null, with no lines; blank lines count as none and stay. Null is a
-    host of its own. Pages that are repeated count as often as they occur.
-    Columns of pages named n_lines or n_dropped are replaced.
+    host of its own. Pages of a host with equal texts count as one page.
+    Columns of pages named n_lines or n_dropped are replaced; all others stay.
     """
-    found = materialize(boilerplate_lines(pages, host, text, ratio, min_pages), "boilerplate").select(F.col("host").alias("__host"), F.col("lines").alias("__drop"))
-    # The table's size is known from its files: Spark broadcasts it below the threshold and shuffles beyond.
-    joined = pages.drop("n_lines", "n_dropped").join(found, F.col(host).eqNullSafe(F.col("__host")), "left")
-    drop = F.coalesce(F.col("__drop"), F.array().cast("array<bigint>"))
-    kept = F.filter(_lines(F.col(text)), lambda x: _is_blank(x) | ~F.array_contains(drop, _key(x)))
-    joined = joined.withColumn("__kept", F.when(F.col("__drop").isNull(), _lines(F.col(text))).otherwise(kept))
-    full = lambda lines: F.size(F.filter(lines, lambda x: ~_is_blank(x)))
-    joined = joined.withColumn("n_lines", full(_lines(F.col(text))).cast("long"))
-    joined = joined.withColumn("n_dropped", (F.size(_lines(F.col(text))) - F.size("__kept")).cast("long"))
-    joined = joined.withColumn(text, F.when(F.col(text).isNotNull(), F.array_join("__kept", "\n")))
-    return joined.drop("__host", "__drop", "__kept")
+    out = _cleaned(pages, host, text, ratio, min_pages)
+    names = [c for c in pages.columns if c not in ("n_lines", "n_dropped")]
+    return out.select(*[F.col("clean").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in names], "n_lines", "n_dropped")
+
+
+def clean_documents(docs: DataFrame, host: str = "source") -> DataFrame:
+    """docs with the same columns: text is cleaned, and n_chars, where there is one, follows a text that is not null."""
+    out = _cleaned(docs, host, "text", RATIO, MIN_PAGES)
+    new = {"text": F.col("clean")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.coalesce(F.length("clean").cast(docs.schema["n_chars"].dataType), F.col("row").getField("n_chars"))
+    return out.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def dedup_documents(docs: DataFrame) -> DataFrame:
     """doc_id, source, text without its source's boilerplate, n_lines, n_dropped."""
-    return drop_boilerplate(docs.select("doc_id", "source", "text")).select("doc_id", "source", "text", "n_lines", "n_dropped")
+    return drop_boilerplate(docs.select("doc_id", "source", "text"))
 
 
 ORACLE_SQL = f"""
 WITH blank AS (SELECT ' ' || chr(9) || chr(11) || chr(12) || chr(13) AS b),
 docs AS (SELECT row_number() OVER () AS rid, doc_id, source, text FROM documents),
 lines AS (
-  SELECT rid, source, i, line, trim(line, b) AS k FROM blank, (
-    SELECT rid, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM docs)
+  SELECT rid, source, text, i, line, trim(line, b) AS k FROM blank, (
+    SELECT rid, source, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM docs)
 ),
-totals AS (SELECT source, count(*) AS total FROM docs GROUP BY source),
-seen AS (SELECT source, k, count(DISTINCT rid) AS n FROM lines WHERE k <> '' GROUP BY source, k),
+totals AS (SELECT source, count(DISTINCT md5(coalesce(text, 'null'))) AS total FROM docs GROUP BY source),
+seen AS (SELECT source, k, count(DISTINCT md5(text)) AS n FROM lines WHERE k <> '' GROUP BY source, k),
 boiler AS (SELECT s.source, s.k FROM seen s JOIN totals t USING (source) WHERE n >= {MIN_PAGES} AND n > {RATIO} * total),
-marked AS (SELECT l.*, b.k IS NOT NULL AS gone FROM lines l LEFT JOIN boiler b USING (source, k)),
+passages AS (
+  SELECT k FROM lines WHERE length(regexp_extract_all(k, '[^\\x20\\x09-\\x0D]+')) > {LONG_WORDS}
+  GROUP BY k HAVING count(DISTINCT md5(text)) >= {LONG_PAGES}),
+marked AS (SELECT l.*, b.k IS NOT NULL OR p.k IS NOT NULL AS gone FROM lines l LEFT JOIN boiler b USING (source, k) LEFT JOIN passages p ON l.k = p.k),
 made AS (
   SELECT rid, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '') AS text,
          count(*) FILTER (WHERE k <> '') AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped
