@@ -40,8 +40,11 @@ def with_text_stats(df: DataFrame, text: str = "text") -> DataFrame:
     lines = F.filter(F.split(t, "\n", -1), lambda x: F.length(F.translate(x, " " + OTHER_SPACE, "")) > 0)
     out = df.withColumns({"__words": words(F.col(text)), "__lines": lines})
     out = out.withColumn("n_words", F.size("__words").cast("long"))
-    hashes = F.when(F.col("n_words") >= WINDOW, F.transform(F.sequence(F.lit(1), F.size("__words") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("__words", i, F.lit(WINDOW)))))
-    out = out.withColumn("__hash", hashes)
+    # The hash of eight words is that of two hashes of four next to each other, and so on down to single words.
+    out = out.withColumn("__hash", F.transform("__words", lambda w: F.xxhash64(w)))
+    for step in (1, 2, 4):
+        out = out.withColumn("__hash", F.zip_with("__hash", F.slice("__hash", step + 1, F.greatest(F.size("__hash") - step, F.lit(0))), lambda a, b: F.xxhash64(a, b)))
+    out = out.withColumn("__hash", F.when(F.col("n_words") >= WINDOW, F.slice("__hash", 1, F.greatest(F.size("__hash") - (WINDOW - 1), F.lit(0)))))
     out = out.withColumn(
         "__sorted",
         F.when(F.size(F.array_distinct("__hash")) < F.size("__hash"), F.array_sort(F.transform("__hash", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))),
@@ -108,11 +111,13 @@ class Condition:
 Rule = tuple[Condition, ...]
 
 
-def _holds(rule: Rule, prefix: str = "f_") -> Column:
+def _holds(rule: Rule, cuts: dict[str, list[tuple[float, float]]]) -> Column:
+    """The rule over rows of bins: a feature's bin is the number of its thresholds that it exceeds."""
     out = F.lit(True)
     for c in rule:
-        f = F.col(prefix + c.feature)
-        out = out & (f > c.threshold if c.above else f <= c.threshold)
+        k = [cut for cut, _ in cuts[c.feature]].index(c.threshold)
+        held = F.get("bins", F.lit(list(cuts).index(c.feature)))
+        out = out & (held > k if c.above else held <= k)
     return out
 
 
@@ -125,17 +130,12 @@ def _best_condition(rows: DataFrame, cuts: dict[str, list[tuple[float, float]]],
 
     cuts has thresholds with their gaps; all are counted by one grouped aggregation over bins.
     """
-    bins = F.array(
-        *[
-            F.struct(F.lit(f).alias("f"), sum((F.when(F.col("f_" + f) > c, 1).otherwise(0) for c, _ in cs), F.lit(0)).alias("b"))
-            for f, cs in cuts.items()
-        ]
-    )
-    counts = rows.select("bad", F.explode(bins).alias("x")).groupBy("x.f", "x.b").agg(F.sum("bad").alias("p"), F.sum(1 - F.col("bad")).alias("n")).collect()
+    each = rows.select("bad", F.posexplode("bins").alias("f", "b"))
+    counts = each.groupBy("f", "b").agg(F.sum("bad").alias("p"), F.sum(1 - F.col("bad")).alias("n")).collect()
     best, most = None, (0.0, 0.0)
-    for f, cs in cuts.items():
+    for at, (f, cs) in enumerate(cuts.items()):
         for k, (cut, gap) in enumerate(cs):
-            hi = [r for r in counts if r["f"] == f and r["b"] > k]
+            hi = [r for r in counts if r["f"] == at and r["b"] > k]
             p, n = sum(r["p"] for r in hi), sum(r["n"] for r in hi)
             for above, pp, nn in ((True, p, n), (False, p0 - p, n0 - n)):
                 g = _gain(pp, nn, p0, n0)
@@ -157,24 +157,28 @@ def learn_rules(labelled: DataFrame) -> list[Rule]:
     )
     names = list(rule_features())
     probs = [i / (THRESHOLDS - 1) for i in range(THRESHOLDS)]
-    rows = rows.coalesce(4).persist()
+    rows = materialize(rows, "rule-rows")
+    quantiles = rows.groupBy("bad").agg(*[F.percentile_approx("f_" + f, probs, 10_000).alias(f) for f in names]).collect()
+    seen = {f: sorted({c for q in quantiles for c in q[f]}) for f in names} if len(quantiles) > 1 else {}
+    # Half-way between neighbouring quantiles of both kinds, with the gap as a share of the feature's range.
+    cuts = {f: [((a + b) / 2, (b - a) / (v[-1] - v[0])) for a, b in zip(v, v[1:], strict=False)] for f, v in seen.items() if len(v) > 1}
+    if not cuts:
+        return []
+    exceeded = lambda f, cs: F.size(F.filter(F.array(*[F.lit(c) for c, _ in cs]), lambda c: F.col("f_" + f) > c))
+    rows = rows.select("bad", "grow", F.array(*[exceeded(f, cs) for f, cs in cuts.items()]).alias("bins")).coalesce(2).persist()
     try:
-        quantiles = rows.groupBy("bad").agg(*[F.percentile_approx("f_" + f, probs, 10_000).alias(f) for f in names]).collect()
-        seen = {f: sorted({c for q in quantiles for c in q[f]}) for f in names} if len(quantiles) > 1 else {}
-        # Half-way between neighbouring quantiles of both kinds, with the gap as a share of the feature's range.
-        cuts = {f: [((a + b) / 2, (b - a) / (v[-1] - v[0])) for a, b in zip(v, v[1:], strict=False)] for f, v in seen.items() if len(v) > 1}
         rules: list[Rule] = []
         left = rows
-        while cuts and len(rules) < MAX_RULES:
+        while len(rules) < MAX_RULES:
             grow = left.where("grow")
             p, n = grow.agg(F.coalesce(F.sum("bad"), F.lit(0)), F.coalesce(F.sum(1 - F.col("bad")), F.lit(0))).first()
             rule: Rule = ()
-            while p and n and len(rule) < MAX_CONDITIONS and (found := _best_condition(grow.where(_holds(rule)), cuts, p, n)):
+            while p and n and len(rule) < MAX_CONDITIONS and (found := _best_condition(grow.where(_holds(rule, cuts)), cuts, p, n)):
                 rule, p, n = rule + (found[0],), found[1], found[2]
             if not rule:
                 break
             prefixes = [rule[: k + 1] for k in range(len(rule))]
-            sums = [(F.sum(F.when(_holds(r), F.col("bad")).otherwise(0)), F.sum(F.when(_holds(r), 1 - F.col("bad")).otherwise(0))) for r in prefixes]
+            sums = [(F.sum(F.when(_holds(r, cuts), F.col("bad")).otherwise(0)), F.sum(F.when(_holds(r, cuts), 1 - F.col("bad")).otherwise(0))) for r in prefixes]
             tested = left.where("NOT grow").agg(*[F.coalesce(c, F.lit(0)) for pair in sums for c in pair]).first()
             scored = [(tested[2 * k], tested[2 * k + 1]) for k in range(len(rule))]
             worth = [(p - n) / (p + n) if p + n else -1.0 for p, n in scored]
@@ -183,7 +187,7 @@ def learn_rules(labelled: DataFrame) -> list[Rule]:
             if p + n < MIN_COVERED or p < MIN_PRECISION * (p + n):
                 break
             rules.append(prefixes[k])
-            left = left.where(~_holds(prefixes[k]))
+            left = left.where(~_holds(prefixes[k], cuts))
         return rules
     finally:
         rows.unpersist()
@@ -201,12 +205,17 @@ def verdict(rules: list[Rule]) -> Column:
 
 
 def learn_from_labels(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> list[Rule]:
-    """Rules that reject label quality 0, from at most max_labelled labelled documents."""
+    """Rules that reject label quality 0, from at most max_labelled labelled documents.
+
+    Of conflicting labels of an id the smaller counts; of documents that share an id, one.
+    """
     ids = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     ids = materialize(ids.select(F.col("doc_id").alias("__id"), (1 - F.col("quality")).alias("bad")), "labelled")
     known = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("__id"))  # at most max_labelled ids
-    return learn_rules(materialize(with_text_stats(known).drop("text", "__id"), "labelled"))
+    # One row an id, so that repeated documents do not exceed the bound: the text with the smallest hash.
+    known = known.groupBy("doc_id").agg(F.min("bad").alias("bad"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    return learn_rules(materialize(with_text_stats(known).drop("text"), "labelled"))
 
 
 def judge_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
