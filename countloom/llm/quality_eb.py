@@ -5,7 +5,8 @@ shapes. The mean evidence of a host, and of a path below it, gives that
 site's rate: path rates are shrunk to their host's and host rates to the
 global prior, the more the fewer documents they have; how much follows from
 the spread between sites. A document's posterior then takes its path's rate
-as prior. All site numbers come from grouped aggregation over all documents.
+as prior, taken without the document itself, which is evidence already. All
+site numbers come from grouped aggregation over all documents.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_counted, materialize
 
 #: Most labelled documents to learn from: those with the smallest hash of their id.
 MAX_LABELLED = 20_000
@@ -77,10 +78,17 @@ def log_odds(counts: pd.DataFrame, target: str, ones: int, rows: int) -> tuple[n
 
 
 def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> dict[str, tuple[np.ndarray, float]]:
-    """Weights and prior of each target, from at most max_labelled labelled documents."""
-    ids = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(*[F.min(t).alias(t) for t in TARGETS])
+    """Weights and prior of each target, from at most max_labelled labelled documents.
+
+    Of conflicting labels of an id the smaller quality and the larger toxic
+    count; of documents that share an id, one.
+    """
+    ids = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     ids = materialize(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).withColumnRenamed("doc_id", "id"), "labelled")
-    known = materialize(docs.join(F.broadcast(ids), F.col("doc_id") == F.col("id")).select("text", *TARGETS), "known")  # max_labelled ids at most
+    known = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("id"))  # max_labelled ids at most
+    # One row an id, so that repeated documents do not exceed the bound: the text with the smallest hash.
+    known = known.groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), *[F.min(t).alias(t) for t in TARGETS])
+    known = materialize(known.select("text", *TARGETS), "known")
     totals = known.agg(*[F.count(t).alias(t + "_n") for t in TARGETS], *[F.coalesce(F.sum(t), F.lit(0)).alias(t) for t in TARGETS]).first()
     each = known.select("text", *[F.col(t).cast("int").alias(t) for t in TARGETS]).mapInArrow(_training, "quality int, toxic int, feature long")
     # A row for each of the FEATURES numbers at most.
@@ -107,7 +115,8 @@ def _spread(groups: DataFrame, mean: str, total: str, n: str) -> Column:
 
 
 def site_rates(evidence: DataFrame) -> DataFrame:
-    """host, path and, for each target, its global rate (t_prior) and the path's shrunken rate (t_rate)."""
+    """host, path, n, host_n and, for each target t, the sums of its posteriors (t, host_t), the global rate
+    (t_prior) and how many documents that is worth (t_k)."""
     p = lambda t: 1 / (1 + F.exp(-F.col(t)))
     paths = evidence.groupBy("host", "path").agg(F.count("*").alias("n"), *[F.sum(p(t)).alias(t) for t in TARGETS])
     paths = materialize(paths, "paths")
@@ -115,31 +124,40 @@ def site_rates(evidence: DataFrame) -> DataFrame:
     top = hosts.agg(*[(F.sum("host_" + t) / F.sum("host_n")).alias(t + "_prior") for t in TARGETS])
     hosts = hosts.crossJoin(F.broadcast(top))  # one row
     worth = hosts.agg(*[_spread(hosts, t + "_prior", "host_" + t, "host_n").alias(t + "_k") for t in TARGETS])
-    hosts = hosts.crossJoin(F.broadcast(worth))  # one row
-    hosts = hosts.withColumns({t + "_host": (F.col("host_" + t) + F.col(t + "_k") * F.col(t + "_prior")) / (F.col("host_n") + F.col(t + "_k")) for t in TARGETS})
-    below = paths.join(hosts.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h")))
-    rate = lambda t: (F.col(t) + F.col(t + "_k") * F.col(t + "_host")) / (F.col("n") + F.col(t + "_k"))
-    return below.select("host", "path", *[F.col(t + "_prior") for t in TARGETS], *[rate(t).alias(t + "_rate") for t in TARGETS])
+    hosts = hosts.crossJoin(F.broadcast(worth)).withColumnRenamed("host", "h")  # one row
+    return paths.join(hosts, F.col("host").eqNullSafe(F.col("h"))).drop("h")
+
+
+def path_rate(target: str, own: Column | float = 0.0, docs: int = 0) -> Column:
+    """A path's rate, shrunk to its host's, which is shrunk to the global rate; without `docs` documents whose posteriors sum to own."""
+    c = lambda x: F.col(x)
+    k = c(target + "_k")
+    host = (c("host_" + target) - own + k * c(target + "_prior")) / (c("host_n") - docs + k)
+    return (c(target) - own + k * host) / (c("n") - docs + k)
 
 
 def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
-    """doc_id, doc_quality, doc_toxic (own evidence), site_quality, site_toxic (path's rate), p_quality, p_toxic, kept.
+    """doc_id, doc_quality, doc_toxic (own evidence), site_quality, site_toxic (its path's rate by the other
+    documents), p_quality, p_toxic, kept.
 
     A row for each row of docs. An empty or null text has only the shape of
     an empty one; null hosts and paths are sites of their own. Without labels
-    of both classes the evidence is the prior. kept: p_quality of a half or
-    more, and p_toxic below a half.
+    of both classes the evidence is the prior. Repeated rows are documents of
+    their own. kept: p_quality of a half or more, and p_toxic below a half.
     """
     model = learn(docs.select("doc_id", "text"), labels.select("doc_id", *TARGETS))
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).alias("host"), F.col(path).alias("path"), "text")
     found = materialize(held.mapInArrow(_evidence(model), "doc_id long, host string, path string, quality double, toxic double"), "evidence")
-    sites = materialize(site_rates(found), "sites").withColumnsRenamed({"host": "h", "path": "p"})
-    out = found.join(sites, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")))
-    logit = lambda c: F.ln(F.col(c) / (1 - F.col(c)))
+    site = F.xxhash64(F.struct("host", "path")).alias("site")
+    sites = materialize(site_rates(found).withColumn("of_site", site).drop("host", "path"), "sites")
     sure = lambda x: 1 / (1 + F.exp(-x))
+    own = found.select("doc_id", site, *[F.col(t).alias("odds_" + t) for t in TARGETS], *[sure(F.col(t)).alias("doc_" + t) for t in TARGETS])
+    out = join_counted(own, sites, "site", "of_site", "n", found.count())
+    out = out.withColumns({"site_" + t: path_rate(t, F.col("doc_" + t), 1) for t in TARGETS})
+    logit = lambda c: F.ln(c / (1 - c))
     return out.select(
         "doc_id",
-        *[sure(F.col(t)).alias("doc_" + t) for t in TARGETS],
-        *[F.col(t + "_rate").alias("site_" + t) for t in TARGETS],
-        *[sure(F.col(t) + logit(t + "_rate") - logit(t + "_prior")).alias("p_" + t) for t in TARGETS],
+        *["doc_" + t for t in TARGETS],
+        *["site_" + t for t in TARGETS],
+        *[sure(F.col("odds_" + t) + logit(F.col("site_" + t)) - logit(F.col(t + "_prior"))).alias("p_" + t) for t in TARGETS],
     ).withColumn("kept", (F.col("p_quality") >= 0.5) & (F.col("p_toxic") < 0.5))
