@@ -1,5 +1,5 @@
 import corpus_pipeline
-from countloom.llm import simhash
+from countloom.llm import linededup, simhash
 
 from .cases import DOCS, some_docs
 from .test_decontam import ITEM, planted
@@ -23,3 +23,59 @@ def test_stages_on_awkward_rows(spark, tmp_path):
     assert d.where("text IS NULL").count() == 0
     pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in pieces} == left
+
+
+def tables(spark, folder, docs, items, labels):
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(items, ITEM).write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+
+
+def test_columns_with_clashing_names(spark, tmp_path):
+    extra = {"n_lines": "mine", "n_dropped": "own", "__kept": "k", "__row": "r", "row": "w", "id": "i", "th": "t", "host": "h", "page": "p", "bad": "b", "x.y": "dot"}
+    base = spark.createDataFrame([r[:5] for r in some_docs()], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = base.selectExpr("*", *[f"'{v}' AS `{k}`" for k, v in extra.items()])
+    tables(spark, tmp_path, docs, [], [])
+    d = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        d = stage(spark, d, str(tmp_path))
+        assert d.columns == docs.columns, name
+        rows = d.collect()
+        assert rows and all(r[k] == v for r in rows for k, v in extra.items()), name
+        assert all(r["n_chars"] == len(r["text"]) for r in rows if name == "line dedup")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_empty_tables(spark, tmp_path):
+    tables(spark, tmp_path, spark.createDataFrame([], DOCS), [], [])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_against_brute_force(spark, tmp_path):
+    """Each stage's documents are those that its rule, in plain Python, keeps of the stage before."""
+    from .test_linededup import brute
+    from .test_quality_rules import stats
+    from .test_simhash import slow_fingerprint as fingerprint
+
+    items, planted_docs, leaks = planted()
+    rows = [r for r in some_docs() + planted_docs if r[0] is not None]
+    tables(spark, tmp_path, spark.createDataFrame(rows, DOCS), items, [])
+    kept = []
+    for r in rows:
+        n, _, _, _, repeated = stats(r[1])
+        if n >= 20 and 100 * repeated <= 30 * n:
+            kept.append(r)
+    cleaned, _, _ = brute(kept, linededup.RATIO, linededup.MIN_PAGES)
+    texts = sorted({(d, t) for d, t, _, _ in cleaned})
+    near, left = [], []
+    for d, t in texts:  # links are pairs at most 4 bits apart; components by repeated merging
+        f = fingerprint(t)
+        hit = [g for g in near if any(bin(f ^ x).count("1") <= 4 for x in g[1])]
+        merged = ([(d, t)], [f])
+        for g in hit:
+            near.remove(g)
+            merged[0].extend(g[0]), merged[1].extend(g[1])
+        near.append(merged)
+    left = {min(g[0])[0] for g in near}
+    left -= {d for d, _ in leaks}
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == left
