@@ -1,13 +1,15 @@
 """The corpus pipeline: five stages over documents, each written and read again.
 
-Stages 1 to 4 return the columns of documents; the last returns the pieces of
-the packed sequences.
+Stages 1 to 4 return the columns of documents, whatever further columns those
+have and however they are named; the last returns the pieces of the packed
+sequences. A null text fails the rules, as does an empty one; of rows equal in
+id and text one stays; an empty table gives no pieces; without labels only the
+base test decides, and without benchmark items nothing leaks.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from countloom.llm import decontam, linededup, packing, quality_rules, simhash
 from countloom.llm.common import materialize
@@ -20,9 +22,8 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their source's boilerplate lines; n_chars follows the text."""
-    out = linededup.drop_boilerplate(docs, "source").withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+    """Documents without their source's boilerplate lines and repeated passages; n_chars follows the text."""
+    return linededup.clean_documents(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
