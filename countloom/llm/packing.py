@@ -35,7 +35,7 @@ from .common import materialize
 
 WINDOW, END_ID = 1024, 0
 #: Entries of a worker's table of encoded words; it is emptied when full.
-_CACHE = 1_000_000
+_CACHE = 250_000
 #: Fixed value: how the byte-level pre-tokenizer cuts a text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _BESIDE_SPACE = re.compile(r" \s|\s |^ | $")
