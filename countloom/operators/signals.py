@@ -54,3 +54,19 @@ def add_goalies(games: DataFrame, starters: DataFrame, window: int = 10, min_sta
     for side in ("home", "away"):
         games = games.join(goalie_form(dated, side, window, min_starts), "game_pk", "left")
     return games
+
+
+def xg_interactions(df: DataFrame, windows: tuple[int, ...] = (5, 10, 20)) -> DataFrame:
+    """Expected goals less goals of each side, and each side's attack against the other's defence, by window.
+
+    A window without the columns of both sides is left out, as goals are not kept for every window.
+    """
+    cols = {}
+    for n in windows:
+        for s in ("home", "away"):
+            if {f"{s}_avg_xgf_{n}g", f"{s}_avg_gf_{n}g"} <= set(df.columns):
+                cols[f"{s}_xg_diff_{n}g"] = F.col(f"{s}_avg_xgf_{n}g") - F.col(f"{s}_avg_gf_{n}g")
+        for name, s, o in (("xg_scoring_opp", "home", "away"), ("xg_opp_threat", "away", "home")):
+            if {f"{s}_avg_xgf_{n}g", f"{o}_avg_xga_{n}g"} <= set(df.columns):
+                cols[f"{name}_{n}g"] = F.col(f"{s}_avg_xgf_{n}g") * F.col(f"{o}_avg_xga_{n}g")
+    return df.withColumns(cols)

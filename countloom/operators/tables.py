@@ -96,3 +96,27 @@ def medians(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def clip(x: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
+
+
+def quality_report(games: DataFrame, columns: list[str], types: tuple[str, ...] = ("R", "P", "O")) -> DataFrame:
+    """One row: rows, rows with a repeated id (all of them), copies of equal rows beyond the first, totals that
+    are not the sum of the scores, missing dates, unknown types, nulls in the teams, first and last date, ready.
+
+    ready: rows, and nothing critical; nulls in other columns are not.
+    """
+    c = F.col
+    per_row = games.groupBy(*games.columns).agg(F.count("*").alias("times"))
+    per_id = per_row.groupBy("game_pk").agg(
+        F.sum("times").alias("n"), F.sum(c("times") - 1).alias("copies"),
+        F.sum(F.when(c("home_score") + c("away_score") != c("total_goals"), c("times")).otherwise(0)).alias("bad"),
+        F.sum(F.when(c("date").isNull(), c("times")).otherwise(0)).alias("undated"),
+        F.sum(F.when(~F.coalesce(c("game_type").isin(*types), F.lit(False)), c("times")).otherwise(0)).alias("untyped"),
+        F.sum(sum((F.when(c(x).isNull(), c("times")).otherwise(0) for x in columns), F.lit(0))).alias("nulls"), F.min("date").alias("lo"), F.max("date").alias("hi"),
+    )
+    total = lambda x, name: F.coalesce(F.sum(x), F.lit(0)).alias(name)
+    out = per_id.agg(
+        total(c("n"), "n_rows"), total(F.when(c("n") > 1, c("n")).otherwise(0), "duplicate_ids"), total(c("copies"), "duplicate_rows"), total(c("bad"), "score_mismatches"),
+        total(c("undated"), "bad_dates"), total(c("untyped"), "bad_types"), F.min("lo").alias("first_date"), F.max("hi").alias("last_date"), total(c("nulls"), "null_teams"),
+    )
+    critical = ("duplicate_ids", "score_mismatches", "bad_dates", "bad_types")
+    return out.withColumn("ready", (c("n_rows") > 0) & (sum((c(x) for x in critical), F.lit(0)) == 0))

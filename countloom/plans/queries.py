@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cache, reduce
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -162,20 +162,6 @@ def all_features(spark, d):
 # --- quality, splits, lookups -------------------------------------------------------------------
 
 
-@query(f"""WITH {GAMES} SELECT count(*) AS n_rows, count(*) - count(DISTINCT game_pk) AS duplicate_ids, count(*) FILTER (WHERE home_score + away_score <> total_goals) AS score_mismatches,
-count(*) FILTER (WHERE date IS NULL) AS bad_dates, min(date) AS first_date, max(date) AS last_date FROM games""")
-def quality_report(spark, d):
-    g = games_view(spark, d)
-    per_id = g.groupBy("game_pk").agg(F.count("*").alias("n"), F.count_if(F.col("home_score") + F.col("away_score") != F.col("total_goals")).alias("bad"), F.count_if(F.col("date").isNull()).alias("nodate"), F.min("date").alias("lo"), F.max("date").alias("hi"))
-    return per_id.agg(F.sum("n").alias("n_rows"), F.sum(F.col("n") - 1).alias("duplicate_ids"), F.sum("bad").alias("score_mismatches"), F.sum("nodate").alias("bad_dates"), F.min("lo").alias("first_date"), F.max("hi").alias("last_date"))
-
-
-@query(f"WITH {GAMES} SELECT season, count(*) FILTER (WHERE total_goals <= 3) AS low, count(*) FILTER (WHERE total_goals BETWEEN 4 AND 5) AS mid, count(*) FILTER (WHERE total_goals > 5) AS high FROM games GROUP BY season")
-def season_counts(spark, d):
-    kind = F.when(F.col("total_goals") <= 3, "low").when(F.col("total_goals") <= 5, "mid").otherwise("high")
-    return games_view(spark, d).withColumn("kind", kind).groupBy(F.col("season").cast("long").alias("season")).pivot("kind", ["low", "mid", "high"]).count().na.fill(0)
-
-
 @query(f"""WITH {GAMES}, h AS (SELECT sha256(concat_ws('|', game_pk, date, home_team, away_team, home_score, away_score)) AS h FROM games), n AS (SELECT h, count(*) AS n FROM h GROUP BY h),
 b AS (SELECT substr(h, 1, 2) AS bucket, sha256(string_agg(h || ':' || n, ',' ORDER BY h || ':' || n)) AS d FROM n GROUP BY 1) SELECT sha256(string_agg(d, ',' ORDER BY bucket)) AS fingerprint FROM b""")
 def cohort_fingerprint(spark, d):
@@ -263,10 +249,10 @@ def other_distributions(spark, d):
 
 
 @query(f"""{WITH}, g AS (SELECT 0.0 AS alpha, 0 AS i UNION ALL SELECT power(10, -4 + 4.7 * i / 49.0), i + 1 FROM (SELECT unnest(range(50)) AS i)), c AS (SELECT y, round(mu, 4) AS mu, count(*) AS n FROM fc GROUP BY 1, 2)
-SELECT i, round(-sum(n * CASE WHEN alpha = 0 THEN y * ln(mu) - mu - lgamma(y + 1) ELSE lgamma(y + 1 / alpha) - lgamma(1 / alpha) - lgamma(y + 1) - (y + 1 / alpha) * ln(1 + alpha * mu) + y * (ln(alpha) + ln(mu)) END) / sum(n), 5) AS nll FROM c CROSS JOIN (SELECT * FROM g WHERE alpha = 0 OR alpha > 0.01) GROUP BY i""")
+SELECT i, round(-sum(n * CASE WHEN alpha = 0 THEN y * ln(mu) - mu - lgamma(y + 1) ELSE lgamma(y + 1 / alpha) - lgamma(1 / alpha) - lgamma(y + 1) - (y + 1 / alpha) * ln(1 + alpha * mu) + y * (ln(alpha) + ln(mu)) END) / sum(n), 5) AS nll FROM c CROSS JOIN g GROUP BY i""")
 def dispersion_grid(spark, d):
     grid = [(0, 0.0)] + [(i + 1, 10 ** (-4 + 4.7 * i / 49)) for i in range(50)]
-    points = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(a).alias("alpha")) for i, a in grid if a == 0 or a > 0.01])
+    points = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(a).alias("alpha")) for i, a in grid])
     cells = forecasts(spark, d).groupBy(F.col("y").cast("int").alias("y"), F.round("mu", 4).alias("mu")).agg(F.count("*").alias("n"))
     out = cells.select("*", F.explode(points).alias("g")).groupBy("g.i").agg((-F.sum(F.col("n") * dist.nb2_logpmf(F.col("y"), F.col("mu"), F.col("g.alpha"))) / F.sum("n")).alias("nll"))
     return out.select("i", F.round("nll", 5).alias("nll"))
@@ -354,7 +340,7 @@ def candidate_ranking(spark, d):
 @query()
 def champion_selection(spark, d):
     """Leader against the others by block bootstrap over weeks, Holm's correction, and the simplest equivalent model."""
-    return studies.champion(candidate_scores(spark, d), n_boot=1000)
+    return studies.champion(candidate_scores(spark, d), n_boot=5000)
 
 
 @query(f"""{_CAND}, x AS (SELECT model, CASE WHEN score <= 0 THEN 0 ELSE least(1, score / 25) END AS p, row_number() OVER (ORDER BY model) AS idx FROM sc), h AS (SELECT *, row_number() OVER (ORDER BY p, idx) AS rn, count(*) OVER () AS m FROM x)
@@ -399,11 +385,10 @@ def xg_games(spark, d) -> DataFrame:
     """Expected goals of the contests: a 25th of the quantity of each side's lines; the key may repeat."""
     q = lambda cond: F.sum(F.when(cond, F.col("l_quantity")).otherwise(0.0)) / 25
     lines = spark.read.parquet(f"{d}/lineitem.parquet").groupBy("l_orderkey").agg(q(F.col("l_returnflag") == "N").alias("home_xg"), q(F.col("l_returnflag") != "N").alias("away_xg"))
-    # A third of the contests is not in the feed.
-    return games_view(spark, d).where("game_pk % 3 <> 0").join(lines, F.col("game_pk") == F.col("l_orderkey")).select("season", "date", "home_team", "away_team", "home_xg", "away_xg")
+    return games_view(spark, d).join(lines, F.col("game_pk") == F.col("l_orderkey")).select("season", "date", "home_team", "away_team", "home_xg", "away_xg")
 
 
-XG = """xg AS (SELECT season, date, home_team, away_team, h / 25 AS home_xg, a / 25 AS away_xg FROM games JOIN (SELECT l_orderkey, sum(CASE WHEN l_returnflag = 'N' THEN l_quantity ELSE 0 END) AS h, sum(CASE WHEN l_returnflag <> 'N' THEN l_quantity ELSE 0 END) AS a FROM lineitem GROUP BY 1) ON game_pk = l_orderkey WHERE game_pk % 3 <> 0),
+XG = """xg AS (SELECT season, date, home_team, away_team, h / 25 AS home_xg, a / 25 AS away_xg FROM games JOIN (SELECT l_orderkey, sum(CASE WHEN l_returnflag = 'N' THEN l_quantity ELSE 0 END) AS h, sum(CASE WHEN l_returnflag <> 'N' THEN l_quantity ELSE 0 END) AS a FROM lineitem GROUP BY 1) ON game_pk = l_orderkey),
 xl AS (SELECT season, date, team, opponent, avg(xgf) AS xgf, avg(xga) AS xga FROM (SELECT season, date, home_team AS team, away_team AS opponent, home_xg AS xgf, away_xg AS xga FROM xg UNION ALL SELECT season, date, away_team, home_team, away_xg, home_xg FROM xg) GROUP BY ALL)"""
 
 
@@ -459,7 +444,7 @@ def goalie_features(spark, d):
 # --- models -------------------------------------------------------------------------------------
 
 
-def frame(spark, d, windows: tuple[int, ...] = (5,)) -> tuple[DataFrame, list[str]]:
+def frame(spark, d, windows: tuple[int, ...] = features.WINDOWS) -> tuple[DataFrame, list[str]]:
     """The contests that have all features, numbered in order of time and kept as a table, and the features' names."""
     cols = features.feature_columns(windows)
     # Written before the filter, which would otherwise be planned together with all features' expressions.
@@ -468,8 +453,10 @@ def frame(spark, d, windows: tuple[int, ...] = (5,)) -> tuple[DataFrame, list[st
 
 
 def halves(df: DataFrame, share: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """Training and hold-out; a date's contests are all on one side, so that training ends before the hold-out begins."""
     cut = int(share * df.count())
-    return df.where(F.col("idx") < cut), df.where(F.col("idx") >= cut)
+    day = df.where(F.col("idx") == cut).select("date").first()[0]
+    return df.where(F.col("date") < day), df.where(F.col("date") >= day)
 
 
 @query()
@@ -485,11 +472,10 @@ def model_holdout(spark, d):
 
 @query()
 def feature_importance(spark, d):
-    """Permutation importance of some features of the ridge regression on the last fifth."""
+    """Permutation importance of all features of the ridge regression on the last fifth."""
     df, cols = frame(spark, d)
     train, test = halves(df)
-    names = ["combined_avg_total", "home_avg_total", "away_avg_total", "rest_advantage"]
-    return rounded(studies.permutation_importance(models.fit_point_model("ridge", train, cols), test.drop("idx"), names, repeats=2))
+    return rounded(studies.permutation_importance(models.fit_point_model("ridge", train, cols), test.drop("idx"), cols))
 
 
 @query()
@@ -529,19 +515,14 @@ def team_strength_holdout(spark, d):
 def cross_validation(spark, d):
     """Fold metrics of the team-strength model under expanding-window validation."""
     g = models.indexed(games_view(spark, d)).persist()
-    return rounded(models.fold_metrics(models.evaluate(g, "team_strength", [], models.fold_bounds(g.count(), 3))))
+    return rounded(models.fold_metrics(models.evaluate(g, "team_strength", [], models.fold_bounds(g.count(), 5))))
 
 
-@query(f"""{WITH}, g AS (SELECT m, 1 + 0.1 * m AS mult FROM (SELECT unnest(range(1, 4)) AS m)), c AS (SELECT y, round(mu, 4) AS mu, count(*) AS n FROM fc GROUP BY 1, 2),
+@query(f"""{WITH}, g AS (SELECT m, 1.05 + 0.05 * m AS mult FROM (SELECT unnest(range(16)) AS m)), c AS (SELECT y, round(mu, 4) AS mu, count(*) AS n FROM fc GROUP BY 1, 2),
 p AS (SELECT m, y, c.mu, n, k, exp(k * ln(mu * mult) - mu * mult - lgamma(k + 1)) AS a, exp(k * ln(mu / mult) - mu / mult - lgamma(k + 1)) AS b FROM c CROSS JOIN g CROSS JOIN (SELECT unnest(range(21)) AS k)),
-q AS (SELECT m, y, mu, any_value(n) AS n, sum(a) FILTER (WHERE k = least(y, 20)) / sum(a) AS a, sum(b) FILTER (WHERE k = least(y, 20)) / sum(b) AS b FROM p GROUP BY m, y, mu), w AS (SELECT *, unnest([1, 5, 9]) AS w FROM q)
-SELECT CAST(w AS INT) AS weight10, CAST(m AS INT) AS multiplier10, round(-sum(n * ln(greatest(w / 10.0 * a + (1 - w / 10.0) * b, 1e-12))) / sum(n), 5) AS nll FROM w GROUP BY 1, 2""")
+q AS (SELECT m, y, mu, any_value(n) AS n, sum(a) FILTER (WHERE k = least(y, 20)) / sum(a) AS a, sum(b) FILTER (WHERE k = least(y, 20)) / sum(b) AS b FROM p GROUP BY m, y, mu), w AS (SELECT *, unnest([1, 2, 3, 4, 5, 6, 7, 8, 9]) AS w FROM q)
+SELECT CAST(w AS INT) AS weight10, CAST(m AS INT) AS multiplier, round(-sum(n * ln(greatest(w / 10.0 * a + (1 - w / 10.0) * b, 1e-12))) / sum(n), 5) AS nll FROM w GROUP BY 1, 2""")
 def mixture_grid(spark, d):
-    """Mean loss of the two-part Poisson mixture at some weights and multipliers (in tenths above 0 and 1)."""
-    grid = models.mixture_losses(forecasts(spark, d), [0.1, 0.5, 0.9], [1.1, 1.2, 1.3])
-    return grid.select(F.round(F.col("weight") * 10).cast("int").alias("weight10"), F.round(F.col("multiplier") * 10 - 10).cast("int").alias("multiplier10"), F.round("nll", 5).alias("nll"))
-
-
-@cache
-def registered() -> tuple[dict[str, Query], dict[str, str]]:
-    return dict(QUERIES), dict(SQL)
+    """Mean loss of the two-part Poisson mixture at all weights (in tenths) and multipliers (their number in the grid)."""
+    grid = models.mixture_losses(forecasts(spark, d), models.MIXTURE_WEIGHTS, models.MIXTURE_MULTIPLIERS)
+    return grid.select(F.round(F.col("weight") * 10).cast("int").alias("weight10"), F.round((F.col("multiplier") - 1.05) * 20).cast("int").alias("multiplier"), F.round("nll", 5).alias("nll"))

@@ -1,0 +1,109 @@
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from countloom.functions import distributions as dist
+from countloom.operators import ledger, resample, signals, tables
+from countloom.plans import serving, studies
+from countloom.sources import feed
+from countloom.streaming import live
+
+DAY = dt.date(2024, 1, 1)
+GAME = "game_pk long, season int, date date, home_team string, away_team string, home_score int, away_score int, total_goals int, game_type string"
+
+
+def test_ledger_keeps_old_values_and_replays_are_harmless(spark, tmp_path):
+    path, schema = f"{tmp_path}/ledger", "game_pk long, artifact_id string, forecast_kind string, predicted_at date, mu double, pmf array<double>"
+    one = spark.createDataFrame([(1, "m", "pregame", DAY, 5.0, [0.5, 0.5]), (2, "m", "pregame", DAY, 6.0, None)], schema)
+    two = spark.createDataFrame([(1, "m", "pregame", DAY - dt.timedelta(1), 5.5, None), (1, "n", "pregame", DAY, 7.0, None)], schema)
+    for batch, number in ((one, 0), (two, 1), (two, 1)):
+        ledger.append(batch, number, path)
+    got = ledger.load(spark.read.parquet(path), "m").collect()
+    assert [(r.game_pk, r.mu, r.pmf) for r in got] == [(1, 5.5, [0.5, 0.5]), (2, 6.0, None)]
+    assert ledger.load(spark.read.parquet(path)).count() == 3
+
+
+def test_ledger_by_a_stream(spark, tmp_path):
+    spark.createDataFrame([(1, "m", "pregame", DAY, 5.0)], "game_pk long, artifact_id string, forecast_kind string, predicted_at date, mu double").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/in").schema).parquet(f"{tmp_path}/in")
+    run = stream.writeStream.foreachBatch(lambda b, i: ledger.append(b, i, f"{tmp_path}/out")).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert [r.mu for r in ledger.load(spark.read.parquet(f"{tmp_path}/out")).collect()] == [5.0]
+
+
+def test_summary_looks_at_the_newest(spark):
+    logged = spark.createDataFrame([(i, DAY + dt.timedelta(i), "a", "b", DAY + dt.timedelta(i), 5.0) for i in range(6)], "game_pk long, date date, home_team string, away_team string, predicted_at date, mu double")
+    logged = logged.withColumn("pmf", dist.poisson_pmf(F.col("mu")))
+    results = spark.createDataFrame([(i, DAY, "x", "y", 4 + i, i) for i in range(5)], "game_pk long, date date, home_team string, away_team string, actual int, load_order long")
+    r = ledger.monitoring_summary(logged, results, n=3).first()
+    assert (r.n_logged, r.n_reconciled, r.n, r.status) == (6, 5, 2, "unavailable") and 0 <= r.mid_pit_tail_rate <= 1
+    assert ledger.monitoring_summary(logged, results, logged.select("mu")).first().status == "stable"
+    assert ledger.realized_metrics(tables.reconcile(logged, results.where("false"))).first().n == 0
+
+
+def test_slate_uses_history_only(spark):
+    rows = [(i, 2024, DAY + dt.timedelta(i), "ab"[i % 2], "ab"[1 - i % 2], i % 4, 2, i % 4 + 2, "R") for i in range(12)]
+    g = spark.createDataFrame(rows, GAME)
+    both = serving.with_history(g.where("game_pk >= 9"), g.where("game_pk < 10"))
+    assert {r.game_pk for r in both.where("_is_upcoming").collect()} == {10, 11} and both.where("_is_upcoming").agg(F.count("total_goals")).first()[0] == 0
+    out = serving.predict_games(lambda d: d.withColumn("mu", F.coalesce("combined_avg_total", F.lit(9.0))), g.where("game_pk >= 9"), g.where("game_pk < 10"), ["home_avg_total"], {"home_avg_total": 3.0}, (5,))
+    one = serving.probabilistic(out.select("game_pk", "mu"), dist.poisson_pmf(F.col("mu")), spark.range(1).select(F.lit(50.0).alias("radius"))).first()
+    assert out.count() == 2 and one.conformal_low == 0.0 and one.conformal_high == one.mu + 50 and one.pi_low <= one.mu <= one.pi_high
+    assert one.p_over_5_5 > one.p_over_6_5 > one.p_over_7_5
+
+
+def test_quality_report_counts_all_of_a_repeated_id(spark):
+    ok = (1, 2024, DAY, "a", "b", 1, 2, 3, "R")
+    rows = [ok, ok, (2, 2024, None, "a", None, 1, 1, 3, "X"), (3, 2024, DAY, "a", "b", 1, 2, 3, "P"), (3, 2024, DAY, "a", "c", 1, 2, 3, "P")]
+    r = tables.quality_report(spark.createDataFrame(rows, GAME), ["home_team", "away_team"]).first()
+    assert (r.n_rows, r.duplicate_ids, r.duplicate_rows, r.score_mismatches, r.bad_dates, r.bad_types, r.null_teams, r.ready) == (5, 4, 1, 1, 1, 1, 1, False)
+    assert tables.quality_report(spark.createDataFrame([ok], GAME), ["home_team"]).first().ready
+    assert not tables.quality_report(spark.createDataFrame([], GAME), ["home_team"]).first().ready
+
+
+def test_feeds(spark):
+    side = [("20232024", "20240105", "Reds", "Blues", "2.5", "home ", "all"), ("20232024", "20240105", "Blues", "Reds", "1.5", "AWAY", "all"), ("20232024", "20240105", "Reds", "Blues", "9", "HOME", "5on5"), ("20232024", "20240106", "Reds", "Greens", "3", "HOME", "all")]
+    df = spark.createDataFrame(side, "season string, gameDate string, team string, opposingTeam string, xGoalsFor string, home_or_away string, situation string")
+    want = [("20232024", dt.date(2024, 1, 5), "reds", "blues", 2.5, 1.5)]
+    assert [tuple(r) for r in feed.standardize(df).collect()] == want
+    assert [tuple(r) for r in feed.standardize(df.where("gameDate = '20240105'").withColumn("gameId", F.lit(7)).drop("season")).collect()] == want
+    contests = spark.createDataFrame([("2023", "2024-01-05", "Reds", "Blues", "2.5", "1.5"), ("2023", "2024-01-06", "Reds", "Blues", "x", "1")], "season string, date string, homeTeam string, awayTeam string, home_xG string, away_xG string")
+    assert [tuple(r) for r in feed.standardize(contests, "20232024").collect()] == want and feed.standardize(contests, "20222023").count() == 0
+
+
+def test_unmatched_expected_goals(spark):
+    log = spark.createDataFrame([(i, 2024, DAY + dt.timedelta(i), "a", "b") for i in range(4)], "game_pk long, season int, date date, team string, opponent string")
+    xg = spark.createDataFrame([(2024, DAY + dt.timedelta(i), "a", "b", 2.0 + i, 1.0) for i in (0, 2, 2)], "season int, date date, team string, opponent string, xgf double, xga double")
+    out = signals.add_xg(log, xg, (5,))
+    assert out.count() == 4 and signals.match_rate(out).first().match_rate == 0.5
+    assert [r.avg_xgf_5g for r in out.orderBy("game_pk").collect()] == [None, 2.0, 2.0, 3.0]
+
+
+def test_live_states(spark):
+    rows = [(1, "live", None, 2, None, ("10:00", None), (2,), (1,)), (2, None, "FUT", None, (1,), None, None, None), (3, "", None, None, (3,), (None, True), (1,), None)]
+    got = {r.game_pk: r for r in live.parse_live(spark.createDataFrame(rows, live.LIVE_STATE)).collect()}
+    assert (got[1].game_state, got[1].remaining_minutes, got[1].home_score) == ("LIVE", 30.0, 2)
+    assert (got[2].game_state, got[2].period, got[2].away_score) == ("FUT", 1, 0) and (got[3].game_state, got[3].clock) == ("UNKNOWN", "00:00")
+    states = live.parse_live(spark.createDataFrame(rows[:1], live.LIVE_STATE))
+    out = {r.game_pk: r for r in live.score_live(states, spark.createDataFrame([(1, 5.0), (9, 5.0)], "game_pk long, mu double")).collect()}
+    assert len(out) == 2 and out[9].game_state == "UNKNOWN" and abs(sum(out[9].pmf) - 1) < 1e-9 and out[1].pmf[0] == 0
+
+
+def test_roi_and_verdict(spark):
+    bets = spark.createDataFrame([(f"w{i % 5}", 1.0 if i % 3 else -1.0, i % 4 > 0) for i in range(60)], "block_key string, pnl double, is_bet boolean")
+    r = resample.roi_interval(bets, 500).first()
+    held = [(1.0 if i % 3 else -1.0) for i in range(60) if i % 4]
+    assert abs(r.roi - sum(held) / len(held)) < 1e-12 and r.ci_low <= r.roi <= r.ci_high
+    assert tuple(resample.roi_interval(bets.withColumn("is_bet", F.lit(False))).first()) == (0.0, 0.0, 0.0)
+    blocks = spark.createDataFrame([(f"b{i}", 1.0 + i, 2) for i in range(8)], "block string, total double, n long")
+    assert resample.block_bootstrap(blocks, 500).first().significant
+    with pytest.raises(ValueError):
+        resample.block_bootstrap(blocks.limit(1), 10)
+
+
+def test_importance_reports(spark):
+    rows = [(s, f"f{i}", float(i if s < 2 else -i)) for s in range(3) for i in range(5)]
+    got = {(r.season_a, r.season_b): r.rho for r in studies.importance_stability(spark.createDataFrame(rows, "season int, feature string, importance double")).collect()}
+    assert abs(got[0, 1] - 1) < 1e-12 and abs(got[0, 2] + 1) < 1e-12
+    assert [r.feature for r in studies.top_features(spark.createDataFrame(rows[:5], "season int, feature string, importance double"), 2).collect()] == ["f4", "f3"]
