@@ -123,12 +123,13 @@ def holm(tests: DataFrame, p: str = "p") -> DataFrame:
 
 def request_metrics(log: DataFrame, recent: int = 1024) -> DataFrame:
     """Requests, errors and mean latency by route, with nearest-rank percentiles of the newest samples of each."""
-    rn = F.row_number().over(W.partitionBy("route").orderBy(F.desc("ts"), F.desc("id")))
-    held = log.withColumn("new", F.when(rn <= recent, F.col("latency_ms")))
-    pct = {f"p{int(q * 100)}": F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY new)") for q in (0.5, 0.95, 0.99)}
-    return held.groupBy("route").agg(
-        F.count("*").alias("requests"), F.count_if(F.col("status") >= 500).alias("errors"), F.avg("latency_ms").alias("mean_latency"), *[c.alias(k) for k, c in pct.items()]
-    ).withColumn("error_rate", F.col("errors") / F.col("requests"))
+    rank = F.row_number().over(W.partitionBy("r").orderBy(F.desc("ts"), F.desc("id")))
+    # A filter on the rank, so that each task keeps its newest of a route before rows move.
+    newest = log.select(F.col("route").alias("r"), "ts", "id", "latency_ms").withColumn("rn", rank).where(F.col("rn") <= recent)
+    pct = {f"p{int(q * 100)}": F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY latency_ms)") for q in (0.5, 0.95, 0.99)}
+    tails = newest.groupBy("r").agg(*[c.alias(k) for k, c in pct.items()])
+    every = log.groupBy("route").agg(F.count("*").alias("requests"), F.count_if(F.col("status") >= 500).alias("errors"), F.avg("latency_ms").alias("mean_latency"))
+    return every.join(tails, F.col("route").eqNullSafe(F.col("r"))).drop("r").withColumn("error_rate", F.col("errors") / F.col("requests"))
 
 
 def higher_quantile(df: DataFrame, score: str, q: float) -> DataFrame:

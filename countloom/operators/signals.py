@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .rolling import before
+
 XG_KEY = ["season", "date", "team", "opponent"]
 
 
@@ -23,7 +25,7 @@ def add_xg(log: DataFrame, xg: DataFrame, windows: tuple[int, ...] = (5, 10, 20)
     """
     one = xg.groupBy(*XG_KEY).agg(F.avg("xgf").alias("xgf"), F.avg("xga").alias("xga"))
     out = log.join(one, XG_KEY, "left")
-    w = W.partitionBy("team").orderBy("date", "game_pk")
+    w = before(out, "team")
     return out.withColumns({f"avg_{c}_{n}g": F.avg(c).over(w.rowsBetween(-n, -1)) for n in windows for c in ("xgf", "xga")})
 
 

@@ -7,14 +7,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
-def team_log(games: DataFrame) -> DataFrame:
-    """Two rows a contest, one for each side, from one scan; an unknown result has no winner."""
+def team_log(games: DataFrame, carry: bool = False) -> DataFrame:
+    """Two rows a contest, one for each side, from one scan; an unknown result has no winner.
+
+    With carry, the column game holds the contest itself, so that features.contests needs no join to get it back.
+    """
     def side(team, opponent, gf, ga, home):
         win = F.when(F.col(gf).isNotNull() & F.col(ga).isNotNull(), (F.col(gf) > F.col(ga)).cast("double"))
         return F.struct(F.col(team).alias("team"), F.col(opponent).alias("opponent"), F.col(gf).alias("goals_for"), F.col(ga).alias("goals_against"), F.lit(home).alias("is_home"), win.alias("win"))
 
     both = F.array(side("home_team", "away_team", "home_score", "away_score", 1), side("away_team", "home_team", "away_score", "home_score", 0))
-    return games.select("game_pk", "season", "date", "total_goals", F.explode(both).alias("s")).select("game_pk", "season", "date", "s.*", "total_goals")
+    game = [F.struct(*games.columns).alias("game")] if carry else []
+    rows = games.select("game_pk", "season", "date", "total_goals", *game, F.explode(both).alias("s"))
+    return rows.select("game_pk", "season", "date", "s.*", "total_goals", *["game" for _ in game])
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -78,12 +83,13 @@ def latest_ledger(log: DataFrame, keys: list[str], keep_old: list[str], order: l
 
 
 def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One digest of all rows, whatever their order: row digests are sorted and digested in 256 buckets, then the buckets'."""
+    """One digest of all rows, whatever their order: row digests are sorted and digested in a million buckets, these in
+    256, and those in one. Equal rows are one entry with their number."""
     row = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), 256)
-    rows = df.select(row.alias("h")).groupBy(F.substring("h", 1, 2).alias("bucket"), "h").agg(F.count("*").alias("n"))
-    # Equal rows are one entry with their number; a bucket holds a 256th of the distinct rows' digests in sorted order.
-    sums = rows.groupBy("bucket").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("h", F.lit(":"), F.col("n").cast("string")))), ","), 256).alias("d"))
-    return sums.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "d"))), lambda x: x.d), ","), 256).alias("fingerprint"))
+    level = df.select(row.alias("h")).groupBy("h").agg(F.count("*").alias("n")).select("h", F.concat("h", F.lit(":"), F.col("n").cast("string")).alias("d"))
+    for digits in (5, 2, 0):
+        level = level.groupBy(F.substring("h", 1, digits).alias("h")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("h", "d"))), lambda x: x.d), ","), 256).alias("d"))
+    return level.select(F.col("d").alias("fingerprint"))
 
 
 def fill_from(df: DataFrame, fills: dict[str, float], columns: list[str]) -> DataFrame:

@@ -25,7 +25,8 @@ def feature_columns(windows: tuple[int, ...] = WINDOWS) -> list[str]:
 
 
 def team_features(log: DataFrame, window: int = 20, min_games: int = 5, windows: tuple[int, ...] = WINDOWS) -> DataFrame:
-    out = rolling.streak(rolling.venue_rates(rolling.played_and_rest(rolling.multi_window(rolling.rolling_means(log, window), windows)), window))
+    out = rolling.venue_rates(rolling.multi_window(rolling.rolling_means(rolling.spread(log, halo=max(2 * window, *windows)), window), windows), window)
+    out = rolling.own(rolling.streak(rolling.played_and_rest(out)))
     return rolling.gate(out, [*side_columns(windows), "home_win_pct", "away_win_pct"], min_games)
 
 
@@ -35,6 +36,14 @@ def join_sides(games: DataFrame, sides: DataFrame, columns: list[str]) -> DataFr
     return games.join(sides.groupBy("game_pk").agg(*pick), "game_pk", "left")
 
 
+def contests(sides: DataFrame, columns: list[str]) -> DataFrame:
+    """The contests of a log with carry, one row each, with home and away columns: one grouped pass and no join."""
+    names = sides.schema["game"].dataType.names
+    flat = sides.select(*[F.col("game")[c].alias(c) for c in names], F.col("is_home").alias("__home"), *[F.col(c).alias("__" + c) for c in columns])
+    pick = [F.max(F.when(F.col("__home") == h, F.col("__" + c))).alias(f"{s}_{c}") for s, h in (("home", 1), ("away", 0)) for c in columns]
+    return flat.groupBy(*names).agg(*pick)
+
+
 def interactions(df: DataFrame, windows: tuple[int, ...] = WINDOWS) -> DataFrame:
     c = F.col
     rest = c("home_rest_days") - c("away_rest_days")
@@ -51,9 +60,9 @@ def interactions(df: DataFrame, windows: tuple[int, ...] = WINDOWS) -> DataFrame
 
 def add_features(games: DataFrame, window: int = 20, min_games: int = 5, windows: tuple[int, ...] = WINDOWS) -> DataFrame:
     """Each contest with its features from earlier contests only."""
-    sides = team_features(tables.team_log(games), window, min_games, windows)
-    own = rolling.venue_mean(rolling.head_to_head(games, window // 2), window)
-    out = join_sides(own, sides, [*side_columns(windows), "games_played"])
+    placed = rolling.head_to_head(rolling.own(rolling.venue_mean(rolling.spread(games, "home_team", window), window)), window // 2)
+    sides = team_features(tables.team_log(placed, carry=True), window, min_games, windows)
+    out = contests(sides, [*side_columns(windows), "games_played"])
     return interactions(out.withColumns(scalars.calendar(F.col("date"))), windows)
 
 

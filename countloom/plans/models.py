@@ -55,10 +55,25 @@ def fit_point_model(kind: str, train: DataFrame, features: list[str], target: st
     if kind == "double_poisson":
         models = double_poisson(train, params.get("alpha", 1.0))
         return lambda df: predict_double(models, df)
+    add = vectors(kind, train, features)
+    predict = fit_on_vectors(kind, add(train), target, seed, **params)
+    return lambda df: predict(add(df))
+
+
+def vectors(kind: str, train: DataFrame, features: list[str]) -> Callable[[DataFrame], DataFrame]:
+    """A function that adds x, the features as a vector; for linear models scaled by the training rows' means and deviations."""
     scale = _scaled(train, features) if kind in ("poisson_glm", "ridge") else {}
-    def scaled(df: DataFrame) -> DataFrame:
-        return df.withColumns({"z_" + c: (F.col(c) - m) / s for c, (m, s) in scale.items()}) if scale else df
     cols = ["z_" + c for c in features] if scale else features
+    assemble = VectorAssembler(inputCols=cols, outputCol="x")
+
+    def add(df: DataFrame) -> DataFrame:
+        return assemble.transform(df.withColumns({"z_" + c: (F.col(c) - m) / s for c, (m, s) in scale.items()}) if scale else df).drop(*(cols if scale else []))
+
+    return add
+
+
+def fit_on_vectors(kind: str, train: DataFrame, target: str = "total_goals", seed: int = 42, **params) -> Callable[[DataFrame], DataFrame]:
+    """As fit_point_model, for tables with x, which the function drops."""
     common = {"labelCol": target, "featuresCol": "x", "predictionCol": "mu"}
     if kind == "poisson_glm":
         est = GeneralizedLinearRegression(family="poisson", link="log", regParam=params.get("alpha", 1.0) / _mean(train, target), **common)
@@ -66,13 +81,13 @@ def fit_point_model(kind: str, train: DataFrame, features: list[str], target: st
         n, sd = train.agg(F.count("*"), F.stddev_pop(target)).first()
         est = LinearRegression(regParam=params.get("alpha", 1.0) * sd / n, standardization=False, solver="normal", **common)
     elif kind == "random_forest":
-        est = RandomForestRegressor(numTrees=params.get("trees", 200), maxDepth=params.get("depth", 12), featureSubsetStrategy="all", seed=seed, **common)
+        est = RandomForestRegressor(numTrees=params.get("trees", 200), maxDepth=params.get("depth", 12), featureSubsetStrategy="all", maxMemoryInMB=512, seed=seed, **common)
     elif kind == "boosted_trees":
-        est = GBTRegressor(maxIter=params.get("trees", 50), maxDepth=params.get("depth", 4), stepSize=params.get("rate", 0.05), subsamplingRate=0.8, seed=seed, **common)
+        est = GBTRegressor(maxIter=params.get("trees", 50), maxDepth=params.get("depth", 4), stepSize=params.get("rate", 0.05), subsamplingRate=params.get("subsample", 0.8), seed=seed, **common)
     else:
         raise ValueError(kind)
-    model = Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="x"), est]).fit(scaled(train))
-    return lambda df: at_least(model.transform(scaled(df)).drop("x", *(cols if scale else [])))
+    model = est.fit(train)
+    return lambda df: model.transform(df).withColumn("mu", F.greatest(F.col("mu"), F.lit(1e-9))).drop("x")
 
 
 def fit_alpha(cal: DataFrame, y: str = "y", mu: str = "mu") -> float:

@@ -72,11 +72,14 @@ def log_of(spark, d):
     return tables.team_log(games_view(spark, d))
 
 
+def recent_means(log: DataFrame, columns: list[str]) -> DataFrame:
+    """The log with these rolling means and games_played; null for a team with less than five contests."""
+    return rolling.gate(rolling.own(rolling.played_and_rest(rolling.rolling_means(rolling.spread(log, halo=20)))), columns, 5)
+
+
 def forecasts(spark: SparkSession, d: str) -> DataFrame:
     """A forecast for each contest whose teams have a history: the mean of both teams' rolling totals."""
-    games = games_view(spark, d)
-    sides = rolling.gate(rolling.played_and_rest(rolling.rolling_means(tables.team_log(games))), ["avg_total"], 5)
-    j = features.join_sides(games, sides, ["avg_total"])
+    j = features.contests(recent_means(tables.team_log(games_view(spark, d), carry=True), ["avg_total"]), ["avg_total"])
     return j.where("home_avg_total IS NOT NULL AND away_avg_total IS NOT NULL").select(
         "game_pk", "date", "season", "home_team", "away_team", ((F.col("home_avg_total") + F.col("away_avg_total")) / 2).alias("mu"), F.col("total_goals").alias("y")
     )
@@ -95,10 +98,8 @@ _GATED = ", ".join(f"round(CASE WHEN {s}.games_played >= 5 THEN {s}.{c} END, 6)
 
 @query(f"WITH {GAMES}, {LOG}, {ROLL} SELECT h.game_pk, {_GATED}, h.games_played AS home_games_played, a.games_played AS away_games_played FROM roll h JOIN roll a USING (game_pk) WHERE h.is_home = 1 AND a.is_home = 0")
 def rolling_features(spark, d):
-    games = games_view(spark, d)
     cols = list(rolling.MEANS)
-    sides = rolling.gate(rolling.played_and_rest(rolling.rolling_means(tables.team_log(games))), cols, 5)
-    out = features.join_sides(games, sides, [*cols, "games_played"])
+    out = features.contests(recent_means(tables.team_log(games_view(spark, d), carry=True), cols), [*cols, "games_played"])
     return rounded(out.select("game_pk", *[f"{s}_{c}" for s in ("home", "away") for c in [*cols, "games_played"]]))
 
 
@@ -108,7 +109,7 @@ _W = ", ".join(f"w{n} AS (PARTITION BY team ORDER BY date, game_pk ROWS BETWEEN
 
 @query(f"WITH {GAMES}, {LOG} SELECT game_pk, team, {_MULTI} FROM log WINDOW {_W}")
 def multi_window_features(spark, d):
-    return rounded(rolling.multi_window(log_of(spark, d)).select("game_pk", "team", *[f"{m}_{n}g" for n in features.WINDOWS for m in ("avg_gf", "avg_total", "win_pct", "std_gf")]))
+    return rounded(rolling.own(rolling.multi_window(rolling.spread(log_of(spark, d), halo=40))).select("game_pk", "team", *[f"{m}_{n}g" for n in features.WINDOWS for m in ("avg_gf", "avg_total", "win_pct", "std_gf")]))
 
 
 @query(f"""WITH {GAMES}, {LOG}, a AS (SELECT *, coalesce(win <> lag(win) OVER w, true) AS new, row_number() OVER w AS rn FROM log WINDOW w AS (PARTITION BY team ORDER BY date, game_pk)),
@@ -117,20 +118,20 @@ c AS (SELECT *, CASE WHEN win > 0 THEN 1 ELSE -1 END * row_number() OVER (PARTIT
 SELECT game_pk, team, CAST(date - lag(date) OVER w AS INT) AS rest_days, CAST(coalesce(date - lag(date) OVER w = 1, false) AS INT) AS is_back_to_back,
        CAST(coalesce(lag(signed) OVER w, 0) AS BIGINT) AS win_streak FROM c WINDOW w AS (PARTITION BY team ORDER BY rn)""")
 def rest_and_streak(spark, d):
-    out = rolling.streak(rolling.played_and_rest(log_of(spark, d)))
+    out = rolling.own(rolling.streak(rolling.played_and_rest(rolling.spread(log_of(spark, d), halo=1))))
     return out.select("game_pk", "team", "rest_days", "is_back_to_back", F.col("win_streak").cast("long").alias("win_streak"))
 
 
 @query(f"""WITH {GAMES}, {LOG} SELECT game_pk, team, round(coalesce(sum(win * is_home) OVER w / nullif(sum(is_home) OVER w, 0), 0.5), 6) AS home_win_pct,
 round(coalesce(sum(win * (1 - is_home)) OVER w / nullif(sum(1 - is_home) OVER w, 0), 0.5), 6) AS away_win_pct FROM log WINDOW w AS (PARTITION BY team ORDER BY date, game_pk ROWS BETWEEN 40 PRECEDING AND 1 PRECEDING)""")
 def home_away_rates(spark, d):
-    return rounded(rolling.venue_rates(log_of(spark, d)).select("game_pk", "team", "home_win_pct", "away_win_pct"))
+    return rounded(rolling.own(rolling.venue_rates(rolling.spread(log_of(spark, d), halo=40))).select("game_pk", "team", "home_win_pct", "away_win_pct"))
 
 
 @query(f"""WITH {GAMES} SELECT game_pk, round(avg(total_goals) OVER (PARTITION BY least(home_team, away_team), greatest(home_team, away_team) ORDER BY date, game_pk ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), 6) AS h2h_avg_goals,
 round(avg(total_goals) OVER (PARTITION BY home_team ORDER BY date, game_pk ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), 6) AS venue_avg_goals FROM games""")
 def pair_and_venue(spark, d):
-    return rounded(rolling.venue_mean(rolling.head_to_head(games_view(spark, d))).select("game_pk", "h2h_avg_goals", "venue_avg_goals"))
+    return rounded(rolling.head_to_head(rolling.own(rolling.venue_mean(rolling.spread(games_view(spark, d), "home_team", 20)))).select("game_pk", "h2h_avg_goals", "venue_avg_goals"))
 
 
 @query(f"""WITH {GAMES}, s AS (SELECT *, CASE WHEN month(date) >= 10 THEN year(date) ELSE year(date) - 1 END AS sy FROM games), e AS (SELECT *, date - make_date(sy, 10, 1) AS dd FROM s)
@@ -144,15 +145,36 @@ def calendar_features(spark, d):
     return rounded(g.select("game_pk", *[c.alias(k) for k, c in scalars.calendar(date).items()], scalars.season_code(scalars.season_start(date)).alias("season_code"), scalars.week_block(date).alias("block_key"), scalars.game_key(date, F.col("home_team"), F.col("away_team")).alias("game_key")))
 
 
-@query(f"""WITH {GAMES}, {LOG}, {ROLL} SELECT h.game_pk, round(h.avg_gf * a.avg_ga, 6) AS scoring_opportunity, round(a.avg_gf * h.avg_ga, 6) AS opponent_threat, CAST(h.rest_days - a.rest_days AS INT) AS rest_advantage,
-CAST(greatest(least(h.rest_days - a.rest_days, 5), -5) AS INT) AS rest_advantage_capped, round(h.win_pct - a.win_pct, 6) AS form_diff, round((h.avg_total + a.avg_total) / 2, 6) AS combined_avg_total
-FROM roll h JOIN roll a USING (game_pk) WHERE h.is_home = 1 AND a.is_home = 0 AND h.games_played >= 5 AND a.games_played >= 5""")
+_SO = ", ".join(f"round(h.avg_gf_{n}g * a.avg_ga_{n}g, 6) AS scoring_opp_{n}g, round(a.avg_gf_{n}g * h.avg_ga_{n}g, 6) AS opp_threat_{n}g" for n in features.WINDOWS)
+_CROSS = """round(h.avg_gf * a.avg_ga, 6) AS scoring_opportunity, round(a.avg_gf * h.avg_ga, 6) AS opponent_threat, CAST(h.rest_days - a.rest_days AS INT) AS rest_advantage,
+CAST(greatest(least(h.rest_days - a.rest_days, 5), -5) AS INT) AS rest_advantage_capped, round(h.win_pct - a.win_pct, 6) AS form_diff, round((h.avg_total + a.avg_total) / 2, 6) AS combined_avg_total"""
+_PAIRS = ", ".join(f"avg(goals_for) OVER w{n} AS avg_gf_{n}g, avg(goals_against) OVER w{n} AS avg_ga_{n}g, avg(total_goals) OVER w{n} AS avg_total_{n}g, avg(win) OVER w{n} AS win_pct_{n}g, stddev_samp(goals_for) OVER w{n} AS std_gf_{n}g" for n in features.WINDOWS)
+
+
+@query(f"""WITH {GAMES}, {LOG}, {ROLL}, m AS (SELECT roll.*, {_PAIRS} FROM roll WINDOW {_W})
+SELECT h.game_pk, {_CROSS}, {_SO} FROM m h JOIN m a USING (game_pk) WHERE h.is_home = 1 AND a.is_home = 0 AND h.games_played >= 5 AND a.games_played >= 5""")
 def interaction_features(spark, d):
+    """All fourteen interactions."""
     out = features.add_features(games_view(spark, d)).where("home_games_played >= 5 AND away_games_played >= 5")
-    return rounded(out.select("game_pk", *features.CROSS))
+    return rounded(out.select("game_pk", *features.CROSS, *[f"{c}_{n}g" for n in features.WINDOWS for c in ("scoring_opp", "opp_threat")]))
 
 
-@query()
+_SIDE = [c for c in features.side_columns() if c not in ("rest_days", "is_back_to_back", "win_streak")]
+_BOTH = ", ".join(
+    [f"round({s}.{c}, 6) AS {n}_{c}" for s, n in (("h", "home"), ("a", "away")) for c in _SIDE]
+    + [f"CAST({s}.rest_days AS INT) AS {n}_rest_days, CAST(coalesce({s}.rest_days = 1, false) AS INT) AS {n}_is_back_to_back, CAST({s}.win_streak AS BIGINT) AS {n}_win_streak, {s}.games_played AS {n}_games_played" for s, n in (("h", "home"), ("a", "away"))]
+)
+_CALENDAR = """CAST(month(date) AS INT) AS month, CAST(isodow(date) - 1 AS INT) AS day_of_week, CAST(isodow(date) >= 6 AS INT) AS is_weekend, CAST(dd AS INT) AS days_into_season,
+round(least(greatest(dd / 180.0, 0), 1), 6) AS season_progress, CAST(dd > 140 AS INT) AS is_late_season, CAST(dd < 30 AS INT) AS is_early_season"""
+
+
+@query(f"""WITH {GAMES}, {LOG}, {ROLL}, sa AS (SELECT *, coalesce(win <> lag(win) OVER w, true) AS new, row_number() OVER w AS rn FROM roll WINDOW w AS (PARTITION BY team ORDER BY date, game_pk)),
+sb AS (SELECT *, sum(CAST(new AS INT)) OVER (PARTITION BY team ORDER BY rn) AS island FROM sa), sc AS (SELECT *, CASE WHEN win > 0 THEN 1 ELSE -1 END * row_number() OVER (PARTITION BY team, island ORDER BY rn) AS signed FROM sb),
+m AS (SELECT sc.*, coalesce(lag(signed) OVER (PARTITION BY team ORDER BY rn), 0) AS win_streak, {_PAIRS} FROM sc WINDOW {_W}),
+g AS (SELECT *, date - make_date(CASE WHEN month(date) >= 10 THEN year(date) ELSE year(date) - 1 END, 10, 1) AS dd, avg(total_goals) OVER (PARTITION BY least(home_team, away_team), greatest(home_team, away_team) ORDER BY date, game_pk ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS h2h,
+avg(total_goals) OVER (PARTITION BY home_team ORDER BY date, game_pk ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS venue FROM games)
+SELECT g.game_pk, g.date, g.total_goals, {_BOTH}, round(h2h, 6) AS h2h_avg_goals, round(venue, 6) AS venue_avg_goals, {_CALENDAR.replace("date", "g.date")}, {_CROSS}, {_SO}
+FROM g JOIN m h ON h.game_pk = g.game_pk AND h.is_home = 1 JOIN m a ON a.game_pk = g.game_pk AND a.is_home = 0 WHERE h.games_played >= 5 AND a.games_played >= 5 AND h2h IS NOT NULL AND venue IS NOT NULL""")
 def all_features(spark, d):
     """All 79 features of the contests that have them."""
     cols = features.feature_columns()
@@ -163,14 +185,15 @@ def all_features(spark, d):
 
 
 @query(f"""WITH {GAMES}, h AS (SELECT sha256(concat_ws('|', game_pk, date, home_team, away_team, home_score, away_score)) AS h FROM games), n AS (SELECT h, count(*) AS n FROM h GROUP BY h),
-b AS (SELECT substr(h, 1, 2) AS bucket, sha256(string_agg(h || ':' || n, ',' ORDER BY h || ':' || n)) AS d FROM n GROUP BY 1) SELECT sha256(string_agg(d, ',' ORDER BY bucket)) AS fingerprint FROM b""")
+b AS (SELECT substr(h, 1, 5) AS h, sha256(string_agg(h || ':' || n, ',' ORDER BY h || ':' || n)) AS d FROM n GROUP BY 1), c AS (SELECT substr(h, 1, 2) AS h, sha256(string_agg(d, ',' ORDER BY h)) AS d FROM b GROUP BY 1)
+SELECT sha256(string_agg(d, ',' ORDER BY h)) AS fingerprint FROM c""")
 def cohort_fingerprint(spark, d):
     return tables.fingerprint(games_view(spark, d), ["game_pk", "date", "home_team", "away_team", "home_score", "away_score"])
 
 
 @query(f"WITH {GAMES}, {LOG}, {ROLL} SELECT round(median(avg_gf), 6) AS avg_gf, round(median(avg_ga), 6) AS avg_ga, round(median(rest_days), 6) AS rest_days FROM roll")
 def fill_values(spark, d):
-    roll = rolling.played_and_rest(rolling.rolling_means(log_of(spark, d)))
+    roll = rolling.own(rolling.played_and_rest(rolling.rolling_means(rolling.spread(log_of(spark, d), halo=20))))
     return rounded(tables.medians(roll, ["avg_gf", "avg_ga", "rest_days"]))
 
 
@@ -395,7 +418,7 @@ xl AS (SELECT season, date, team, opponent, avg(xgf) AS xgf, avg(xga) AS xga FRO
 @query(f"""WITH {GAMES}, {LOG}, {XG} SELECT game_pk, team, round(xgf, 6) AS xgf, round(xga, 6) AS xga, round(avg(xgf) OVER (w ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 6) AS avg_xgf_5g, round(avg(xga) OVER (w ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 6) AS avg_xga_5g,
 round(avg(xgf) OVER (w ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), 6) AS avg_xgf_20g, round(avg(xga) OVER (w ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), 6) AS avg_xga_20g FROM log LEFT JOIN xl USING (season, date, team, opponent) WINDOW w AS (PARTITION BY team ORDER BY date, game_pk)""")
 def xg_features(spark, d):
-    out = signals.add_xg(log_of(spark, d), signals.xg_log(xg_games(spark, d)), (5, 20))
+    out = rolling.own(signals.add_xg(rolling.spread(log_of(spark, d), halo=20), signals.xg_log(xg_games(spark, d)), (5, 20)))
     return rounded(out.select("game_pk", "team", "xgf", "xga", *[f"avg_{c}_{n}g" for n in (5, 20) for c in ("xgf", "xga")]))
 
 
@@ -464,8 +487,7 @@ def model_holdout(spark, d):
     """Errors of five models on the last fifth of the contests, fitted on the others."""
     df, cols = frame(spark, d)
     train, test = halves(df)
-    kinds = {"poisson_glm": {}, "ridge": {}, "random_forest": {"trees": 20, "depth": 6}, "boosted_trees": {"trees": 5}}
-    fitted = {k: models.fit_point_model(k, train, cols, **p) for k, p in kinds.items()} | {"stacked": studies.fit_stack(train, cols, ("ridge", "poisson_glm"), folds=2)}
+    fitted = {k: models.fit_point_model(k, train, cols) for k in ("poisson_glm", "ridge", "random_forest", "boosted_trees")} | {"stacked": studies.fit_stack(train, cols)}
     each = [f(test).select(F.lit(k).alias("model"), "mu", F.col("total_goals").alias("y")) for k, f in fitted.items()]
     return rounded(scoring.point_metrics(reduce(DataFrame.unionByName, each), by=["model"]))
 
@@ -480,9 +502,9 @@ def feature_importance(spark, d):
 
 @query()
 def parameter_search(spark, d):
-    """Trials of the ridge penalty over two folds."""
+    """Twenty trials of the ridge penalty over five folds."""
     df, cols = frame(spark, d)
-    return studies.random_search(df, "ridge", cols, models.fold_bounds(df.count(), 2), {"alpha": (0.1, 100.0, "log")}, trials=3).select("trial", r6(F.col("params")["alpha"]).alias("alpha"), r6("mae").alias("mae"), "rank")
+    return studies.random_search(df, "ridge", cols, models.fold_bounds(df.count()), {"alpha": (0.1, 100.0, "log")}).select("trial", r6(F.col("params")["alpha"]).alias("alpha"), r6("mae").alias("mae"), "rank")
 
 
 @query()
@@ -495,9 +517,9 @@ def ablation_study(spark, d):
 
 @query()
 def locked_benchmark(spark, d):
-    """Gate, fixed hold-out, three candidates and their champion."""
+    """Gate, fixed hold-out, four candidates and their champion; without the fifth, which takes 120 fits of boosted trees to tune."""
     df, cols = frame(spark, d)
-    return studies.locked_benchmark(df, cols)
+    return studies.locked_benchmark(df, cols, tune_trials=0)
 
 
 @query()

@@ -54,6 +54,36 @@ def test_no_feature_sees_its_own_or_a_later_result(spark):
     assert changed and all((day[k], k) > cut for k in changed)
 
 
+def test_a_history_in_chunks_gives_the_same(spark):
+    log = tables.team_log(league(spark, 120).unionByName(history(spark)))
+    # Long runs over several chunks, unknown outcomes within and between them, and no team or date.
+    runs = [(9000 + i, 2024, f"2024-{10 + i // 28:02d}-{1 + i % 28:02d}", "R", "S", *((None,) * 3 if i % 7 == 3 or 30 <= i < 42 else (3, 1, 4) if i < 25 or i >= 60 else (0, 1, 1))) for i in range(80)]
+    runs += [(9900 + i, 2024, None if i % 2 else "2024-10-01", None, "S", i, 2, i + 2) for i in range(6)]
+    log = log.unionByName(tables.team_log(some_games(spark, runs))).persist()
+
+    def full(x):
+        return rolling.streak(rolling.venue_rates(rolling.played_and_rest(rolling.multi_window(rolling.rolling_means(x)))))
+
+    read = lambda df: {(r.game_pk, r.team): tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect()}
+    want = read(full(log))
+    for size in (5, 64):
+        got = full(rolling.spread(log, halo=40, size=size))
+        assert read(rolling.own(got).select(*full(log).columns)) == want
+    assert {r.win_streak for r in full(log).where("team = 'R'").select("win_streak").collect()} >= {21, -1}
+
+
+def test_contests_come_back_from_the_log(spark):
+    g = league(spark, 30)
+    out = features.contests(tables.team_log(g, carry=True), ["goals_for"])
+    assert sorted(map(tuple, out.collect())) == sorted((*r, r.home_score, r.away_score) for r in g.collect())
+
+
+def test_request_metrics(spark):
+    log = spark.createDataFrame([("a" if i % 3 else None, 500 if i == 4 else 200, float(i), i // 2, i) for i in range(60)], "route string, status int, latency_ms double, ts int, id int")
+    got = {r.route: (r.requests, r.errors, r.p50, r.p99) for r in scoring.request_metrics(log, recent=10).collect()}
+    assert got == {"a": (40, 1, 52.0, 59.0), None: (20, 0, 42.0, 57.0)}
+
+
 def test_distributions(spark):
     df = spark.createDataFrame([(3.5,), (6.2,), (0.8,)], "mu double")
     for pmf in (dist.poisson_pmf(F.col("mu"), 30), dist.nb2_pmf(F.col("mu"), 0.4, 30), dist.mixture_pmf(F.col("mu"), 0.4, 1.3, 30)):
