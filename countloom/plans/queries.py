@@ -178,7 +178,7 @@ FROM g JOIN m h ON h.game_pk = g.game_pk AND h.is_home = 1 JOIN m a ON a.game_pk
 def all_features(spark, d):
     """All 79 features of the contests that have them."""
     cols = features.feature_columns()
-    return rounded(features.complete_cases(features.add_features(games_view(spark, d)), cols).select("game_pk", "date", "total_goals", *cols))
+    return rounded(features.complete_cases(features.add_features(games_view(spark, d)), cols).select("game_pk", "date", F.col("total_goals").cast("long").alias("total_goals"), *cols))
 
 
 # --- quality, splits, lookups -------------------------------------------------------------------
