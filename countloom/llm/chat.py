@@ -27,6 +27,12 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"\\([\\|])", "$1")
 
 
+def running_sums(values: Column) -> Column:
+    """Sums of an array up to each place, by doubling strides: n log n steps, where a growing array would be copied n times."""
+    strides = F.transform(F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)))).cast("int")), lambda k: F.pow(F.lit(2), k).cast("int"))
+    return F.aggregate(strides, values, lambda sums, by: F.transform(sums, lambda v, i: v + F.coalesce(F.get(sums, i - by), F.lit(0))))
+
+
 def format_conversations(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     """One row a conversation: conv_id, formatted, loss_spans (start from 0, length; in code points).
 
@@ -68,18 +74,13 @@ def format_conversations(turns: DataFrame, loss_role: str = "assistant") -> Data
             ),
         )
     )
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
-    walked = F.aggregate(
-        "pieces",
-        zero,
-        lambda acc, p: F.struct(
-            (acc.at + p.lead + p.len + p.tail).alias("at"),
-            F.when(p.loss, F.concat(acc.spans, F.array(F.struct((acc.at + p.lead).alias("start"), p.len.alias("length"))))).otherwise(acc.spans).alias("spans"),
-        ),
-        lambda acc: acc.spans,
-    )
     out = grouped.select("conv_id", F.array_join(written, "").alias("formatted"), pieces.alias("pieces"))
-    return out.select("conv_id", "formatted", walked.alias("loss_spans"))
+    out = out.withColumn("ends", running_sums(F.transform("pieces", lambda p: p.lead + p.len + p.tail)))
+    spans = F.zip_with(
+        "pieces", "ends", lambda p, end: F.struct(p.loss.alias("loss"), (end - p.tail - p.len).alias("start"), p.len.alias("length"))
+    )
+    said = F.filter(spans, lambda s: s.loss)
+    return out.select("conv_id", "formatted", F.transform(said, lambda s: F.struct(s.start.alias("start"), s.length.alias("length"))).alias("loss_spans"))
 
 
 def parse_formatted(formatted: Column) -> Column:

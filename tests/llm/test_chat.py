@@ -36,3 +36,25 @@ def test_round_trip_and_digests(spark):
 
 def test_empty(spark):
     assert chat.conversation_digests(chat.format_conversations(spark.createDataFrame([], TURNS))).count() == 0
+
+
+def test_long_conversation_and_long_text(spark):
+    turns = 5000
+    rows = [(7, i, "assistant" if i % 3 else "user", f"t{i} <|im_end|>") for i in range(turns)] + [(8, 0, "assistant", "é" * 2_000_000)]
+    formatted = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))
+    loss = {c: "".join(x for conv, _, role, x in rows if conv == c and role == "assistant") for c in (7, 8)}
+    for r in formatted.collect():
+        spans = [(s.start, s.length) for s in r.loss_spans]
+        assert all(a + n <= b for (a, n), (b, _) in zip(spans, spans[1:]))
+        said = "".join(r.formatted[a : a + n] for a, n in spans)
+        assert said.replace("<\\|", "<|") == loss[r.conv_id]
+    got = {r.conv_id: r for r in chat.conversation_digests(formatted).collect()}
+    assert got[7].n_turns == turns and got[8].loss_chars == 2_000_000
+    assert all(got[c].loss_sha256 == hashlib.sha256(t.encode()).hexdigest() for c, t in loss.items())
+
+
+def test_running_sums(spark):
+    for values in ([], [3], [1, 2, 3, 4, 5], list(range(100))):
+        df = spark.createDataFrame([(values,)], "v array<int>")
+        want = [sum(values[: i + 1]) for i in range(len(values))]
+        assert df.select(chat.running_sums(df.v).alias("s")).first().s == want
