@@ -32,15 +32,28 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str = "table") -> DataFrame:
+#: The rows of whole texts that a Python task gets at once.
+TEXTS_AT_ONCE = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def materialize(df: DataFrame, tag: str = "table", batch: int | None = None) -> DataFrame:
     """Write df once as a Parquet table in the shared folder and read it back.
 
     Cuts the lineage: what follows survives lost executors without running
     the work above again, and Spark knows the size of what it joins with.
+    With batch, Python tasks of this write get at most so many rows at once
+    (the session's setting is put back), as a batch is held by both the JVM
+    and the worker.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    usual = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, usual if batch is None else str(batch))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_BATCH, usual)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialize
+from .common import TEXTS_AT_ONCE, materialize
 
 WINDOW, END_ID = 1024, 0
 #: Entries of a worker's table of encoded words; it is emptied when full.
@@ -258,7 +258,7 @@ def _cut(with_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [*(x.split()[0] for x in _PIECES.split(", ")), "ids"]
         kinds = [pa.int64(), pa.string(), *[pa.int64()] * 6, pa.binary()]
-        for b in batches:
+        for b in (whole.slice(at, TEXTS_AT_ONCE) for whole in batches for at in range(0, whole.num_rows, TEXTS_AT_ONCE)):
             docs, sources, starts, firsts = (b.column(c).to_pylist() for c in ("doc_id", "source", "start", "first"))
             groups: dict[tuple, list[int]] = {}
             for i, key in enumerate(zip(sources, firsts, strict=True)):
@@ -297,7 +297,7 @@ def pack(docs: DataFrame, tokenizer: str, targets: dict[str, float] | None = Non
     spark = docs.sparkSession
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source"), F.lit("")).alias("source"), "text")
     schema = "doc_id long, source string, part long, start_in_part long, n long, ids binary"
-    tokens = materialize(given.mapInArrow(_encode(tokenizer), schema), "tokens")
+    tokens = materialize(given.mapInArrow(_encode(tokenizer), schema), "tokens", TEXTS_AT_ONCE)
     parts = materialize(tokens.groupBy("source", "part").agg(F.sum("n").alias("n")), "parts")
     lengths = {r["source"]: r["n"] for r in parts.groupBy("source").agg(F.sum("n").alias("n")).collect()}
     queues = sorted(lengths)
