@@ -76,21 +76,23 @@ def number_rows(df: DataFrame, keys: list[str], out: str = "row_no") -> tuple[Da
     The rows are sorted by range over all tasks and counted by partition; no
     window runs over the whole table. Rows equal in all keys rank by their
     position in df, which also splits them when they are a third of the
-    table. Only the counts, one a partition, meet in one place.
+    table. Only the counts, one a partition, meet in one place. A column of
+    df with the name of the new one is replaced; no other name clashes.
     """
-    base = materialize(df, "rows").withColumn("__tie", F.monotonically_increasing_id())
-    order = [F.col(k).asc_nulls_first() for k in keys] + [F.col("__tie")]
+    base = materialize(df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")), "rows").withColumn("tie", F.monotonically_increasing_id())
+    order = [F.col("row").getField(k).asc_nulls_first() for k in keys] + [F.col("tie")]
     low = (1 << 33) - 1
-    ranked = base.repartitionByRange(*order).sortWithinPartitions(*order).drop("__tie")
-    ranked = ranked.withColumns({"__part": F.spark_partition_id(), "__in": F.monotonically_increasing_id().bitwiseAND(F.lit(low))})
+    ranked = base.repartitionByRange(*order).sortWithinPartitions(*order).drop("tie")
+    ranked = ranked.withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id().bitwiseAND(F.lit(low))})
     ranked = materialize(ranked, "ranked")
-    counts = ranked.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
-    starts = materialize(counts.select("__part", "__n", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start")), "starts")
-    n = starts.agg(F.sum("__n")).first()[0] or 0
+    counts = ranked.groupBy("part").agg(F.count("*").alias("n"))
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    starts = materialize(counts.select("part", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")), "starts")
+    n = starts.agg(F.sum("n")).first()[0] or 0
     # One row for each shuffle partition: at most some MB even for a million partitions.
-    rows = ranked.join(F.broadcast(starts.select("__part", "__start")), "__part")
-    return rows.withColumn(out, F.col("__start") + F.col("__in")).drop("__part", "__in", "__start"), n
+    rows = ranked.join(F.broadcast(starts.select("part", "start")), "part")
+    kept = [F.col("row").getField(c).alias(c) for c in df.columns if c != out]
+    return rows.select(*kept, (F.col("start") + F.col("at")).alias(out)), n
 
 
 def permuted(row_no: Column, n: int, seed: int) -> Column:
@@ -110,8 +112,9 @@ def shard_rows(df: DataFrame, keys: list[str], shards: int, seed: int = 20) -> D
     """
     df = df.drop("row_no", "shard", "slot")
     rows, n = number_rows(df, keys)
-    at = permuted(F.col("row_no"), n, seed)
-    return rows.withColumn("__at", at).withColumns({"shard": (F.col("__at") % shards).cast("int"), "slot": F.expr(f"__at div {shards}")}).drop("__at")
+    kept = F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row")
+    at = rows.select(kept, permuted(F.col("row_no"), n, seed).alias("at"))
+    return at.select("row.*", (F.col("at") % shards).cast("int").alias("shard"), F.expr(f"at div {shards}").alias("slot"))
 
 
 def shard_documents(docs: DataFrame, shards: int = 24, seed: int = 20) -> DataFrame:
