@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, html_template, linededup, lm, merkle, packing, quality_eb, quality_rules, sharding, simhash
+from . import chat, decontam, html_template, linededup, lm, merkle, packing, periodic, quality_eb, quality_rules, sharding, simhash
 
 
 def tokenizer_path() -> str:
@@ -67,6 +67,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.tampering_report(_table(spark, sf_dir, "documents"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_report(_table(spark, sf_dir, "documents"))
+
+
 _OP8_SQL = r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -94,7 +98,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_decontamination, op2_sharding, op3_packing, op4_lm_scoring, op5_html_extraction,
         op6_quality_classifier, op7_line_dedup, op8_chat_formatting, op9_quality_rules, op10_simhash_dedup,
-        op12_merkle_manifest,
+        op12_merkle_manifest, op13_periodic_runs,
     )
     return {f.__name__: f for f in ops} | {"pipeline": run}
 
