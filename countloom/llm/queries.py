@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, html_template, linededup, lm, merkle, packing, periodic, quality_eb, quality_rules, sharding, simhash
+from . import chat, decontam, html_template, langid, linededup, lm, merkle, packing, periodic, quality_eb, quality_rules, sharding, simhash
 
 
 def tokenizer_path() -> str:
@@ -63,6 +63,10 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.group_documents(_table(spark, sf_dir, "documents"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict_documents(_table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.tampering_report(_table(spark, sf_dir, "documents"))
 
@@ -98,7 +102,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_decontamination, op2_sharding, op3_packing, op4_lm_scoring, op5_html_extraction,
         op6_quality_classifier, op7_line_dedup, op8_chat_formatting, op9_quality_rules, op10_simhash_dedup,
-        op12_merkle_manifest, op13_periodic_runs,
+        op11_language_id, op12_merkle_manifest, op13_periodic_runs,
     )
     return {f.__name__: f for f in ops} | {"pipeline": run}
 

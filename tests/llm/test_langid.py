@@ -1,0 +1,109 @@
+import math
+import random
+import zlib
+
+import numpy as np
+import pytest
+
+from countloom.llm import langid
+
+from .cases import DOCS, some_docs
+
+WORDS = {
+    "en": "the and of to in that was with for on is this house water wind".split(),
+    "de": "der und die das nicht ist mit auf für haus über wasser wind schön".split(),
+    "es": "el y la los que no con para casa agua viento niño más en".split(),
+}
+
+
+def slow_bits(train, text, order):
+    """The code length of text after train (byte strings), by walking down the contexts with exclusion."""
+    counts = {}
+    for t in train:
+        d = [0] * order + [b + 1 for b in t]
+        for i in range(order, len(d)):
+            for k in range(order + 1):
+                counts.setdefault(tuple(d[i - k : i]), {}).setdefault(d[i], 0)
+                counts[tuple(d[i - k : i])][d[i]] += 1
+    d, bits = [0] * order + [b + 1 for b in text], 0.0
+    for i in range(order, len(d)):
+        out = set()
+        for k in range(order, -1, -1):
+            seen = {s: n for s, n in counts.get(tuple(d[i - k : i]), {}).items() if s not in out}
+            if not counts.get(tuple(d[i - k : i])) or not seen:
+                continue
+            total = sum(seen.values()) + len(seen)
+            if d[i] in seen:
+                bits -= math.log2(seen[d[i]] / total)
+                break
+            bits -= math.log2(len(seen) / total)
+            out |= set(seen)
+        else:
+            bits += math.log2(256 - len(out))
+    return bits
+
+
+def sentences(lang, n, seed):
+    rng = random.Random(f"{lang}{seed}")
+    return [" ".join(rng.choice(WORDS[lang]) for _ in range(rng.randrange(1, 30))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("order", [0, 1, 2, 4])
+def test_code_lengths_against_brute_force(spark, order, monkeypatch):
+    monkeypatch.setattr(langid, "BYTES_AT_ONCE", 100)
+    rows = [(lang, s) for lang in WORDS for s in sentences(lang, 12, 1)] + [("en", ""), ("en", None), (None, "zz"), ("en", "a\0b\0")]
+    trees = langid.learn(spark.createDataFrame(rows, "lang string, text string").repartition(3), order)
+    assert list(trees) == ["de", "en", "es"]
+    tests = [*sentences("de", 3, 2), "x", "", "ßß the \0 qqq", "w" * 300]
+    for lang, tree in trees.items():
+        train = [langid.lowered(t) for x, t in rows if x == lang and t is not None]
+        for t in tests:
+            t = langid.lowered(t)
+            got = sum(tree.bits(number).sum() for _, number in langid.stretches([t], order)) if t else 0
+            assert got == pytest.approx(slow_bits(train, t, order), abs=1e-6), (lang, t)
+
+
+def test_a_smaller_tree_keeps_suffixes(spark):
+    rows = [(lang, s) for lang in WORDS for s in sentences(lang, 30, 3)]
+    counts = langid.count_stretches(spark.createDataFrame(rows, "lang string, text string"))
+    kept = {(r.lang, r.length, r.stretch) for r in langid.most_counted(counts, 500).collect()}
+    assert 100 < len(kept) <= 500
+    assert all(n == 1 or (lang, n - 1, s % langid.BASE ** (n - 1)) in kept for lang, n, s in kept)
+    assert langid.most_counted(counts, 0).count() == 0
+
+
+def test_stretches_know_where_a_text_begins():
+    got = [(t, n) for at, no in langid.stretches([b"ab", b"", b"\0c"], 2) for t, n in zip(at.tolist(), no.tolist(), strict=True)]
+    d = lambda *x: sum(v * 257**k for k, v in enumerate(reversed(x)))
+    assert got == [(0, d(0, 0, 98)), (0, d(0, 98, 99)), (2, d(0, 0, 1)), (2, d(0, 1, 100))]
+
+
+def test_held_out_documents(spark):
+    rows = [(i, s, lang, "s", len(s), "x", "y") for k, lang in enumerate(WORDS) for i, s in enumerate(sentences(lang, 80, 5), 1000 * k)]
+    rows += some_docs() + [(9001, "12345 ... !", "en", "s", 1, "x", "y"), (9002, None, "fr", None, 1, "x", "y")]
+    docs = spark.createDataFrame(rows, DOCS).repartition(4)
+    got = langid.predict_documents(docs).collect()
+    assert len(got) == len(rows)
+    true = {r[0]: r[2] for r in rows[:240]}
+    right = [r.lang_pred == true[r.doc_id] for r in got if r.held_out and r.doc_id in true]
+    assert len(right) > 40 and np.mean(right) > 0.95
+    assert all(0 <= r.score <= 1 for r in got)
+    for r in got:
+        assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+    assert {r.lang_pred for r in got if r.doc_id in (9001, 9002, 100, 101, 102)} == {"und"}
+    # What a document's own columns say changes nothing.
+    other = docs.selectExpr("doc_id", "text", "CASE WHEN crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 4 = 2 THEN 'zz' ELSE lang END AS lang")
+    assert sorted(map(str, langid.predict_documents(other).collect())) == sorted(map(str, got))
+
+
+def test_empty_and_unlabelled_tables(spark):
+    none = spark.createDataFrame([], DOCS)
+    assert langid.predict_documents(none).count() == 0
+    r = langid.predict_documents(spark.createDataFrame([(1, "words", None, None, None, None, None)], DOCS)).first()
+    assert (r.lang_pred, r.score, r.code_bits) == ("und", 0.0, None)
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([("the wind", 1, "k", "c")], "text string, score int, `x.y` string, c0 string")
+    got = langid.identify(docs, {"en": langid.Tree(np.array([1]), np.array([117]), np.array([3]))}).first()
+    assert (got["x.y"], got.c0, got.lang_pred, got.score) == ("k", "c", "en", 1.0)
