@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..sources.shared import written
+from . import order_stats
+
 #: The parts of the combined model score.
 WEIGHTS = {"mae": 0.35, "crps": 0.30, "dist_nll": 0.20, "over_brier": 0.15}
 #: The same parts by contest, and the models from simple to complex.
@@ -45,12 +48,15 @@ def segments(df: DataFrame, columns: list[str]) -> DataFrame:
     return long.groupBy("segment", "value").agg(F.count("*").alias("games"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg("mu").alias("avg_mu"), F.avg("y").alias("avg_y"))
 
 
+def inner_edges(q: list[float]) -> list[float]:
+    """The bins' edges from quantiles: without repeats and without the outer two, which are open."""
+    return sorted(set(q))[1:-1]
+
+
 def histogram_reference(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
-    """One row: edges (quantiles without repeats, the outer ones open) and fractions of the bins."""
-    probs = [i / bins for i in range(bins + 1)]
-    edges = df.agg(F.array_sort(F.array_distinct(F.percentile(column, F.array(*[F.lit(p) for p in probs])))).alias("edges"), F.count(column).alias("n"))
-    inner = F.when(F.size("edges") > 2, F.slice("edges", F.lit(2), F.size("edges") - 2)).otherwise(F.array().cast("array<double>"))
-    return edges.select("n", inner.alias("inner"))
+    """One row: n and the inner edges of the column's quantile bins; a single bin where all values are the same."""
+    n, q = order_stats.select(df, {column: [i / bins for i in range(bins + 1)]}).get(("", column), (0, []))
+    return df.sparkSession.createDataFrame([(n, inner_edges(q))], "n long, inner array<double>")
 
 
 def bucket_of(x: Column, inner: Column) -> Column:
@@ -60,6 +66,7 @@ def bucket_of(x: Column, inner: Column) -> Column:
 
 def psi(reference: DataFrame, recent: DataFrame, column: str, bins: int = 10) -> DataFrame:
     """Population stability index of recent rows against the reference rows' quantile bins, with its status."""
+    reference, recent = written(reference.select(column), "reference"), written(recent.select(column), "recent")
     edges = histogram_reference(reference, column, bins)
     frac = lambda df, name: (
         df.where(F.col(column).isNotNull()).crossJoin(F.broadcast(edges.select("inner"))).groupBy(bucket_of(F.col(column), F.col("inner")).alias("b")).agg(F.count("*").alias("c"))
@@ -133,9 +140,6 @@ def request_metrics(log: DataFrame, recent: int = 1024) -> DataFrame:
 
 
 def higher_quantile(df: DataFrame, score: str, q: float) -> DataFrame:
-    """radius: element ceil(q * (n - 1)) of the sorted scores."""
-    n = df.where(F.col(score).isNotNull()).count()
-    if not n:
-        return df.sparkSession.range(1).select(F.lit(None).cast("double").alias("radius"))
-    k = -(-(n - 1) * q // 1)
-    return df.agg(F.expr(f"percentile_disc({(k + 0.5) / n}) WITHIN GROUP (ORDER BY {score})").alias("radius"))
+    """One row, n and radius: element ceil(q * (n - 1)) of the sorted scores; null without any."""
+    n, values = order_stats.select(written(df.select(score), "scores"), {score: [q]}, interpolate=False).get(("", score), (0, [None]))
+    return df.sparkSession.createDataFrame([(n, values[0])], "n long, radius double")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from . import order_stats
+
 
 def team_log(games: DataFrame, carry: bool = False) -> DataFrame:
     """Two rows a contest, one for each side, from one scan; an unknown result has no winner.
@@ -97,7 +99,10 @@ def fill_from(df: DataFrame, fills: dict[str, float], columns: list[str]) -> Dat
 
 
 def medians(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.agg(*[F.median(c).alias(c) for c in columns])
+    """One row: each column's median, null where it has no value; exact, by counts of ranges."""
+    found = order_stats.select(df, {c: [0.5] for c in columns})
+    row = tuple(float(found["", c][1][0]) if ("", c) in found else None for c in columns)
+    return df.sparkSession.createDataFrame([row], ", ".join(f"`{c}` double" for c in columns))
 
 
 def clip(x: Column, low: float, high: float) -> Column:

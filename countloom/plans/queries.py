@@ -194,7 +194,7 @@ def cohort_fingerprint(spark, d):
 @query(f"WITH {GAMES}, {LOG}, {ROLL} SELECT round(median(avg_gf), 6) AS avg_gf, round(median(avg_ga), 6) AS avg_ga, round(median(rest_days), 6) AS rest_days FROM roll")
 def fill_values(spark, d):
     roll = rolling.own(rolling.played_and_rest(rolling.rolling_means(rolling.spread(log_of(spark, d), halo=20))))
-    return rounded(tables.medians(roll, ["avg_gf", "avg_ga", "rest_days"]))
+    return rounded(tables.medians(written(roll.select("avg_gf", "avg_ga", "rest_days"), "rolled"), ["avg_gf", "avg_ga", "rest_days"]))
 
 
 @query(f"""WITH {GAMES}, i AS (SELECT game_pk, row_number() OVER (ORDER BY date, game_pk) - 1 AS idx, count(*) OVER () AS n FROM games)
@@ -283,8 +283,7 @@ def dispersion_grid(spark, d):
 
 @query(f"""{WITH}, s AS (SELECT abs(y - mu) AS e, row_number() OVER (ORDER BY abs(y - mu)) - 1 AS k, count(*) OVER () AS n FROM fc) SELECT round(max(e), 6) AS radius, max(n) AS n FROM s WHERE k = CAST(ceil(0.9 * (n - 1)) AS BIGINT)""")
 def conformal_radius(spark, d):
-    f = forecasts(spark, d).withColumn("e", F.abs(F.col("y") - F.col("mu")))
-    return rounded(scoring.higher_quantile(f, "e", 0.9).withColumn("n", F.lit(f.count())))
+    return rounded(scoring.higher_quantile(forecasts(spark, d).select(F.abs(F.col("y") - F.col("mu")).alias("e")), "e", 0.9))
 
 
 # --- scores and decisions -----------------------------------------------------------------------
@@ -328,7 +327,7 @@ fc2 AS (SELECT b, count(*) / sum(count(*)) OVER () AS f FROM (SELECT len(list_fi
 j AS (SELECT greatest(coalesce(fc2.f, 0), 1e-6) AS p, greatest(coalesce(fr.f, 0), 1e-6) AS q FROM b LEFT JOIN fr USING (b) LEFT JOIN fc2 USING (b)), s AS (SELECT sum((p - q) * ln(p / q)) AS psi, count(*) AS bins FROM j)
 SELECT round(psi, 6) AS psi, bins, CASE WHEN psi >= 0.25 THEN 'significant' WHEN psi >= 0.1 THEN 'moderate' ELSE 'stable' END AS status FROM s""")
 def forecast_drift(spark, d):
-    f = rolling.chronological_index(forecasts(spark, d)).withColumn("mu", F.round("mu", 6))
+    f = written(rolling.chronological_index(forecasts(spark, d)).select("idx", F.round("mu", 6).alias("mu")), "forecasts")
     half = f.count() // 2
     return rounded(scoring.psi(f.where(F.col("idx") < half), f.where(F.col("idx") >= half), "mu"))
 

@@ -1,0 +1,69 @@
+import math
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from countloom.operators import order_stats, scoring, tables
+
+PROBS = [0.0, 0.001, 0.1, 0.25, 1 / 3, 0.5, 0.9, 0.999, 1.0]
+
+
+def columns(n, seed=1):
+    rng = np.random.default_rng(seed)
+    return {
+        "normal": rng.normal(size=n), "few": rng.integers(0, 4, n).astype(float), "same": np.full(n, 2.5), "heavy": np.exp(rng.normal(size=n) * 40) * rng.choice([-1, 1], n),
+        "tiny": 1.0 + rng.integers(0, 3, n) * 2.0**-50, "skew": np.where(rng.random(n) < 0.9, 7.0, rng.random(n)), "huge": rng.choice([-1.7e308, 0.0, 1.7e308], n),
+    }
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 5000])
+@pytest.mark.parametrize(("cells", "sketch"), [(1 << 17, 800), (64, 8)])
+def test_against_numpy(spark, n, cells, sketch, monkeypatch):
+    monkeypatch.setattr(order_stats, "CELLS", cells)
+    monkeypatch.setattr(order_stats, "SKETCH_K", sketch)
+    cols = columns(n)
+    df = spark.createDataFrame([tuple(map(float, r)) for r in zip(*cols.values(), strict=True)], ", ".join(f"`{c}` double" for c in cols)).repartition(3)
+    for how, interpolate in (("linear", True), ("higher", False)):
+        got = {r["column"]: r for r in order_stats.quantiles(df, list(cols), PROBS, interpolate=interpolate).collect()}
+        for c, v in cols.items():
+            assert got[c].n == n
+            if c != "huge" or not interpolate:
+                s = np.sort(v)
+                at = np.array(PROBS) * (n - 1)
+                want = s[np.ceil(at).astype(int)] if how == "higher" else s[np.floor(at).astype(int)] + (s[np.ceil(at).astype(int)] - s[np.floor(at).astype(int)]) * (at - np.floor(at))
+                assert got[c].q == want.tolist(), (c, how)
+
+
+def test_nulls_groups_and_empty(spark):
+    rng = random.Random(2)
+    rows = [(g, rng.choice([None, float("nan"), float("inf"), rng.random(), rng.random()])) for g in ["a", "b", None, "c"] for _ in range(200)] + [("empty", None)]
+    df = spark.createDataFrame(rows, "`k.y` string, v double")
+    got = {r["k.y"]: (r.n, r.q) for r in order_stats.quantiles(df, ["v"], [0.5, 0.9], "k.y").collect()}
+    for g in ("a", "b", "c"):
+        v = [x for k, x in rows if k == g and x is not None and math.isfinite(x)]
+        assert got.pop(g) == (len(v), pytest.approx(np.quantile(v, [0.5, 0.9]).tolist(), abs=1e-15))
+    assert not got
+    assert order_stats.quantiles(df.limit(0), ["v"], [0.5]).count() == 0
+
+
+def test_a_million_values_in_bounded_aggregates(spark, monkeypatch):
+    """All values differ: no pass has more rows than its cells, and the ranks are exact."""
+    sizes = []
+    collect = type(spark.range(1)).collect
+    monkeypatch.setattr(type(spark.range(1)), "collect", lambda self: sizes.append(len(out := collect(self))) or out)
+    df = spark.range(1_000_000, numPartitions=8).select((F.pmod(F.col("id") * 7919, F.lit(1_000_003)) / 7.0).alias("v"))
+    found = order_stats.select(df, {"v": [0.1, 0.5, 0.9]})
+    values = np.sort(np.arange(1_000_000) * 7919 % 1_000_003 / 7.0)
+    assert found["", "v"] == (1_000_000, pytest.approx(np.quantile(values, [0.1, 0.5, 0.9]).tolist(), rel=1e-15))
+    assert max(sizes) <= order_stats.CELLS and len(sizes) < 8
+
+
+def test_radius_medians_and_edges(spark):
+    df = spark.createDataFrame([(float(i), None if i % 3 else i / 7.0) for i in range(100)], "a double, b double")
+    assert scoring.higher_quantile(df, "a", 0.9).first().radius == 90.0
+    assert scoring.higher_quantile(df.limit(0), "a", 0.9).first().radius is None
+    assert tuple(tables.medians(df, ["a", "b"]).first()) == (49.5, pytest.approx(np.median([i / 7 for i in range(0, 100, 3)])))
+    assert tables.medians(df.limit(0), ["a"]).first().a is None
+    assert scoring.histogram_reference(df, "a", 4).first().inner == [24.75, 49.5, 74.25]
