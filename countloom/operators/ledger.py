@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import distributions as dist
-from . import scoring, tables
+from ..sources.shared import written
+from . import drift, tables
 
 KEY = ["game_pk", "artifact_id", "forecast_kind"]
 #: Columns whose old value stays when a later write has none.
@@ -47,16 +48,25 @@ def recent_rows(logged: DataFrame, n: int = RECENT) -> DataFrame:
     return logged.orderBy(F.desc("predicted_at"), F.desc("game_pk")).limit(n)
 
 
-def monitoring_summary(logged: DataFrame, results: DataFrame, reference: DataFrame | None = None, n: int = RECENT) -> DataFrame:
-    """One row: n_logged, n_reconciled, the realised metrics of the n newest forecasts, and the drift of mu.
+def monitoring_summary(logged: DataFrame, results: DataFrame, references: DataFrame | None = None, n: int = RECENT, forecast: str = "predicted_total_goals") -> DataFrame:
+    """One row: n_logged, n_reconciled, the realised metrics of the n newest forecasts, and the drift of the forecasts.
 
-    reference has the column mu of the forecasts that the model was accepted
-    with; without it drift is null and its status unavailable.
+    references are those that an artifact holds (see drift.references), with
+    the forecasts under the name given; without them drift is null and its
+    status unavailable. The drift of the features is feature_drift's.
     """
     reconciled = tables.reconcile(logged, results)
     counts = reconciled.agg(F.count("*").alias("n_logged"), F.count("actual").alias("n_reconciled"))
-    recent = recent_rows(reconciled, n)
+    recent = written(recent_rows(reconciled, n), "recent")
     out = counts.crossJoin(F.broadcast(realized_metrics(recent)))  # one row each
-    if reference is None:
+    if references is None:
         return out.withColumns({"psi": F.lit(None).cast("double"), "status": F.lit("unavailable")})
-    return out.crossJoin(F.broadcast(scoring.psi(reference, recent, "mu").select("psi", "status")))
+    of = drift.stability(recent.select(F.lit(forecast).alias("name"), F.col("mu").alias("x")), references.where(F.col("name") == forecast))
+    return out.crossJoin(F.broadcast(of.select("psi", "status")))
+
+
+def feature_drift(logged: DataFrame, references: DataFrame, n: int = RECENT, forecast: str = "predicted_total_goals") -> DataFrame:
+    """A row for each reference: how the n newest forecasts, and the features that they were made from (a map by name), differ from it."""
+    recent = recent_rows(logged, n)
+    values = recent.select(F.explode(F.map_concat(F.coalesce("features", F.create_map().cast("map<string,double>")), F.create_map(F.lit(forecast), F.col("mu")))).alias("name", "x"))
+    return drift.stability(values, references)

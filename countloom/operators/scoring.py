@@ -7,14 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..sources.shared import written
-from . import order_stats
+from . import drift, order_stats
 
 #: The parts of the combined model score.
 WEIGHTS = {"mae": 0.35, "crps": 0.30, "dist_nll": 0.20, "over_brier": 0.15}
 #: The same parts by contest, and the models from simple to complex.
 PER_GAME = {"mae": "abs_error", "crps": "crps", "dist_nll": "dist_nll", "over_brier": "over_brier"}
 COMPLEXITY = ("team_strength", "poisson_glm", "double_poisson", "boosted_trees", "tuned_boosted_trees")
-DRIFT_MODERATE, DRIFT_SIGNIFICANT, EPS = 0.10, 0.25, 1e-6
 
 
 def point_metrics(df: DataFrame, y: str = "y", mu: str = "mu", by: list[str] | None = None) -> DataFrame:
@@ -48,35 +47,14 @@ def segments(df: DataFrame, columns: list[str]) -> DataFrame:
     return long.groupBy("segment", "value").agg(F.count("*").alias("games"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg("mu").alias("avg_mu"), F.avg("y").alias("avg_y"))
 
 
-def inner_edges(q: list[float]) -> list[float]:
-    """The bins' edges from quantiles: without repeats and without the outer two, which are open."""
-    return sorted(set(q))[1:-1]
-
-
 def histogram_reference(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
     """One row: n and the inner edges of the column's quantile bins; a single bin where all values are the same."""
-    n, q = order_stats.select(df, {column: [i / bins for i in range(bins + 1)]}).get(("", column), (0, []))
-    return df.sparkSession.createDataFrame([(n, inner_edges(q))], "n long, inner array<double>")
-
-
-def bucket_of(x: Column, inner: Column) -> Column:
-    """Bin number by inner edges: [a, b), the outer bins open."""
-    return F.size(F.filter(inner, lambda e: x >= e))
+    return drift.references(df, [column], bins).select("n", "inner")
 
 
 def psi(reference: DataFrame, recent: DataFrame, column: str, bins: int = 10) -> DataFrame:
-    """Population stability index of recent rows against the reference rows' quantile bins, with its status."""
-    reference, recent = written(reference.select(column), "reference"), written(recent.select(column), "recent")
-    edges = histogram_reference(reference, column, bins)
-    frac = lambda df, name: (
-        df.where(F.col(column).isNotNull()).crossJoin(F.broadcast(edges.select("inner"))).groupBy(bucket_of(F.col(column), F.col("inner")).alias("b")).agg(F.count("*").alias("c"))
-        .select("b", (F.col("c") / F.sum("c").over(W.partitionBy(F.lit(1)))).alias(name))  # bins, not rows
-    )
-    all_bins = edges.select(F.explode(F.sequence(F.lit(0), F.size("inner"))).alias("b"))
-    both = all_bins.join(frac(reference, "ref"), "b", "left").join(frac(recent, "rec"), "b", "left")
-    p, q = F.greatest(F.coalesce("rec", F.lit(0.0)), F.lit(EPS)), F.greatest(F.coalesce("ref", F.lit(0.0)), F.lit(EPS))
-    out = both.agg(F.sum((p - q) * F.ln(p / q)).alias("psi"), F.count("*").alias("bins"))
-    return out.withColumn("status", F.when(F.col("psi") >= DRIFT_SIGNIFICANT, "significant").when(F.col("psi") >= DRIFT_MODERATE, "moderate").otherwise("stable"))
+    """One row: psi of recent rows against the reference rows' quantile bins, the number of bins, and the status."""
+    return drift.stability(drift.long_of(recent, [column]), written(drift.references(reference, [column], bins), "references")).select("psi", "bins", "status")
 
 
 def flat_stakes(df: DataFrame, min_edges: list[float], p: str = "p_over", y: str = "y_over", ref: str = "reference_p_over", stake: float = 1.0) -> DataFrame:

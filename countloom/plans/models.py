@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,16 +29,12 @@ def team_strength(train: DataFrame, target: str = "total_goals", alpha: float =
     return Pipeline(stages=[index, hot, VectorAssembler(inputCols=["hv", "av"], outputCol="x"), glm]).fit(train)
 
 
-def double_poisson(train: DataFrame, alpha: float = 1.0) -> tuple[PipelineModel, PipelineModel]:
-    """One regression for each side's count; the total's mean is their sum."""
-    return team_strength(train, "home_score", alpha), team_strength(train, "away_score", alpha)
-
-
-def predict_double(models: tuple[PipelineModel, PipelineModel], df: DataFrame) -> DataFrame:
-    drop = ["hi", "ai", "hv", "av", "x"]
-    home = models[0].transform(df).withColumnRenamed("mu", "lambda_home").drop(*drop)
-    both = models[1].transform(home).withColumnRenamed("mu", "lambda_away").drop(*drop)
-    return both.withColumn("mu", F.greatest(F.col("lambda_home") + F.col("lambda_away"), F.lit(1e-9)))
+def double_poisson(train: DataFrame, alpha: float = 1.0) -> PipelineModel:
+    """One regression for each side's count (lambda_home, lambda_away); the total's mean is their sum."""
+    stages = []
+    for side in ("home", "away"):
+        stages += [team_strength(train, f"{side}_score", alpha), SQLTransformer(statement=f"SELECT * EXCEPT (hi, ai, hv, av, x, mu), mu AS lambda_{side} FROM __THIS__")]
+    return PipelineModel(stages=[*stages, SQLTransformer(statement="SELECT *, greatest(lambda_home + lambda_away, 1e-9D) AS mu FROM __THIS__")])
 
 
 def _scaled(train: DataFrame, features: list[str]) -> dict[str, tuple[float, float]]:
@@ -46,47 +42,65 @@ def _scaled(train: DataFrame, features: list[str]) -> dict[str, tuple[float, flo
     return {c: (row["m" + c], row["s" + c] or 1.0) for c in features}
 
 
-def fit_point_model(kind: str, train: DataFrame, features: list[str], target: str = "total_goals", seed: int = 42, **params) -> Callable[[DataFrame], DataFrame]:
-    """A function that adds mu (1e-9 at least) to a table, for one of the model kinds."""
-    at_least = lambda df: df.withColumn("mu", F.greatest(F.col("mu"), F.lit(1e-9)))
+def _at_least(*drop: str) -> SQLTransformer:
+    """The last stage of a model: mu is 1e-9 at least, and the columns it was made with go."""
+    return SQLTransformer(statement=f"SELECT * EXCEPT ({', '.join(f'`{c}`' for c in (*drop, 'mu'))}), greatest(mu, 1e-9D) AS mu FROM __THIS__")
+
+
+def fit_pipeline(kind: str, train: DataFrame, features: list[str], target: str = "total_goals", seed: int = 42, **params) -> PipelineModel:
+    """A model of one of the kinds that adds mu (1e-9 at least) to a table; it can be saved and loaded whole."""
     if kind == "team_strength":
-        model = team_strength(train, target, params.get("alpha", 1.0))
-        return lambda df: at_least(model.transform(df).drop("hi", "ai", "hv", "av", "x"))
+        return PipelineModel(stages=[team_strength(train, target, params.get("alpha", 1.0)), _at_least("hi", "ai", "hv", "av", "x")])
     if kind == "double_poisson":
-        models = double_poisson(train, params.get("alpha", 1.0))
-        return lambda df: predict_double(models, df)
-    add = vectors(kind, train, features)
-    predict = fit_on_vectors(kind, add(train), target, seed, **params)
-    return lambda df: predict(add(df))
+        return double_poisson(train, params.get("alpha", 1.0))
+    stages = vector_stages(kind, train, features)
+    made = PipelineModel(stages=stages).transform(train)
+    drop = [c for c in made.columns if c not in train.columns]
+    return PipelineModel(stages=[*stages, estimator(kind, made, target, seed, **params).fit(made), _at_least(*drop)])
 
 
-def vectors(kind: str, train: DataFrame, features: list[str]) -> Callable[[DataFrame], DataFrame]:
-    """A function that adds x, the features as a vector; for linear models scaled by the training rows' means and deviations."""
-    scale = _scaled(train, features) if kind in ("poisson_glm", "ridge") else {}
-    cols = ["z_" + c for c in features] if scale else features
-    assemble = VectorAssembler(inputCols=cols, outputCol="x")
+def fit_point_model(kind: str, train: DataFrame, features: list[str], target: str = "total_goals", seed: int = 42, **params) -> Callable[[DataFrame], DataFrame]:
+    """As fit_pipeline: the function that adds mu."""
+    return fit_pipeline(kind, train, features, target, seed, **params).transform
 
-    def add(df: DataFrame) -> DataFrame:
-        return assemble.transform(df.withColumns({"z_" + c: (F.col(c) - m) / s for c, (m, s) in scale.items()}) if scale else df).drop(*(cols if scale else []))
 
-    return add
+def vector_stages(kind: str, train: DataFrame, features: list[str]) -> list:
+    """The stages that add x, the features as a vector; for linear models scaled by the training rows' means and deviations."""
+    scale = _scaled(train, features) if kind in ("poisson_glm", "ridge") else {}
+    if not scale:
+        return [VectorAssembler(inputCols=features, outputCol="x")]
+    number = lambda v: f"CAST('{v!r}' AS DOUBLE)"
+    scaled = ", ".join(f"(`{c}` - {number(m)}) / {number(s)} AS `z_{c}`" for c, (m, s) in scale.items())
+    return [SQLTransformer(statement=f"SELECT *, {scaled} FROM __THIS__"), VectorAssembler(inputCols=["z_" + c for c in features], outputCol="x")]
 
 
-def fit_on_vectors(kind: str, train: DataFrame, target: str = "total_goals", seed: int = 42, **params) -> Callable[[DataFrame], DataFrame]:
-    """As fit_point_model, for tables with x, which the function drops."""
+def estimator(kind: str, train: DataFrame, target: str = "total_goals", seed: int = 42, **params):
+    """The MLlib estimator of a kind, for tables with x."""
     common = {"labelCol": target, "featuresCol": "x", "predictionCol": "mu"}
     if kind == "poisson_glm":
-        est = GeneralizedLinearRegression(family="poisson", link="log", regParam=params.get("alpha", 1.0) / _mean(train, target), **common)
-    elif kind == "ridge":
+        return GeneralizedLinearRegression(family="poisson", link="log", regParam=params.get("alpha", 1.0) / _mean(train, target), **common)
+    if kind == "ridge":
         n, sd = train.agg(F.count("*"), F.stddev_pop(target)).first()
-        est = LinearRegression(regParam=params.get("alpha", 1.0) * sd / n, standardization=False, solver="normal", **common)
-    elif kind == "random_forest":
-        est = RandomForestRegressor(numTrees=params.get("trees", 200), maxDepth=params.get("depth", 12), featureSubsetStrategy="all", maxMemoryInMB=512, seed=seed, **common)
-    elif kind == "boosted_trees":
-        est = GBTRegressor(maxIter=params.get("trees", 50), maxDepth=params.get("depth", 4), stepSize=params.get("rate", 0.05), subsamplingRate=params.get("subsample", 0.8), seed=seed, **common)
-    else:
-        raise ValueError(kind)
-    model = est.fit(train)
+        return LinearRegression(regParam=params.get("alpha", 1.0) * sd / n, standardization=False, solver="normal", **common)
+    if kind == "random_forest":
+        return RandomForestRegressor(numTrees=params.get("trees", 200), maxDepth=params.get("depth", 12), featureSubsetStrategy="all", maxMemoryInMB=512, seed=seed, **common)
+    if kind == "boosted_trees":
+        return GBTRegressor(
+            maxIter=params.get("trees", 50), maxDepth=params.get("depth", 4), stepSize=params.get("rate", 0.05), subsamplingRate=params.get("subsample", 0.8),
+            featureSubsetStrategy=str(params.get("columns", "all")), minInstancesPerNode=params.get("leaf", 1), minInfoGain=params.get("gain", 0.0), seed=seed, **common,
+        )
+    raise ValueError(kind)
+
+
+def vectors(kind: str, train: DataFrame, features: list[str]) -> Callable[[DataFrame], DataFrame]:
+    """A function that adds x (see vector_stages)."""
+    stages = PipelineModel(stages=vector_stages(kind, train, features))
+    return lambda df: stages.transform(df).select(*df.columns, "x")
+
+
+def fit_on_vectors(kind: str, train: DataFrame, target: str = "total_goals", seed: int = 42, **params) -> Callable[[DataFrame], DataFrame]:
+    """As fit_point_model, for tables with x, which the function drops."""
+    model = estimator(kind, train, target, seed, **params).fit(train)
     return lambda df: model.transform(df).withColumn("mu", F.greatest(F.col("mu"), F.lit(1e-9))).drop("x")
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import distributions as dist
 from ..operators import tables
+from ..sources.shared import written
+from . import artifact
 from . import features as feat
 
 Predict = Callable[[DataFrame], DataFrame]
@@ -23,10 +25,28 @@ def with_history(upcoming: DataFrame, history: DataFrame) -> DataFrame:
 def predict_games(predict: Predict, upcoming: DataFrame, history: DataFrame, features: list[str], fills: dict[str, float], windows: tuple[int, ...] = feat.WINDOWS) -> DataFrame:
     """mu for each upcoming contest: features from the history, missing ones by the training medians (0 where there is none)."""
     every = feat.add_features(with_history(upcoming, history), windows=windows)
-    slate = tables.fill_from(every.where("_is_upcoming"), fills, [c for c in features if c in every.columns])
+    slate = tables.fill_from(every.where("_is_upcoming"), fills, feat.resolve_features(every, features))
     return predict(slate)
 
 
+def serve(model: artifact.Artifact, upcoming: DataFrame, history: DataFrame, thresholds: tuple[float, ...] = (5.5, 6.5, 7.5), windows: tuple[int, ...] = feat.WINDOWS, max_count: int = 20) -> DataFrame:
+    """A saved model's forecasts of the upcoming contests, ready for the ledger.
+
+    game_pk, date, home_team, away_team, artifact_id, feature_schema_hash,
+    mu, pmf (NB2, with the dispersion of the history's last fifth), the chance
+    to exceed each threshold, interval and band, and features: the values
+    that the model read, by name.
+    """
+    every = written(feat.add_features(with_history(upcoming, history), windows=windows), "served")
+    alpha, radius = artifact.calibrate(model, every.where("NOT _is_upcoming"))
+    names = model.metadata.features
+    slate = model.predict(every.where("_is_upcoming"))
+    read = F.create_map(*[x for c in names for x in (F.lit(c), F.col(c).cast("double"))]) if names else F.lit(None).cast("map<string,double>")
+    slate = slate.select("game_pk", "date", "home_team", "away_team", F.lit(model.metadata.artifact_id).alias("artifact_id"), F.lit(model.metadata.feature_schema_hash).alias("feature_schema_hash"), "mu", read.alias("features"))
+    band = upcoming.sparkSession.createDataFrame([(radius,)], "radius double")
+    return probabilistic(slate, dist.nb2_pmf(F.col("mu"), alpha, max_count), band, thresholds)
+
+
 def probabilistic(df: DataFrame, pmf: Column, radius: DataFrame, thresholds: tuple[float, ...] = (5.5, 6.5, 7.5)) -> DataFrame:
     """df (with mu) and its pmf, the chance to exceed each threshold, the 80 % interval and the conformal band.
 

@@ -5,21 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a Parquet table below spark.checkpoint.dir, read back: later plans begin at its scan.
-
-    Where the session has no such folder (one machine), a new temporary one is set.
-    """
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where the session has no such folder (one machine), a new temporary one is set."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", path)
-    path = f"{path.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    return path.rstrip("/")
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """df as a Parquet table below spark.checkpoint.dir, read back: later plans begin at its scan."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from countloom.functions import distributions as dist
-from countloom.operators import ledger, resample, signals, tables
+from countloom.operators import drift, ledger, resample, signals, tables
 from countloom.plans import serving, studies
 from countloom.sources import feed
 from countloom.streaming import live
@@ -38,7 +38,8 @@ def test_summary_looks_at_the_newest(spark):
     results = spark.createDataFrame([(i, DAY, "x", "y", 4 + i, i) for i in range(5)], "game_pk long, date date, home_team string, away_team string, actual int, load_order long")
     r = ledger.monitoring_summary(logged, results, n=3).first()
     assert (r.n_logged, r.n_reconciled, r.n, r.status) == (6, 5, 2, "unavailable") and 0 <= r.mid_pit_tail_rate <= 1
-    assert ledger.monitoring_summary(logged, results, logged.select("mu")).first().status == "stable"
+    references = drift.references(logged.withColumnRenamed("mu", "predicted_total_goals"), ["predicted_total_goals"])
+    assert ledger.monitoring_summary(logged, results, references).first().status == "stable"
     assert ledger.realized_metrics(tables.reconcile(logged, results.where("false"))).first().n == 0
 
 
