@@ -17,18 +17,31 @@ def season_code(start_year: Column) -> Column:
 
 
 def code_start(code: Column) -> Column:
+    """2023 for 20232024."""
     return F.substring(code, 1, 4).cast("int")
 
 
+def season_dates(code: Column, first_month: int = 10, last_month: int = 6) -> tuple[Column, Column]:
+    """The first and last day on which a season's contests are looked for: 1 October and 30 June."""
+    start = code_start(code)
+    return F.make_date(start, F.lit(first_month), F.lit(1)), F.make_date(start + 1, F.lit(last_month), F.lit(30))
+
+
+def recent_seasons(date: Column, n: int, first_month: int = 10) -> Column:
+    """The codes of the n seasons up to that of a date, as an array in order of time."""
+    start = season_start(date, first_month)
+    return F.transform(F.sequence(start - (n - 1), start), season_code)
+
+
 def valid_season(code: Column) -> Column:
     ok = code.rlike("^[0-9]{8}$")
     return ok & F.when(ok, F.right(code, F.lit(4)).cast("int") == F.left(code, F.lit(4)).cast("int") + 1).otherwise(False)
 
 
 def parse_day(x: Column) -> Column:
-    """A date from yyyyMMdd or ISO text; null if it is neither."""
-    s = x.cast("string")
-    return F.coalesce(F.try_to_timestamp(s, F.lit("yyyyMMdd")).cast("date"), s.try_cast("date"))
+    """A date from a yyyyMMdd number (also one read as 20240105.0) or from ISO text, with a time or not; null if it is neither."""
+    s = F.regexp_replace(F.trim(x.cast("string")), r"\.0$", "")
+    return F.when(s.rlike(r"^\d{8}$"), F.try_to_timestamp(s, F.lit("yyyyMMdd")).cast("date")).otherwise(F.try_to_timestamp(s).cast("date"))
 
 
 def clean_name(x: Column) -> Column:

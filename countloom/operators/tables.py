@@ -41,6 +41,7 @@ def mask_upcoming(games: DataFrame) -> DataFrame:
 
 
 def require_columns(df: DataFrame, names: list[str]) -> None:
+    """An error if df lacks a column or has no row."""
     if missing := [c for c in names if c not in df.columns]:
         raise ValueError(f"missing columns: {missing}")
     if df.isEmpty():
@@ -54,19 +55,6 @@ def first_existing(df: DataFrame, names: list[str], label: str) -> str:
     raise ValueError(f"no column for {label}: {names}")
 
 
-def align(df: DataFrame, names: list[str]) -> DataFrame:
-    """Exactly these columns, as doubles; missing ones are null."""
-    return df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast("double").alias(c) for c in names])
-
-
-def home_away(feed: DataFrame, key: list[str], side: str, value: str) -> DataFrame:
-    """One row a contest from a feed with a row for each side."""
-    pick = lambda s, c: F.max(F.when(F.col(side) == s, F.col(c)))
-    return feed.groupBy(*key).agg(
-        pick("HOME", "team").alias("home_team"), pick("AWAY", "team").alias("away_team"), pick("HOME", value).alias("home_" + value), pick("AWAY", value).alias("away_" + value)
-    ).where("home_team IS NOT NULL AND away_team IS NOT NULL")
-
-
 def reconcile(predictions: DataFrame, results: DataFrame) -> DataFrame:
     """actual for each prediction: by id, else by date and teams; the newest result of a key counts."""
     newest = lambda keys: keep_first(results, keys, [F.desc("load_order")])
@@ -77,11 +65,17 @@ def reconcile(predictions: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def latest_ledger(log: DataFrame, keys: list[str], keep_old: list[str], order: list[str]) -> DataFrame:
-    """The last row written for each key; the columns in keep_old fall back to the last value that is not null."""
-    w = W.partitionBy(*keys)
-    old = w.orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    filled = log.withColumns({c: F.last(c, ignorenulls=True).over(old) for c in keep_old})
-    return filled.withColumn("__rn", F.row_number().over(w.orderBy(*[F.desc(c) for c in order]))).where("__rn = 1").drop("__rn")
+    """The last row written for each key; the columns in keep_old fall back to the last value that is not null.
+
+    One grouped pass with partial aggregation, so a key's writes are never sorted in one task. Of writes
+    equal in order one wins, by a hash of its plain columns.
+    """
+    plain = [f.name for f in log.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    at = F.struct(*order, F.xxhash64(*plain).alias("tie"))
+    rest = [c for c in log.columns if c not in (*keys, *keep_old)]
+    kept = [F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(c) for c in keep_old]
+    last = log.groupBy(*keys).agg(F.max_by(F.struct(*rest), at).alias("row"), *kept)
+    return last.select(*[F.col("row").getField(c).alias(c) if c in rest else F.col(c) for c in log.columns])
 
 
 def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:

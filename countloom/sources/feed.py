@@ -14,29 +14,33 @@ KEY = ["season", "date", "home_team", "away_team"]
 TEAM, OPPONENT = ["team", "playerTeam", "name"], ["opposingTeam", "opponent", "opp"]
 XGF, SIDE, DATE = ["xGoalsFor", "xGoals_for", "xGF"], ["home_or_away", "homeOrAway", "HoA"], ["gameDate", "date", "game_date"]
 ALIASES = {
-    "season": ["season"], "date": ["date", "gameDate", "game_date"], "home_team": ["homeTeam", "home_team", "home"], "away_team": ["awayTeam", "away_team", "away"],
-    "home_xg": ["home_xG", "home_xg", "homeXG", "xGoalsHome"], "away_xg": ["away_xG", "away_xg", "awayXG", "xGoalsAway"],
-}
+    "season": ["season"],
+    "date": ["date", "gameDate", "game_date"],
+    "home_team": ["homeTeam", "home_team", "homeTeamName", "home_team_name", "home"],
+    "away_team": ["awayTeam", "away_team", "awayTeamName", "away_team_name", "away"],
+    "home_xg": ["home_xG", "home_xg", "homeExpectedGoals", "home_xGoals", "xGoalsForHome"],
+    "away_xg": ["away_xG", "away_xg", "awayExpectedGoals", "away_xGoals", "xGoalsForAway"],
+}
 
 
 Names = tuple[dict[str, str], dict[str, str]]
 NO_NAMES: Names = ({}, {})
 
 
-def read_feed(spark: SparkSession, path: str) -> DataFrame:
+def read_feed(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """A CSV feed as text columns; values are cast where they are used, so one bad value does not lose a file."""
     return spark.read.option("header", True).csv(path)
 
 
-def _day(c: Column) -> Column:
-    """yyyymmdd numbers and ISO dates."""
-    text = F.regexp_replace(c.cast("string"), r"\.0$", "")
-    return F.when(text.rlike(r"^\d{8}$"), F.try_to_timestamp(text, F.lit("yyyyMMdd")).cast("date")).otherwise(F.try_to_timestamp(text).cast("date"))
+def _code(season: Column) -> Column:
+    """20232024 for 2023; a longer code as it is."""
+    return F.when(season.rlike("^[0-9]{1,4}$"), F.concat(season, (season.try_cast("int") + 1).cast("string"))).otherwise(season)
 
 
 def _season(df: DataFrame, name: str, day: str) -> Column:
-    start = F.col(name).cast("string") if name in df.columns else F.when(F.month(day) >= 8, F.year(day)).otherwise(F.year(day) - 1).cast("string")
-    return F.when(F.length(start) == 8, start).otherwise(F.concat(start, (start.try_cast("int") + 1).cast("string")))
+    """The season of a row by its column, or by its day: a season begins in August at the earliest."""
+    start = F.col(name).cast("string") if name in df.columns else scalars.season_start(F.col(day), 8).cast("string")
+    return _code(start)
 
 
 def is_team_feed(df: DataFrame) -> bool:
@@ -57,7 +61,7 @@ def pair_sides(feed: DataFrame, names: Names = NO_NAMES) -> DataFrame:
     rows = feed.select(
         *([F.col("gameId").alias("id")] if "gameId" in feed.columns else []),
         *([F.col("season")] if "season" in feed.columns else []),
-        _day(pick(DATE, "date")).alias("date"), scalars.normalize_name(pick(TEAM, "team"), *names).alias("team"), scalars.normalize_name(pick(OPPONENT, "opponent"), *names).alias("opponent"),
+        scalars.parse_day(pick(DATE, "date")).alias("date"), scalars.normalize_name(pick(TEAM, "team"), *names).alias("team"), scalars.normalize_name(pick(OPPONENT, "opponent"), *names).alias("opponent"),
         F.upper(F.trim(pick(SIDE, "side"))).alias("side"), pick(XGF, "xGoalsFor").try_cast("double").alias("xg"),
     )
     rows = rows.withColumn("season", _season(rows, "season", "date"))
@@ -74,11 +78,16 @@ def pair_sides(feed: DataFrame, names: Names = NO_NAMES) -> DataFrame:
 
 
 def contest_rows(feed: DataFrame, season: str | None = None, names: Names = NO_NAMES) -> DataFrame:
-    """A feed that has a row a contest, under the usual names; rows with nulls go, and so do those of other seasons if one is given."""
+    """A feed that has a row a contest, under the usual names; rows with nulls go, and so do those of other seasons if one is asked for.
+
+    A row without a season of its own is of the asked one; if none is asked for, its day decides.
+    """
     pick = {k: tables.first_existing(feed, v, k) for k, v in ALIASES.items() if k != "season"}
-    dated = feed.withColumn("__day", _day(F.col(pick["date"])))
+    own = F.col("season").cast("string") if "season" in feed.columns else F.lit(None).cast("string")
+    dated = feed.withColumns({"__day": scalars.parse_day(F.col(pick["date"])), "__own": F.when(~F.lower(own).isin("nan", "none", ""), own)})
+    default = F.lit(season) if season else _season(dated, "__none", "__day")
     out = dated.select(
-        _season(dated, "season", "__day").alias("season"), F.col("__day").alias("date"), *[scalars.normalize_name(F.col(pick[c]), *names).alias(c) for c in ("home_team", "away_team")], *[F.col(pick[c]).try_cast("double").alias(c) for c in ("home_xg", "away_xg")]
+        F.coalesce(_code(F.col("__own")), default).alias("season"), F.col("__day").alias("date"), *[scalars.normalize_name(F.col(pick[c]), *names).alias(c) for c in ("home_team", "away_team")], *[F.col(pick[c]).try_cast("double").alias(c) for c in ("home_xg", "away_xg")]
     ).na.drop()
     return out.where(F.col("season") == season) if season else out
 

@@ -55,10 +55,10 @@ def read_schedules(spark: SparkSession, path: str, include_upcoming: bool = Fals
 
 
 def assemble_season(games: DataFrame, season: str, order: str = "date") -> DataFrame:
-    """A season's contests, the first row of each id."""
-    from ..operators.tables import keep_first
-
-    return keep_first(games.where(F.col("season") == season), ["game_pk"], [order])
+    """A season's contests, the first row of each id in the order given."""
+    rows = games.where(F.col("season") == season)
+    first = rows.groupBy(F.col("game_pk").alias("id")).agg(F.min_by(F.struct(*games.columns), order).alias("row"))
+    return first.select("row.*")
 
 
 def write_seasons(games: DataFrame, path: str) -> None:
@@ -104,8 +104,3 @@ def starters(boxscores: DataFrame) -> DataFrame:
             zero(g.shotsAgainst).alias(f"{side}_shots_against"), zero(g.goalsAgainst).alias(f"{side}_goals_against"), F.coalesce(g.savePctg, F.lit(0.0)).alias(f"{side}_save_pct"),
         ]
     return boxscores.select(*cols)
-
-
-def not_stored(new: DataFrame, stored: DataFrame, key: str = "game_pk") -> DataFrame:
-    """Rows whose id is not stored yet."""
-    return new.join(stored.select(key), key, "left_anti")

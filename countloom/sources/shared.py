@@ -19,6 +19,12 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder of that name, in whatever storage."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a Parquet table below spark.checkpoint.dir, read back: later plans begin at its scan."""
     spark = df.sparkSession
