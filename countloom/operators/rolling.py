@@ -7,11 +7,14 @@ the same values, and own() takes the copies out again.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
+from .numbering import number_rows
 
 MEANS = {"avg_gf": "goals_for", "avg_ga": "goals_against", "avg_total": "total_goals", "win_pct": "win"}
 #: Rows of a chunk.
@@ -25,27 +28,33 @@ def before(df: DataFrame, *keys: str) -> W:
     return W.partitionBy(*keys, *(c for c in ("__chunk",) if c in df.columns)).orderBy("date", "game_pk")
 
 
-def spread(df: DataFrame, key: str = "team", halo: int = HALO, size: int = CHUNK) -> DataFrame:
-    """df, written once, in chunks of size rows of each key's history, each with copies of the halo rows before it.
+def spread(df: DataFrame, key: str | list[str] = "team", halo: int = HALO, size: int = CHUNK, write: bool = True) -> DataFrame:
+    """df in chunks of size rows of each key's history, each with copies of the halo rows before it.
 
-    Adds __chunk and __own (false for copies). Places follow from counts by
-    key and date; rows of one key and date share a task. Null keys and dates
-    are values of their own. No frame may reach back further than halo rows.
+    Adds __chunk and __own (false for copies). Where no history is longer
+    than size, df comes back as it is: each history is one chunk then. Else
+    the rows are numbered by one sort over key, date and game_pk, so rows of
+    one key and date may lie in several tasks. Null keys and dates are values
+    of their own. No frame may reach back further than halo rows. write: df is
+    written once; not needed where it is cheap to make again.
     """
-    held = written(df, "log")
-    w = W.partitionBy("__k").orderBy("__d").rowsBetween(W.unboundedPreceding, -1)
-    days = held.groupBy(F.col(key).alias("__k"), F.col("date").alias("__d")).agg(F.count("*").alias("__n"))
-    starts = days.select("__k", "__d", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__at"))
-    ranked = held.withColumn("__rn", F.row_number().over(W.partitionBy(key, "date").orderBy("game_pk")))
-    placed = ranked.join(starts, F.col(key).eqNullSafe(F.col("__k")) & F.col("date").eqNullSafe(F.col("__d")))
-    at = F.col("__at") + F.col("__rn") - 1
+    keys = [key] if isinstance(key, str) else key
+    held = written(df, "log") if write else df
+    longest = held.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if longest <= size:
+        return held
+    placed = number_rows(held, [*keys, "date", "game_pk"], "__at", nulls_first=True)  # as windows order
+    first = written(placed.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(F.min("__at").alias("__first")), "first")
+    on = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
+    at = F.col("__at") - F.col("__first")
     home, last = F.floor(at / size), F.floor((at + halo) / size)
-    return placed.select(*df.columns, home.alias("__home"), F.explode(F.sequence(home, last)).alias("__chunk")).withColumn("__own", F.col("__home") == F.col("__chunk")).drop("__home")
+    chunks = placed.join(first, on).select(*df.columns, home.alias("__home"), F.explode(F.sequence(home, last)).alias("__chunk"))
+    return chunks.withColumn("__own", F.col("__home") == F.col("__chunk")).drop("__home")
 
 
 def own(df: DataFrame) -> DataFrame:
     """A spread table's rows, each once."""
-    return df.where("__own").drop("__chunk", "__own")
+    return df.where("__own").drop("__chunk", "__own") if "__own" in df.columns else df
 
 
 def _known(df: DataFrame) -> Column:
@@ -131,10 +140,12 @@ def venue_rates(log: DataFrame, window: int = 20) -> DataFrame:
     return log.withColumns(cols)
 
 
-def head_to_head(games: DataFrame, window: int = 10) -> DataFrame:
-    pair = [F.least("home_team", "away_team"), F.greatest("home_team", "away_team")]
-    w = W.partitionBy(*pair).orderBy("date", "game_pk").rowsBetween(-window, -1)
-    return games.withColumn("h2h_avg_goals", F.avg("total_goals").over(w))
+def head_to_head(games: DataFrame, window: int = 10, size: int = CHUNK) -> DataFrame:
+    """The mean total of the same two teams' contests before."""
+    paired = games.withColumns({"__a": F.least("home_team", "away_team"), "__b": F.greatest("home_team", "away_team")})
+    held = spread(paired, ["__a", "__b"], window, size, write=False)
+    w = before(held, "__a", "__b").rowsBetween(-window, -1)
+    return own(held.withColumn("h2h_avg_goals", F.avg("total_goals").over(w))).drop("__a", "__b")
 
 
 def venue_mean(games: DataFrame, window: int = 20) -> DataFrame:
@@ -153,8 +164,5 @@ def gate(df: DataFrame, columns: list[str], min_games: int, played: str = "games
 
 
 def chronological_index(df: DataFrame, date: str = "date", key: str = "game_pk", out: str = "idx") -> DataFrame:
-    """0-based position by date and key, without a window over the whole table: dates are counted first."""
-    counts = df.groupBy(F.col(date).alias("__d")).agg(F.count("*").alias("__n"))
-    starts = counts.select("__d", F.coalesce(F.sum("__n").over(W.orderBy("__d").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__s"))
-    ranked = df.withColumn("__r", F.row_number().over(W.partitionBy(date).orderBy(key)))
-    return ranked.join(starts, F.col(date) == F.col("__d")).withColumn(out, F.col("__s") + F.col("__r") - 1).drop("__d", "__s", "__r")
+    """0-based position by date and key; rows of one date, or with one value, may be any number."""
+    return number_rows(df, [date, key], out)

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from .rolling import before
+from .rolling import CHUNK, before, own, rolling_ratio, spread
 
 XG_KEY = ["season", "date", "team", "opponent"]
 
@@ -34,20 +33,19 @@ def match_rate(log: DataFrame) -> DataFrame:
     return log.agg((F.count("xgf") / F.count("*")).alias("match_rate"), F.count("*").alias("rows"))
 
 
-def goalie_form(starters: DataFrame, side: str, window: int = 10, min_starts: int = 3) -> DataFrame:
+def goalie_form(starters: DataFrame, side: str, window: int = 10, min_starts: int = 3, size: int = CHUNK) -> DataFrame:
     """game_pk, {side}_goalie_sv_pct and {side}_goalie_gaa over the starter's earlier starts on that side.
 
     starters has date and the columns of sources.games.starters. Contests
     without a starter are left out: join with "left".
     """
     key = f"{side}_goalie_id"
-    w = W.partitionBy(key).orderBy("date", "game_pk").rowsBetween(-window, -1)
-    shots, enough = F.sum(f"{side}_shots_against").over(w), F.count("*").over(w) >= min_starts
-    return starters.where(F.col(key).isNotNull()).select(
-        "game_pk",
-        F.when(enough & (shots > 0), F.sum(f"{side}_saves").over(w) / shots).alias(f"{side}_goalie_sv_pct"),
-        F.when(enough, F.avg(f"{side}_goals_against").over(w)).alias(f"{side}_goalie_gaa"),
-    )
+    held = spread(starters.where(F.col(key).isNotNull()), key, window, size, write=False)
+    n = F.count("*").over(before(held, key).rowsBetween(-window, -1))
+    sv = rolling_ratio(held, key, f"{side}_saves", f"{side}_shots_against", "__sv", window)
+    sv = sv.withColumns({"__n": n, "__ga": F.avg(f"{side}_goals_against").over(before(held, key).rowsBetween(-window, -1))})
+    enough = F.col("__n") >= min_starts
+    return own(sv).select("game_pk", F.when(enough, F.col("__sv")).alias(f"{side}_goalie_sv_pct"), F.when(enough, F.col("__ga")).alias(f"{side}_goalie_gaa"))
 
 
 def add_goalies(games: DataFrame, starters: DataFrame, window: int = 10, min_starts: int = 3) -> DataFrame:
@@ -72,3 +70,10 @@ def xg_interactions(df: DataFrame, windows: tuple[int, ...] = (5, 10, 20)) -> Da
             if {f"{s}_avg_xgf_{n}g", f"{o}_avg_xga_{n}g"} <= set(df.columns):
                 cols[f"{name}_{n}g"] = F.col(f"{s}_avg_xgf_{n}g") * F.col(f"{o}_avg_xga_{n}g")
     return df.withColumns(cols)
+
+
+def goalie_interactions(df: DataFrame) -> DataFrame:
+    """Each side's goalie against the other side's attack."""
+    pairs = (("home", "away"), ("away", "home"))
+    have = {s: o for s, o in pairs if {f"{s}_goalie_sv_pct", f"{o}_avg_gf"} <= set(df.columns)}
+    return df.withColumns({f"{s}_goalie_vs_offense": F.col(f"{s}_goalie_sv_pct") * F.col(f"{o}_avg_gf") for s, o in have.items()})
