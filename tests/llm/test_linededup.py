@@ -1,3 +1,4 @@
+import hashlib
 from collections import defaultdict
 
 import pytest
@@ -18,14 +19,15 @@ def brute(rows, ratio, min_pages):
             if len(x.split()) > linededup.LONG_WORDS:
                 long[x].add(r[1])
     common = {k for k, n in seen.items() if len(n) >= min_pages and len(n) > ratio * len(total[k[0]])}
-    passages = {x for x, n in long.items() if len(n) >= linededup.LONG_PAGES}
+    # One text keeps a passage: the one with the smallest key.
+    passages = {x: min(n, key=lambda t: hashlib.md5(t.encode()).hexdigest()[:15]) for x, n in long.items() if len(n) >= linededup.LONG_PAGES}
     want = []
     for r in rows:
         if r[1] is None:
             want.append((r[0], None, 0, 0))
             continue
         lines = r[1].split("\n")
-        keep = [x for x in lines if (r[3], x.strip(BLANK)) not in common and x.strip(BLANK) not in passages]
+        keep = [x for x in lines if (r[3], x.strip(BLANK)) not in common and passages.get(x.strip(BLANK), r[1]) == r[1]]
         want.append((r[0], "\n".join(keep), sum(bool(x.strip(BLANK)) for x in lines), len(lines) - len(keep)))
     return want, common, passages
 
@@ -62,3 +64,26 @@ def test_columns_with_clashing_names(spark):
 def test_empty(spark):
     empty = spark.createDataFrame([], DOCS)
     assert linededup.drop_boilerplate(empty).count() == 0 and linededup.clean_documents(empty).count() == 0
+
+
+def test_a_passage_of_near_copies_stays_once(spark):
+    """Three near copies on three sources, through line dedup and near duplicates: the corpus keeps the long paragraph once."""
+    from countloom.llm import simhash
+
+    passage = " ".join(f"q{i}" for i in range(300))
+    docs = [(i, f"title {i}\n{passage}\nend {i}", "en", f"s{i}", 1, "x", "y") for i in range(3)]
+    rest = [(10 + i, " ".join(f"w{i}x{k}" for k in range(60)), "en", f"s{i % 3}", 1, "x", "y") for i in range(20)]
+    clean = linededup.clean_documents(spark.createDataFrame(docs + rest, DOCS))
+    left = simhash.keep_one(clean).collect()
+    assert sum(passage in r.text for r in left) == 1
+    assert {r.doc_id: r.text for r in left if r.doc_id >= 10} == {r[0]: r[1] for r in rest}
+
+
+def test_very_long_texts_and_the_spectrum(spark):
+    lines = [f"line {i} " + " ".join(f"v{i}y{k}" for k in range(8)) for i in range(60_000)]
+    rows = [(i, "\n".join([*(["site foot"] if i % 2 else []), *lines]) if i < 2 else f"site foot\nown {i}", "en", "s", 1, "x", "y") for i in range(30)]
+    df = spark.createDataFrame(rows, DOCS)
+    got = {r.doc_id: r for r in linededup.drop_boilerplate(df).collect()}
+    assert got[1].text == "\n".join(lines) == got[0].text and (got[1].n_lines, got[1].n_dropped) == (60_001, 1) and got[9].text == "own 9"
+    bins = {round(r.from_share, 3): (r.lines, r.pages) for r in linededup.spectrum(df).collect()}
+    assert bins == {0.707: (1, 29), 0.062: (60_000, 120_000)}
