@@ -38,6 +38,11 @@ def _is_blank(line: Column) -> Column:
     return F.btrim(line, F.lit(_BLANK)) == ""
 
 
+def _is_long(line: Column) -> Column:
+    """So many words have as many characters and as many spaces at least; only then they are counted."""
+    return F.when(F.length(line) > 2 * LONG_WORDS, F.size(words(line)) > LONG_WORDS).otherwise(False)
+
+
 def text_key(text: Column) -> Column:
     """60 bits of the text's MD5; a null text counts as one of its own."""
     return F.conv(F.substring(F.md5(F.coalesce(text, F.lit("\0null"))), 1, 15), 16, 10).cast("long")
@@ -46,7 +51,7 @@ def text_key(text: Column) -> Column:
 def page_lines(pages: DataFrame) -> DataFrame:
     """host, page (a hash of the text), line (its key), is_long: each line once for each different text of a host."""
     # Not array_distinct: on structs it compares each with each; the distinct below starts within the task.
-    each = F.transform(F.filter(_lines(F.col("text")), lambda x: ~_is_blank(x)), lambda x: F.struct(_key(x).alias("line"), (F.size(words(x)) > LONG_WORDS).alias("is_long")))
+    each = F.transform(F.filter(_lines(F.col("text")), lambda x: ~_is_blank(x)), lambda x: F.struct(_key(x).alias("line"), _is_long(x).alias("is_long")))
     # The key in a step of its own, or it would be worked out again for each line.
     lines = pages.select("host", text_key(F.col("text")).alias("page"), each.alias("ls")).select("host", "page", F.explode("ls").alias("l"))
     return lines.select("host", "page", "l.line", "l.is_long").distinct()
