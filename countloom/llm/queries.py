@@ -6,14 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, html_template, langid, linededup, lm, merkle, packing, periodic, quality_eb, quality_rules, sharding, simhash
-
-
-def tokenizer_path() -> str:
-    """The public byte-level BPE vocabulary; imported here only, so that the operators take any path."""
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.json")
+from . import chat, decontam, html_template, langid, linededup, lm, merkle, packing, periodic, pipeline, quality_eb, quality_rules, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,7 +18,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
+    return packing.pack(_table(spark, sf_dir, "documents"), pipeline.tokenizer_path())
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,14 +90,12 @@ FROM marked GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from corpus_pipeline import run
-
     ops = (
         op1_decontamination, op2_sharding, op3_packing, op4_lm_scoring, op5_html_extraction,
         op6_quality_classifier, op7_line_dedup, op8_chat_formatting, op9_quality_rules, op10_simhash_dedup,
         op11_language_id, op12_merkle_manifest, op13_periodic_runs,
     )
-    return {f.__name__: f for f in ops} | {"pipeline": run}
+    return {f.__name__: f for f in ops} | {"pipeline": pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
