@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import chat, decontam, html_template, langid, linededup, lm, merkle, packing, periodic, pipeline, quality_eb, quality_rules, sharding, simhash
+from .pipeline import tokenizer_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,7 +19,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"), pipeline.tokenizer_path())
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
