@@ -83,6 +83,63 @@ def test_classes_equal_brute_force(spark, times):
     assert {r.pages for r in got} >= {12 * times, 8 * times, 9 * times}
 
 
+def strip(html):
+    """The page without what names its parts: article and footer are divs, and no element has a class, an id or a role."""
+    import re
+
+    html = re.sub(r'\s(?:class|id|role)="[^"]*"', "", html)
+    return re.sub(r"(</?)(?:article|footer|nav)\b", r"\1div", html)
+
+
+def test_given_pages_without_names(spark):
+    """On the given tables the slots alone tell story from advert, menu and footer; with the template emptied they do not."""
+    given = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html")
+    named = {r.page_id: r.text for r in ht.extract_pages(given).collect()}
+    bare = spark.createDataFrame([(r.page_id, r.url, strip(r.html)) for r in given.collect()], given.schema)
+    got = {r.page_id: r.text for r in ht.extract_pages(bare).collect()}
+    per_host = Counter(r.url.split("/")[2].lower() for r in given.collect())
+    enough = {r.page_id for r in given.collect() if per_host[r.url.split("/")[2].lower()] >= ht.MIN_PAGES}
+    assert len(enough) > 200 and {k: got[k] for k in enough} == {k: named[k] for k in enough}
+    empty = {r.page_id: r.text for r in ht.extract_pages(bare, min_pages=10**9).collect()}
+    assert not any(empty[k] == named[k] for k in enough)
+
+
+def test_like_children_by_their_place(spark):
+    """Two boxes on every page are told apart by their place; paragraphs, of which there are more and fewer, are not."""
+    rows = [page(i, f"<div>buy {i}</div><div><h1>Story {i}</h1>" + "".join(f"<p>part {k} of {i} of the story, with words enough</p>" for k in range(1 + i % 3)) + f"</div><div>all rights {i}</div>") for i in range(9)]
+    placed = ht.placed_children(ht._hosted(spark.createDataFrame(rows, PAGES))).collect()
+    assert {x.path: x.times for x in placed[0].placed} == {"/html/body/div": 3}
+    text = extract(spark, rows)
+    assert text[4] == "Story 4 part 0 of 4 of the story, with words enough part 1 of 4 of the story, with words enough"
+    p = ht.read_page("<div>a</div><div>b</div><div>c</div>", {"/div": 2})
+    assert p.paths == ["/div[1]", "/div[2]", "/div"] and p.children == {}
+    assert ht.read_page("<ul><li>a<li>b</ul><ul><li>c</ul>").children == {"/ul/li": (1, 2)}
+
+
+@pytest.mark.parametrize("box", ['<div class="commentlist">{}</div>', '<div id="disqus_thread">{}</div>', '<div class="related-articles">{}</div>', '<div class="newsletter-signup">{}</div>', '<div class="responses">{}</div>'])
+def test_boxes_within_the_article_go(spark, box):
+    for times in (1, 60):  # also where they are longer than the story
+        body = '<article><h1>Title {i}</h1><p>story {i} with some words</p>' + box.format("<p>said by a reader of {i}</p>" * times) + "</article>"
+        rows = [page(i, body.replace("{i}", str(i))) for i in range(6)] + [page(99, body.replace("{i}", "z"), "alone.example.com")]
+        text = extract(spark, rows)
+        assert text[3] == "Title 3 story 3 with some words" and text[99] == "Title z story z with some words"
+
+
+def test_comments_and_link_lists_without_names(spark):
+    """A block that comes often on a page with a text of its own is a list of records; a box of links on all pages is no story."""
+    reply = "<div class=q><p>opinion {k} on {i}, and it is a long one, longer than the story</p><span>Reply to this</span></div>"
+    rows = []
+    for i in range(12):
+        said = "".join(reply.replace("{k}", str(k)).replace("{i}", str(i)) for k in range(2 + i % 4))
+        links = "".join(f"<li><a href=/{i}{k}>read about {k} and {i}</a></li>" for k in range(3 + i % 2))
+        story = "".join(f"<p>part {k} of story {i}, told at some length for once</p>" for k in range(2 + i % 3))
+        rows.append(page(i, f"<div class=w><h1>Head {i}</h1>{story}<ul>{links}</ul>{said}</div>"))
+    assert extract(spark, rows)[4] == "Head 4 " + " ".join(f"part {k} of story 4, told at some length for once" for k in range(3))
+    # A list of links that only few pages have is the story's own.
+    rows = [page(i, f"<div class=w><h1>Head {i}</h1><p>a story of {i} with words</p><p>and of {i} more</p>{'<ul><li><a href=/s>source of it</a></li></ul>' if i == 3 else ''}</div>") for i in range(12)]
+    assert extract(spark, rows)[3] == "Head 3 a story of 3 with words and of 3 more source of it"
+
+
 def test_slots_and_validity():
     """Classes nest; one that comes in another order, or that crosses another, is bad on that page."""
     p = ht.read_page("<body><div class=a>x</div><p>one<p>two<div class=b>y</div></body>")
