@@ -60,6 +60,11 @@ def mixture_pmf(mu: Column, weight: float, multiplier: float, max_count: int = 2
     return F.zip_with(poisson_pmf(mu * multiplier, max_count), poisson_pmf(mu / multiplier, max_count), lambda a, b: weight * a + (1 - weight) * b)
 
 
+def prob_over_column(pmf: Column, threshold: Column) -> Column:
+    """The chance of more than a threshold that is a column."""
+    return F.aggregate(F.transform(pmf, lambda p, k: F.when(k > threshold, p).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
+
+
 def prob_over(pmf: Column, threshold: float) -> Column:
     first = int(threshold // 1) + 1
     return F.aggregate(F.slice(pmf, first + 1, 10_000), F.lit(0.0), lambda a, x: a + x)
@@ -98,6 +103,11 @@ def hash_uniform(*keys: Column, seed: int = 42) -> Column:
     return F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
 
 
+def randomized_pit(pmf: Column, y: Column, *keys: Column, seed: int = 42) -> Column:
+    """P(Y < y) + v P(Y = y) with a v in [0, 1) that follows from the keys: uniform where the forecasts are right."""
+    return mid_pit(pmf, y, hash_uniform(*keys, seed=seed))
+
+
 def shifted_pmf(pmf: Column, total: Column, max_count: int = 20) -> Column:
     """The distribution of total + remaining; what would pass max_count is piled on it."""
     t = F.least(total, F.lit(max_count)).cast("int")

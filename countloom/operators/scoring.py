@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions import scalars
 from ..sources.shared import written
-from . import drift, order_stats
+from . import drift, order_stats, resample
 
 #: The parts of the combined model score.
 WEIGHTS = {"mae": 0.35, "crps": 0.30, "dist_nll": 0.20, "over_brier": 0.15}
@@ -16,9 +17,23 @@ PER_GAME = {"mae": "abs_error", "crps": "crps", "dist_nll": "dist_nll", "over_br
 COMPLEXITY = ("team_strength", "poisson_glm", "double_poisson", "boosted_trees", "tuned_boosted_trees")
 
 
-def point_metrics(df: DataFrame, y: str = "y", mu: str = "mu", by: list[str] | None = None) -> DataFrame:
+def point_metrics(df: DataFrame, y: str = "y", mu: str = "mu", by: list[str] | None = None, train: DataFrame | None = None) -> DataFrame:
+    """n, mae, rmse, bias and r; with the training rows also baseline_mae, of their mean, and the improvement on it in percent."""
     e = F.col(mu) - F.col(y)
-    return df.groupBy(*(by or [])).agg(F.count("*").alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e).alias("bias"), F.corr(mu, y).alias("r"))
+    if train is not None:
+        mean = F.broadcast(train.agg(F.avg(y).alias("__mean")))  # one row
+        out = df.crossJoin(mean).groupBy(*(by or [])).agg(F.avg(F.abs(F.col(y) - F.col("__mean"))).alias("baseline_mae"), *_points(e, y, mu))
+        return out.withColumn("improvement_pct", 100 * (1 - F.col("mae") / F.col("baseline_mae")))
+    return df.groupBy(*(by or [])).agg(*_points(e, y, mu))
+
+
+def correlation(a: str, b: str) -> Column:
+    """Pearson's r; null where one of both does not vary."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
+def _points(e: Column, y: str, mu: str) -> list[Column]:
+    return [F.count("*").alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e).alias("bias"), correlation(mu, y).alias("r")]
 
 
 def brier(p: Column, y: Column) -> Column:
@@ -57,9 +72,53 @@ def psi(reference: DataFrame, recent: DataFrame, column: str, bins: int = 10) ->
     return drift.stability(drift.long_of(recent, [column]), written(drift.references(reference, [column], bins), "references")).select("psi", "bins", "status")
 
 
+def model_edge(p: Column, reference: Column) -> Column:
+    """Forecast less reference; an error where either is no probability, or the reference is certain."""
+    wrong = F.raise_error(F.lit("a forecast lies in [0, 1] and its reference in (0, 1)")).cast("double")
+    return F.when((p < 0) | (p > 1) | (reference <= 0) | (reference >= 1) | p.isNull() | reference.isNull(), wrong).otherwise(p - reference)
+
+
+def decision_report(df: DataFrame, min_edges: list[float], p: str = "p_over", y: str = "y_over", ref: str = "reference_p_over", block: str = "block_key", n_boot: int = 5000) -> DataFrame:
+    """flat_stakes by cut-off with the interval of the return over blocks, and the control that stakes by the reference itself.
+
+    strategy is `model`, or `reference` for the control, which finds no edge and stakes nothing.
+    """
+    cut = F.explode(F.array(*[F.lit(float(e)) for e in min_edges])).alias("min_edge")
+    edge = model_edge(F.col(p), F.col(ref))
+    rows = written(df.select(F.col(block).alias("block"), F.col(y).alias("y"), F.col(ref).alias("ref"), edge.alias("edge"), cut), "bets")
+    won = F.when(F.col("edge") > 0, F.col("y") == 1).otherwise(F.col("y") == 0)
+    price = F.when(F.col("edge") > 0, F.col("ref")).otherwise(1 - F.col("ref"))
+    takes = (F.abs("edge") >= F.col("min_edge")) & (F.col("edge") != 0)
+    pnl = F.when(takes, F.when(won, 1 / price - 1).otherwise(-1.0)).otherwise(0.0)
+    blocks = written(rows.groupBy("min_edge", "block").agg(F.sum(pnl).alias("total"), F.count_if(takes).alias("n")), "bet-blocks")
+    drawn = resample.drawn_ratios(blocks, "min_edge", n_boot)
+    ends = drawn.groupBy(F.col("min_edge").alias("of")).agg(F.percentile("ratio", F.lit(0.025)).alias("ci_low"), F.percentile("ratio", F.lit(0.975)).alias("ci_high"))  # a value a draw
+    stakes = flat_stakes(df, min_edges, p, y, ref)
+    model = stakes.join(ends, F.col("min_edge") == F.col("of")).drop("of").withColumn("strategy", F.lit("model"))
+    control = df.agg(F.lit(0.0).alias("min_edge"), F.count_if(F.col(ref) != F.col(ref)).alias("bets")).withColumn("strategy", F.lit("reference"))
+    return model.unionByName(control, allowMissingColumns=True)
+
+
+def diagnostics(scores: DataFrame, games: DataFrame) -> DataFrame:
+    """A row for each scored contest: what its error can be set against.
+
+    scores has game_pk, fold, y, mu and p_over; games the teams, date, season
+    and, where known, the sides' rest days and back-to-back flags.
+    """
+    flag = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("int") if c in games.columns else F.lit(0)
+    rest = F.col("home_rest_days") - F.col("away_rest_days") if "home_rest_days" in games.columns else F.lit(None).cast("double")
+    known = games.select("game_pk", "date", F.col("season").cast("string").alias("season"), "home_team", "away_team", flag("home_is_back_to_back").alias("home_is_back_to_back"), flag("away_is_back_to_back").alias("away_is_back_to_back"), scalars.rest_bucket(rest.cast("double")).alias("rest_diff_bucket"))
+    e = F.col("mu") - F.col("y")
+    out = scores.select("game_pk", "fold", F.col("y").alias("y_true"), F.col("mu").alias("mu_pred"), "p_over", F.abs(e).alias("abs_error"), (e * e).alias("squared_error")).join(known, "game_pk")
+    either = F.greatest("home_is_back_to_back", "away_is_back_to_back")
+    return out.withColumns({"is_back_to_back": either, "back_to_back": F.when(either == 1, "yes").otherwise("no"), "month": F.coalesce(F.month("date"), F.lit(-1))})
+
+
 def flat_stakes(df: DataFrame, min_edges: list[float], p: str = "p_over", y: str = "y_over", ref: str = "reference_p_over", stake: float = 1.0) -> DataFrame:
     """Bets, wins, profit and mean directed edge of staking where the model is away from the reference, by cut-off."""
-    edge = F.col(p) - F.col(ref)
+    if any(e < 0 for e in min_edges) or stake <= 0:
+        raise ValueError("edges are not below and stakes above zero")
+    edge = model_edge(F.col(p), F.col(ref))
     bets = df.select("*", F.explode(F.array(*[F.lit(e) for e in min_edges])).alias("min_edge"), edge.alias("edge")).where(F.abs("edge") >= F.col("min_edge")).where("edge <> 0")
     won = F.when(F.col("edge") > 0, F.col(y) == 1).otherwise(F.col(y) == 0)
     price = F.when(F.col("edge") > 0, F.col(ref)).otherwise(1 - F.col(ref))
@@ -83,8 +142,10 @@ def per_game_scores(scores: DataFrame, baseline_name: str) -> DataFrame:
     return scores.crossJoin(F.broadcast(base)).withColumn("score", score).drop(*["b_" + k for k in PER_GAME])  # base: one row
 
 
-def rank_candidates(scored: DataFrame) -> DataFrame:
-    """rank by score, MAE, CRPS; the table has a row for each model."""
+def rank_candidates(scored: DataFrame, without: tuple[str, ...] = ()) -> DataFrame:
+    """rank by score, MAE, CRPS; the table has a row for each model, but those left out."""
+    if without:
+        scored = scored.where(~F.col("model").isin(*without))
     return scored.withColumn("rank", F.row_number().over(W.orderBy("score", "mae", "crps")))
 
 
@@ -98,6 +159,17 @@ def equivalence_champion(ranked: DataFrame, comparisons: DataFrame) -> DataFrame
     return same.agg(F.min_by("model", F.struct(complexity(F.col("model")), "score", "mae")).alias("champion"), F.count("*").alias("equivalent"))
 
 
+def pairwise_champion(ranked: DataFrame, comparison: DataFrame) -> DataFrame:
+    """champion, leader and demoted: the leader, or the second if that is simpler and the leader not significantly better.
+
+    comparison has a row for the second (model_b) with significant; without one, or with one model, the leader stays.
+    """
+    pair = ranked.where("rank <= 2").join(comparison.select(F.col("model_b").alias("model"), "significant"), "model", "left")
+    top = pair.agg(*[F.max(F.when(F.col("rank") == r, F.col(c))).alias(f"{c}_{r}") for r in (1, 2) for c in ("model", "significant")])
+    demoted = F.coalesce(~F.col("significant_2") & (complexity(F.col("model_2")) < complexity(F.col("model_1"))), F.lit(False))
+    return top.select(F.when(demoted, F.col("model_2")).otherwise(F.col("model_1")).alias("champion"), F.col("model_1").alias("leader"), demoted.alias("demoted"))
+
+
 def holm(tests: DataFrame, p: str = "p") -> DataFrame:
     """Holm's adjusted p values; one row a test, so a window over all of them is small."""
     w = W.orderBy(p, "idx")

@@ -66,6 +66,18 @@ def add_features(games: DataFrame, window: int = 20, min_games: int = 5, windows
     return interactions(out.withColumns(scalars.calendar(F.col("date"))), windows)
 
 
+def cohort(games: DataFrame, seasons: list, types: list[str]) -> DataFrame:
+    """The contests of the seasons and types. Taken before the features, so that no other contest is in a window."""
+    return games.where(F.col("season").cast("string").isin([str(s) for s in seasons]) & F.col("game_type").isin(types))
+
+
+def require_features(df: DataFrame, target: str = "total_goals") -> None:
+    """An error if df has no rows, no feature, or not the target."""
+    if not set(feature_columns()) & set(df.columns):
+        raise ValueError("no feature columns: run add_features first")
+    tables.require_columns(df, [target])
+
+
 def complete_cases(df: DataFrame, features: list[str], target: str = "total_goals") -> DataFrame:
     return df.na.drop(subset=[*features, target])
 

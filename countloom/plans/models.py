@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import distributions as dist
 from ..operators import rolling, scoring
+from . import folds
 
 
 def _mean(df: DataFrame, target: str) -> float:
@@ -150,21 +151,26 @@ def score_rows(df: DataFrame, alpha: float, threshold: float = 6.5, max_count: i
     })
 
 
-def fold_bounds(n: int, folds: int = 5) -> list[tuple[int, int]]:
+def fold_bounds(n: int, parts: int = 5) -> list[tuple[int, int]]:
     """First and last index (exclusive) of each test fold; training is all before."""
-    t = n // (folds + 1)
-    return [(n - (folds - i) * t, n - (folds - i - 1) * t) for i in range(folds)]
+    t = n // (parts + 1)
+    return [(n - (parts - i) * t, n - (parts - i - 1) * t) for i in range(parts)]
 
 
 def evaluate(df: DataFrame, kind: str, features: list[str], bounds: list[tuple[int, int]], cal_fraction: float = 0.2, threshold: float = 6.5, **params) -> DataFrame:
     """Per-contest scores of a model over chronological folds; df has idx and the target total_goals.
 
-    In each fold the last cal_fraction of the training rows calibrate the dispersion.
+    In each fold the last cal_fraction of the training rows calibrate the dispersion. Folds and calibration begin with a
+    date, so that none is on both sides; a fold where one is would be an error.
     """
     out = None
+    bounds = folds.date_bounds(df, bounds)
     for fold, (lo, hi) in enumerate(bounds):
         n_cal = max(1, int(min(max(cal_fraction, 0.05), 0.5) * lo))
-        fit, cal = df.where(F.col("idx") < lo - n_cal), df.where((F.col("idx") >= lo - n_cal) & (F.col("idx") < lo))
+        from_cal = folds.at_dates(df, [lo - n_cal])[0]
+        fit, cal = df.where(F.col("idx") < from_cal), df.where((F.col("idx") >= from_cal) & (F.col("idx") < lo))
+        folds.guard(fit, cal)
+        folds.guard(cal, df.where((F.col("idx") >= lo) & (F.col("idx") < hi)))
         predict = fit_point_model(kind, fit, features, **params)
         named = lambda d: predict(d).withColumn("y", F.col("total_goals"))  # noqa: B023, E731
         alpha = fit_alpha(named(cal))

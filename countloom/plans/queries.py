@@ -483,10 +483,12 @@ def halves(df: DataFrame, share: float = 0.8) -> tuple[DataFrame, DataFrame]:
 
 @query()
 def model_holdout(spark, d):
-    """Errors of five models on the last fifth of the contests, fitted on the others."""
+    """Errors of five models, and of the training rows' mean, on the last fifth of the contests, fitted on the others."""
     df, cols = frame(spark, d)
     train, test = halves(df)
     fitted = {k: models.fit_point_model(k, train, cols) for k in ("poisson_glm", "ridge", "random_forest", "boosted_trees")} | {"stacked": studies.fit_stack(train, cols)}
+    mean = F.lit(float(train.agg(F.avg("total_goals")).first()[0]))
+    fitted["mean"] = lambda df: df.withColumn("mu", mean)
     each = [f(test).select(F.lit(k).alias("model"), "mu", F.col("total_goals").alias("y")) for k, f in fitted.items()]
     return rounded(scoring.point_metrics(reduce(DataFrame.unionByName, each), by=["model"]))
 
@@ -501,32 +503,30 @@ def feature_importance(spark, d):
 
 @query()
 def parameter_search(spark, d):
-    """Twenty trials of the ridge penalty over five folds."""
+    """Forty trials of boosted trees in six parameters, by successive halving over three folds."""
     df, cols = frame(spark, d)
-    return studies.random_search(df, "ridge", cols, models.fold_bounds(df.count()), {"alpha": (0.1, 100.0, "log")}).select("trial", r6(F.col("params")["alpha"]).alias("alpha"), r6("mae").alias("mae"), "rank")
+    found = studies.halving_search(df, cols, models.fold_bounds(df.count(), 3))
+    return found.select("trial", *[r6(F.col("params")[k]).alias(k) for k in studies.BOOSTED_SPACE], "round", r6("mae").alias("mae"), "rank")
 
 
 @query()
 def ablation_study(spark, d):
-    """All 79 features against all but one family, on the last fifth."""
+    """All 79 features against all but one family and against the team-strength model, over five folds."""
     df, cols = frame(spark, d, features.WINDOWS)
-    n = df.count()
-    return rounded(studies.ablation(df, "ridge", cols, [(int(0.8 * n), n)]))
+    return rounded(studies.ablation(df, "ridge", cols, models.fold_bounds(df.count())))
 
 
 @query()
 def locked_benchmark(spark, d):
-    """Gate, fixed hold-out, four candidates and their champion; without the fifth, which takes 120 fits of boosted trees to tune."""
+    """Gate, fixed hold-out, tuning of boosted trees in 40 trials, five candidates and their champion."""
     df, cols = frame(spark, d)
-    return studies.locked_benchmark(df, cols, tune_trials=0)
+    return studies.locked_benchmark(df, cols)
 
 
 @query()
 def team_strength_holdout(spark, d):
     """Team-strength and double-Poisson means of the last fifth of the contests, fitted on the others."""
-    g = models.indexed(games_view(spark, d)).persist()
-    cut = int(0.8 * g.count())
-    train, test = g.where(F.col("idx") < cut), g.where(F.col("idx") >= cut)
+    train, test = halves(written(models.indexed(games_view(spark, d)), "games"))
     ts = models.fit_point_model("team_strength", train, [])(test).select("game_pk", "total_goals", F.col("mu").alias("mu_team"))
     dp = models.fit_point_model("double_poisson", train, [])(test).select("game_pk", F.col("mu").alias("mu_double"))
     return rounded(ts.join(dp, "game_pk"))
@@ -535,7 +535,7 @@ def team_strength_holdout(spark, d):
 @query()
 def cross_validation(spark, d):
     """Fold metrics of the team-strength model under expanding-window validation."""
-    g = models.indexed(games_view(spark, d)).persist()
+    g = written(models.indexed(games_view(spark, d)), "games")
     return rounded(models.fold_metrics(models.evaluate(g, "team_strength", [], models.fold_bounds(g.count(), 5))))
 
 
