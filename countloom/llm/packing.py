@@ -34,6 +34,8 @@ from pyspark.sql import Window as W
 from .common import TEXTS_AT_ONCE, materialize
 
 WINDOW, END_ID = 1024, 0
+#: Sources without a target stand in so many groups, each a queue of the schedule; a tree within each tells its sources apart.
+GROUPS = 4096
 #: Entries of a worker's table of encoded words; it is emptied when full.
 _CACHE = 250_000
 #: Fixed value: how the byte-level pre-tokenizer cuts a text.
@@ -251,6 +253,14 @@ def cut(a: int, n: int, q: int, phases: list[Phase]) -> Iterator[tuple[int, int,
             yield from zip((s - a).tolist(), k.tolist(), seq.tolist(), off.tolist(), strict=True)
 
 
+def _inner_paths(t: pa.Table) -> pa.Table:
+    """The path of each source of a group in the group's own tree."""
+    t = t.sort_by("source")
+    n = t.column("n").to_pylist()
+    paths = _paths(dict(enumerate(n)))
+    return pa.table({"g": t.column("g"), "source": t.column("source"), "gives": t.column("n"), "inner": pa.array([list(paths[i]) for i in range(len(n))], pa.list_(pa.int64()))})
+
+
 _PIECES = "doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -288,7 +298,8 @@ def pack(docs: DataFrame, tokenizer: str, targets: dict[str, float] | None = Non
     the named ones are used up, and then go in proportion to their tokens.
     Without targets, each source's share is its part of all tokens, so that
     all queues end together. Every source has a queue of its own; the driver
-    holds one row for each source while it makes the schedule.
+    makes the schedule from the named sources and from at most 4096 groups of
+    the others, whose sources are told apart by trees that tasks make.
 
     A null text is empty (its end id alone), a null source is the empty one.
     Repeated rows are documents of their own; an empty table has no pieces.
@@ -299,12 +310,25 @@ def pack(docs: DataFrame, tokenizer: str, targets: dict[str, float] | None = Non
     schema = "doc_id long, source string, part long, start_in_part long, n long, ids binary"
     tokens = materialize(given.mapInArrow(_encode(tokenizer), schema), "tokens", TEXTS_AT_ONCE)
     parts = materialize(tokens.groupBy("source", "part").agg(F.sum("n").alias("n")), "parts")
-    lengths = {r["source"]: r["n"] for r in parts.groupBy("source").agg(F.sum("n").alias("n")).collect()}
-    queues = sorted(lengths)
-    wanted = [float(lengths[s]) if targets is None else targets.get(s, 0.0) for s in queues]
-    phases = schedule([lengths[s] for s in queues], wanted)
-    rows = [(queues[q], p.first, p.size, base, gives, list(path)) for p in phases for q, (base, gives, path) in p.of.items()]
-    plan = materialize(spark.createDataFrame(rows, "source string, first long, size long, base long, gives long, path array<long>"), "plan")
+    sizes = materialize(parts.groupBy("source").agg(F.sum("n").alias("n")).withColumn("g", F.pmod(F.xxhash64("source"), F.lit(GROUPS))), "sizes")
+    named = F.col("source").isin(list(targets or {}))
+    lengths = {(False, r["source"]): r["n"] for r in sizes.where(named).collect()} if targets else {}
+    rest = sizes.where(~named) if targets else sizes
+    lengths |= {(True, r["g"]): r["n"] for r in rest.groupBy("g").agg(F.sum("n").alias("n")).collect()}  # GROUPS rows at most
+    queues = sorted(lengths, key=str)
+    wanted = [float(lengths[q]) if targets is None else 0.0 if q[0] else targets[q[1]] for q in queues]
+    phases = schedule([lengths[q] for q in queues], wanted)
+    rows = [(*queues[q], p.first, p.size, base, gives, list(path)) for p in phases for q, (base, gives, path) in p.of.items()]
+    # A group gives all its tokens in one phase, the last, in which all queues end together; so do its sources.
+    if any(grouped and (base or gives != lengths[True, name]) for grouped, name, _, _, base, gives, _ in rows):
+        raise RuntimeError("a group of sources was cut by a phase")
+    kinds = "first long, size long, base long, gives long, path array<long>"
+    of_named = spark.createDataFrame([r[1:] for r in rows if not r[0]], f"source string, {kinds}")
+    of_groups = spark.createDataFrame([r[1:] for r in rows if r[0]], f"g long, {kinds}").drop("gives")
+    inner = rest.groupBy("g").applyInArrow(_inner_paths, "g long, source string, gives long, inner array<long>")
+    of_rest = inner.join(F.broadcast(of_groups), "g")  # GROUPS rows at most
+    of_rest = of_rest.select("source", "first", "size", "base", "gives", F.concat("path", "inner").alias("path"))
+    plan = materialize(of_named.unionByName(of_rest), "plan")
     # A row for each source and input partition: at most the partitions of one read for a source. The window orders them within a queue.
     order = W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     starts = parts.select("source", "part", "n", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))

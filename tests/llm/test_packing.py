@@ -98,5 +98,34 @@ def test_each_of_many_sources_keeps_its_share(spark):
     assert sum(r.length for r in got) == whole == sum({r.doc_id: r.doc_tokens for r in got}.values())
 
 
+@pytest.mark.parametrize("targets", [None, {"s3": 0.5, "absent": 0.5}])
+def test_groups_of_sources_keep_their_sources_apart(spark, targets, monkeypatch):
+    """With few groups, each of many sources; every one is still a queue of its own, and all tokens are given out once."""
+    monkeypatch.setattr(packing, "GROUPS", 3)
+    text = "some words of a text " * 30
+    rows = [(i, text * (1 + i % 3), "en", f"s{i % 40}", 1, "x", "y") for i in range(400)]
+    got = packing.pack(spark.createDataFrame(rows, DOCS).repartition(3), tokenizer_path(), targets).collect()
+    spans = sorted((r.sequence_id * packing.WINDOW + r.offset, r.length) for r in got)
+    assert [a for a, _ in spans] == np.cumsum([0, *[k for _, k in spans]])[:-1].tolist()
+    whole = sum(r.length for r in got)
+    assert whole == sum({r.doc_id: r.doc_tokens for r in got}.values())
+    total, of = Counter(), Counter()
+    for r in got:
+        total[r.source] += r.length
+        of[r.sequence_id, r.source] += r.length
+    if targets is None:
+        for seq in range(whole // packing.WINDOW):
+            assert all(abs(of[seq, s] - packing.WINDOW * n / whole) <= 6 for s, n in total.items()), seq
+    else:
+        assert of[0, "s3"] == packing.WINDOW
+
+
+def test_one_very_long_text(spark, tokenizer):
+    text = " ".join(f"w{i % 977}" for i in range(200_000))
+    got = packing.pack(spark.createDataFrame([(1, text, "en", "a", 1, "x", "y"), (2, "short", "en", "b", 1, "x", "y")], DOCS), tokenizer_path(), with_ids=True).collect()
+    ids = b"".join(r.ids for r in sorted((r for r in got if r.doc_id == 1), key=lambda r: r.start))
+    assert np.frombuffer(ids, "<u4").tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
+
+
 def test_empty(spark):
     assert packing.pack(spark.createDataFrame([], DOCS), tokenizer_path()).count() == 0
