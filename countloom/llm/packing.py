@@ -70,6 +70,8 @@ class Encoder:
         vocab, special = file["model"]["vocab"], {t["content"]: t["id"] for t in file.get("added_tokens", ())}
         of = _byte_of()
         ranks = {bytes(map(of.__getitem__, t)): i for t, i in vocab.items() if all(c in of for c in t) and t not in special}
+        if max([*vocab.values(), *special.values()]) > 65535:
+            raise ValueError(f"{path} has ids above 65535, which are kept in 16 bits")
         self.length = np.zeros(max(ranks.values()) + 1, np.int64)
         for t, i in ranks.items():
             self.length[i] = len(t)
@@ -303,7 +305,8 @@ def pack(docs: DataFrame, tokenizer: str, targets: dict[str, float] | None = Non
 
     A null text is empty (its end id alone), a null source is the empty one.
     Repeated rows are documents of their own; an empty table has no pieces.
-    Only the last sequence can be shorter than 1024.
+    Only the last sequence can be shorter than 1024. A vocabulary with ids
+    above 65535 is an error.
     """
     spark = docs.sparkSession
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source"), F.lit("")).alias("source"), "text")

@@ -127,5 +127,13 @@ def test_one_very_long_text(spark, tokenizer):
     assert np.frombuffer(ids, "<u4").tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
 
 
+def test_a_vocabulary_that_is_too_large(tmp_path):
+    import json
+
+    (tmp_path / "t.json").write_text(json.dumps({"model": {"vocab": {"a": 0, "b": 70_000}}}))
+    with pytest.raises(ValueError, match="above 65535"):
+        packing.Encoder(f"{tmp_path}/t.json")
+
+
 def test_empty(spark):
     assert packing.pack(spark.createDataFrame([], DOCS), tokenizer_path()).count() == 0
