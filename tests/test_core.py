@@ -100,6 +100,21 @@ def test_distributions(spark):
         assert abs(r.l - want) < 1e-12
 
 
+def test_distributions_are_plain_expressions(spark):
+    """A distribution runs no array function row by row, and scores of a known length are those of any length, nulls too."""
+    df = spark.createDataFrame([(0.0, 0), (2.5, 3), (900.0, 25), (6.0, None), (None, 2)], "mu double, y int")
+    for pmf in (dist.poisson_pmf(F.col("mu")), dist.nb2_pmf(F.col("mu"), 0.4)):
+        plan = df.select(pmf.alias("p"))._jdf.queryExecution().optimizedPlan().toString()
+        assert "lambda" not in plan and "aggregate(" not in plan
+        held = df.select("y", pmf.alias("p"))
+        assert all(abs(sum(r.p) - 1) < 1e-12 for r in held.collect())
+        p, y = F.col("p"), F.col("y")
+        for a, b in held.select(F.struct(dist.crps(p, y), dist.quantile(p, 0.9)), F.struct(dist.crps(p, y, 20), dist.quantile(p, 0.9, 20))).collect():
+            assert tuple(a) == tuple(b)
+    none = spark.createDataFrame([(None, 1)], "p array<double>, y int")
+    assert tuple(none.select(dist.crps(F.col("p"), F.col("y"), 20), dist.quantile(F.col("p"), 0.5, 20)).first()) == (None, None)
+
+
 def test_dispersion_fit(spark):
     df = spark.createDataFrame([(y, 4.0) for y in [0, 0, 1, 1, 2, 3, 4, 6, 9, 14] * 5], "y int, mu double")
     assert 0.3 < models.fit_alpha(df) < 3
