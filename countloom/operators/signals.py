@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 from .rolling import CHUNK, before, own, rolling_ratio, spread
 
 XG_KEY = ["season", "date", "team", "opponent"]
@@ -50,7 +51,7 @@ def goalie_form(starters: DataFrame, side: str, window: int = 10, min_starts: in
 
 def add_goalies(games: DataFrame, starters: DataFrame, window: int = 10, min_starts: int = 3) -> DataFrame:
     """Contests with both starters' form; those without boxscore keep nulls."""
-    dated = starters.join(games.select("game_pk", "date"), "game_pk")
+    dated = written(starters.join(games.select("game_pk", "date"), "game_pk"), "starters")  # read for each side, and for its count
     for side in ("home", "away"):
         games = games.join(goalie_form(dated, side, window, min_starts), "game_pk", "left")
     return games
