@@ -52,6 +52,21 @@ def test_single_chunk_needs_no_ranks(spark):
     assert rolling.spread(log.limit(0)).count() == 0
 
 
+def test_chunks_by_days_neither_sort_nor_write_the_table(spark, monkeypatch):
+    """Chunks begin with a date and give the same windows; only a date longer than a chunk is numbered row by row."""
+    log = tables.team_log(league(spark, 120)).persist()
+    features = lambda df: sorted(map(str, rolling.own(rolling.streak(rolling.played_and_rest(rolling.rolling_means(df, 6)))).select("game_pk", "team", "avg_gf", "games_played", "rest_days", "win_streak").collect()))
+    want = features(log)
+    called = []
+    monkeypatch.setattr(rolling, "number_rows", lambda *a, **k: called.append(1) or numbering.number_rows(*a, **k))
+    for size in (7, 20):
+        held = rolling.spread(log, halo=6, size=size)
+        assert features(held) == want and held.groupBy("team", "__chunk").agg(F.count_if("__own").alias("n")).agg(F.max("n")).first()[0] < 2 * size
+    assert not called
+    one_day = log.withColumn("date", F.lit(dt.date(2024, 1, 1)))
+    assert features(rolling.spread(one_day, halo=6, size=7)) == features(one_day) and called == [1]
+
+
 def test_goalie_interactions(spark):
     df = spark.createDataFrame([(0.9, 0.8, 3.0, 2.0)], "home_goalie_sv_pct double, away_goalie_sv_pct double, home_avg_gf double, away_avg_gf double")
     r = signals.goalie_interactions(df).first()
