@@ -36,10 +36,8 @@ MIN_WORDS = 4
 MIN_COVERAGE = 0.5
 #: ... or so many of them in one aligned stretch, however long the item is.
 MIN_ALIGNED = 13
-#: A window in more different items than this belongs to what they share, such as a prompt ...
+#: A window in more different items than this belongs to what they share, such as a prompt; an item that has no other is looked up by all of its own.
 SHARED = 20
-#: ... and an item all of whose windows are such is looked up by so many of its rarest.
-RAREST = 8
 #: Most words of benchmark text whose seeds are sent to every task: about 330 bytes a word.
 BLOCK_WORDS = 200_000
 #: Bits of the Bloom filter for each seed, and the most bits in all (64 MB); a fuller filter only lets more windows through.
@@ -125,14 +123,11 @@ class Block:
             for k, p in zip(item[n > SHARED].tolist(), at[n > SHARED].tolist(), strict=True):
                 self.own[k][p : p + len(mask)] = False
             looked_up += np.bincount(item[n <= SHARED], minlength=len(looked_up))
-        few = [[(int(n[j]), m, int(j)) for m, (_, _, item, _, n) in enumerate(seeds) for j in np.flatnonzero(item == k)] for k in np.flatnonzero(looked_up == 0)]
-        rarest = {(m, j) for each in few for _, m, j in sorted(each)[:RAREST]}
         for own in self.own:
             own[:] |= not own.any()
         self.tables = []
-        for m, (mask, keys, item, at, n) in enumerate(seeds):
-            use = n <= SHARED
-            use[[j for t, j in rarest if t == m]] = True
+        for mask, keys, item, at, n in seeds:
+            use = (n <= SHARED) | (looked_up[item] == 0)
             keys, item, at = keys[use], item[use], at[use]
             order = np.argsort(keys, kind="stable")
             keys = keys[order]
@@ -268,17 +263,15 @@ def own_words(n: int, spans: list[tuple[int, int]]) -> np.ndarray:
 def _lookups(seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The seeds that find items (hash, item, at), and each item's shared windows (of, spans).
 
-    A seed is one in at most SHARED items; an item without such a one has its RAREST rarest.
+    A seed is one in at most SHARED items; an item without such a one has all of its own.
     """
     counts = materialize(seeds.groupBy(F.col("hash").alias("key")).agg(F.count_distinct("item").alias("n"), F.count("*").alias("rows")), "seed-counts")
     counted = materialize(join_counted(seeds, counts, "hash", "key", "rows", seeds.count()).select("hash", "item", "at", "span", "n"), "counted-seeds")
     spans = counted.where(F.col("n") > SHARED).groupBy(F.col("item").alias("of")).agg(F.collect_set(F.struct("at", "span")).alias("spans"), F.count("*").alias("shared"))
     alone = counted.groupBy(F.col("item").alias("all")).agg(F.count("*").alias("seeds"))
     spans = materialize(spans.join(alone, F.col("of") == F.col("all")).select("of", "spans", (F.col("shared") == F.col("seeds")).alias("only")), "shared-windows")
-    # An item's seeds are some six to a word, so what is collected is bounded by the item.
-    rest = counted.join(spans.where("only").select("of"), F.col("item") == F.col("of"), "left_semi").groupBy("item").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "hash", "at"))), 1, RAREST).alias("few"))
-    rest = rest.select(F.explode("few").alias("f"), "item").select("f.hash", "item", "f.at")
-    return counted.where(F.col("n") <= SHARED).select("hash", "item", "at").unionByName(rest), spans.select("of", "spans")
+    rest = counted.join(spans.where("only").select("of"), F.col("item") == F.col("of"), "left_semi")
+    return counted.where(F.col("n") <= SHARED).unionByName(rest).select("hash", "item", "at"), spans.select("of", "spans")
 
 
 def _filter_places(h: np.ndarray, bits: int) -> list[np.ndarray]:

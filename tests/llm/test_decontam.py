@@ -199,3 +199,15 @@ def test_a_shared_prompt_leaks_nothing(spark, block_words):
     assert {k: v for k, v in found.items() if k < 200} == {100 + i: {i} for i in range(5)}
     assert 1001 in found[200] and found[300] == {7}
     assert len(got) < 1200  # the template's items among themselves, and no item by its prompt
+
+
+@pytest.mark.parametrize("block_words", [0, 10**9])
+def test_an_item_without_rare_windows_is_found_by_any_of_them(spark, block_words):
+    """The document has most words of a template, but none of the windows that the fewest items share."""
+    rng = random.Random(5)
+    some = lambda n: " ".join(rng.choices([f"v{i}" for i in range(5000)], k=n))
+    a, b, c = some(12), some(12), some(12)
+    items = [(i, f"{a} x{i // 25} {b} y{i % 25} {c}") for i in range(625)]
+    docs = [(1, f"{some(20)} {b} z {c} {some(20)}"), (2, f"{some(20)} {b[: len(b) // 2]} {some(20)}")]
+    got = decontam.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_words=block_words).collect()
+    assert sorted((r.doc_id, r.item_id, r.matched_words) for r in got) == [(1, i, 24) for i in range(625)]
