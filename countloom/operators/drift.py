@@ -50,13 +50,19 @@ def _parts(counts: str, n: str) -> Column:
 
 def references(df: DataFrame, columns: list[str], bins: int = 10) -> DataFrame:
     """A reference of each column; fractions are null where there are less than two finite values."""
+    return references_and_medians(df, columns, bins)[0]
+
+
+def references_and_medians(df: DataFrame, columns: list[str], bins: int = 10) -> tuple[DataFrame, dict[str, float]]:
+    """The references, and the median of each column that has a finite value, from the same passes."""
     spark = df.sparkSession
     held = written(df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns]), "reference")
-    found = order_stats.select(held, {c: [i / bins for i in range(bins + 1)] for c in columns})
-    edges = spark.createDataFrame([(c, inner_edges(found["", c][1]) if ("", c) in found else []) for c in columns], "name string, inner array<double>")
+    found = order_stats.select(held, {c: [*[i / bins for i in range(bins + 1)], 0.5] for c in columns})
+    edges = spark.createDataFrame([(c, inner_edges(found["", c][1][:-1]) if ("", c) in found else []) for c in columns], "name string, inner array<double>")
     counts = _counts(long_of(held, columns), edges).withColumnRenamed("name", "of")
     out = edges.join(counts, F.col("name") == F.col("of"), "left")
-    return out.select("name", F.coalesce("n", F.lit(0)).alias("n"), "inner", F.when(F.col("n") >= 2, _parts("counts", "n")).alias("fractions"))
+    out = out.select("name", F.coalesce("n", F.lit(0)).alias("n"), "inner", F.when(F.col("n") >= 2, _parts("counts", "n")).alias("fractions"))
+    return out, {c: float(found["", c][1][-1]) for c in columns if ("", c) in found}
 
 
 def status(psi: Column) -> Column:

@@ -82,9 +82,9 @@ def release(df: DataFrame, kind: str, features: list[str], metrics: dict[str, fl
         model = studies.fit_stack_pipeline(df, used, target=target, **parameters)
     else:
         model = models.fit_pipeline(kind, df, used, target, **parameters)
-    fills = {k: v for k, v in tables.medians(df, used).first().asDict().items() if v is not None} if used else {}
     seen = model.transform(df).select(F.col("mu").alias(FORECAST), *used)
-    references = written(drift.references(seen, [FORECAST, *used]), "references")
+    references, medians = drift.references_and_medians(seen, [FORECAST, *used])
+    references, fills = written(references, "references"), {c: medians[c] for c in used if c in medians}
     print_of = tables.fingerprint(df, ["game_pk", "date", "home_team", "away_team", target]).first()[0]
     n, first, last = df.agg(F.count("*"), F.min("date").cast("string"), F.max("date").cast("string")).first()
     name = f"{kind}-{print_of[:12]}"

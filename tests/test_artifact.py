@@ -87,3 +87,15 @@ def test_serving_logs_what_the_model_read(spark):
     seen = {r.name: r for r in ledger.feature_drift(out.withColumn("predicted_at", F.col("date")), made.references).collect()}
     assert set(seen) == {artifact.FORECAST, *cols} and all(x.n_recent == 40 and x.psi >= 0 for x in seen.values())
     assert studies.top_features(spark.createDataFrame([(0, "a", 1.0)], "season int, feature string, importance double"), 1).count() == 1
+
+
+def test_a_release_reads_quantiles_once(spark, monkeypatch):
+    """The medians come from the passes of the references, and are those of the columns by themselves."""
+    from countloom.operators import drift, order_stats, tables
+
+    df = spark.range(101).select((F.col("id") * F.col("id") % 37).cast("double").alias("a"), F.when(F.col("id") % 3 > 0, F.col("id") / 7).alias("b"), F.lit(None).cast("double").alias("c"))
+    want, calls, select = tables.medians(df, ["a", "b", "c"]).first().asDict(), [], order_stats.select
+    monkeypatch.setattr(order_stats, "select", lambda *a, **k: calls.append(1) or select(*a, **k))
+    refs, medians = drift.references_and_medians(df, ["a", "b", "c"])
+    assert medians == {k: v for k, v in want.items() if v is not None} and calls == [1]
+    assert sorted(map(str, refs.collect())) == sorted(map(str, drift.references(df, ["a", "b", "c"]).collect()))
