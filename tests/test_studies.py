@@ -37,6 +37,20 @@ def test_stack_is_no_worse_than_the_mean(spark):
     assert err < 0.8 * mean_err
 
 
+def test_team_strength_is_fitted_on_pairs(spark):
+    """The fit reads pairs of teams and counts, and gives the coefficients of the fit on all contests."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.regression import GeneralizedLinearRegression
+
+    df = contests(spark)
+    made = models.team_strength(df)
+    whole = GeneralizedLinearRegression(family="poisson", link="log", labelCol="total_goals", regParam=1.0 / df.agg(F.avg("total_goals")).first()[0], featuresCol="x", predictionCol="mu")
+    whole = Pipeline(stages=[*made.stages[:3], whole]).fit(df)
+    mu = lambda m: [r.mu for r in m.transform(df).orderBy("game_pk").select("mu").collect()]
+    assert max(abs(a - b) for a, b in zip(mu(made), mu(whole), strict=True)) < 1e-7
+    assert made.stages[-1].summary.numInstances < df.count()
+
+
 def test_mixture_fit(spark):
     wide = spark.createDataFrame([(y, 4.0) for y in (0, 1, 1, 2, 2, 8, 9, 9, 10, 12)] * 4, "y int, mu double")
     weight, multiplier = models.fit_mixture(wide)
