@@ -83,3 +83,22 @@ def test_names(spark):
     assert got == ["St. Louis Blues", "Boston Bruins", "new york", None]
     assert [r[0] for r in spark.createDataFrame([(None,), (-3.0,), (2.0,), (0.0,)], "d double").select(scalars.rest_bucket(F.col("d"))).collect()] == ["unknown", "away_rested", "home_rested", "even"]
     assert src.DONE and GAMES and dt.date
+
+
+def test_tasks_follow_the_rows(spark, monkeypatch):
+    """More rows are more tasks, not larger ones, in numbering, windows and in the groups that bring both sides together; the rows stay."""
+    from countloom.plans import features
+    from countloom.sources import shared
+
+    games = spark.range(3000).select(F.col("id").alias("game_pk"), F.lit(2024).alias("season"), F.date_add(F.lit("2024-01-01"), (F.col("id") / 10).cast("int")).alias("date"), F.concat(F.lit("T"), F.pmod("id", F.lit(5))).alias("home_team"), F.concat(F.lit("U"), F.pmod("id", F.lit(7))).alias("away_team"), F.pmod("id", F.lit(4)).cast("int").alias("home_score"), F.pmod("id", F.lit(3)).cast("int").alias("away_score"))
+    games = games.withColumn("total_goals", F.col("home_score") + F.col("away_score"))
+    digest = lambda df: df.agg(F.sum(F.xxhash64(*[F.round(c, 9) if t == "double" else F.col(c) for c, t in sorted(df.dtypes)]).cast("decimal(38,0)"))).first()[0]
+    want = digest(rolling.chronological_index(features.add_features(games)))
+    monkeypatch.setattr(shared, "TASK_ROWS", 300)
+    assert features.add_features(games).rdd.getNumPartitions() == 20
+    log = shared.written(features.tables.team_log(games), "log")
+    chunks = rolling.spread(log, halo=20, size=100)
+    assert "__chunk" in chunks.columns and chunks.rdd.getNumPartitions() == 20
+    plan = rolling.streak(rolling.played_and_rest(chunks))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan
+    assert digest(rolling.chronological_index(features.add_features(games))) == want
