@@ -63,3 +63,31 @@ def test_locked_benchmark_refuses_wrong_totals(spark):
     df = rolling.chronological_index(contests(spark)).withColumn("total_goals", F.col("total_goals") + (F.col("game_pk") == 3).cast("int"))
     with pytest.raises(ValueError, match="1 totals differ"):
         studies.locked_benchmark(df, ["strong"])
+
+
+def test_linear_importance_is_that_of_the_model(spark):
+    """Sums of products give MLlib's ridge regression, and its permutation importance without running it."""
+    from countloom.plans import linear
+
+    df = contests(spark).withColumn("same", F.lit(2.0))
+    cols = ["strong", "idle", "same"]
+    line = linear.products(df, cols).ridge([0], cols)
+    predict = models.fit_point_model("ridge", df, cols)
+    off = predict(df).agg(F.max(F.abs(F.col("mu") - F.greatest(line.raw(), F.lit(1e-9))))).first()[0]
+    assert off < 1e-7
+    rows = lambda found: {r.feature: (r.importance, r.deviation) for r in found.collect()}
+    a, b = rows(studies.permutation_importance(predict, df, cols, repeats=3)), rows(studies.linear_importance(line, df, cols, repeats=3))
+    assert a.keys() == b.keys() and all(abs(x - y) < 1e-7 for f in cols for x, y in zip(a[f], b[f], strict=True))
+
+
+def test_ridge_ablation_is_that_of_single_fits(spark, monkeypatch):
+    """All scenarios and folds from one table of sums score as evaluate does fold by fold, and fit no ridge."""
+    df, cols = rolling.chronological_index(contests(spark, 480)).persist(), ["strong", "idle"]
+    bounds, families = [(240, 360), (360, 480)], {"without_strong": "^strong$"}
+    names = ("mae", "crps", "dist_nll", "over_brier")
+    want = {k: models.fold_metrics(models.evaluate(df, "ridge", kept, bounds)).agg(*[F.avg(c).alias(c) for c in names]).first() for k, kept in (("full", cols), ("without_strong", ["idle"]))}
+    fitted = models.fit_point_model
+    monkeypatch.setattr(models, "fit_point_model", lambda kind, *a, **k: fitted(kind, *a, **k) if kind != "ridge" else 1 / 0)
+    got = {r.scenario: r for r in studies.ablation(df, "ridge", cols, bounds, families).collect()}
+    assert [*got] == ["full", "without_strong", "team_strength"]
+    assert all(abs(got[k][c] - want[k][c]) < 1e-9 for k in want for c in names)
