@@ -91,3 +91,21 @@ def test_ridge_ablation_is_that_of_single_fits(spark, monkeypatch):
     got = {r.scenario: r for r in studies.ablation(df, "ridge", cols, bounds, families).collect()}
     assert [*got] == ["full", "without_strong", "team_strength"]
     assert all(abs(got[k][c] - want[k][c]) < 1e-9 for k in want for c in names)
+
+
+def test_search_keeps_its_folds_in_memory(spark, monkeypatch):
+    """The fits of a search read a fold's vectors from memory, largest fits first, and nothing stays there."""
+    df, seen, fitted = rolling.chronological_index(contests(spark)), [], models.fit_on_vectors
+
+    def fit(kind, train, **params):
+        seen.append((train.storageLevel.useMemory, params["trees"] * params["depth"]))
+        return fitted(kind, train, **params)
+
+    monkeypatch.setattr(models, "fit_on_vectors", fit)
+    space = {"depth": (1, 3, "int"), "trees": (9, 40, "int")}
+    before = spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    studies.halving_search(df, ["strong", "idle"], [(180, 240)], space, trials=3, at_once=1)
+    assert all(kept for kept, _ in seen) and len(seen) == 5
+    drawn = studies.draw_trials(space, 3)
+    assert [work for _, work in seen[:3]] == [max(1, round(p["trees"] / 9)) * p["depth"] for p in sorted(drawn, key=lambda p: -p["trees"] * p["depth"])]
+    assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() == before
