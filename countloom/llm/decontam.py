@@ -25,7 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_counted, materialize
+from .common import TEXTS_AT_ONCE, join_counted, materialize
 
 #: The masks; 1 marks a position that counts.
 MASKS = ("1110111", "11011011", "110100111", "1011010011", "1100110101", "10110100111")
@@ -427,5 +427,5 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_
     """docs without the documents that leak an item, found by doc_id and text; null ids count as one id."""
     names = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("th"))
-    bad = materialize(_find(docs, benchmark, min_coverage).select(F.col("doc_id").alias("bad"), "text_hash").distinct(), "leaks")
+    bad = materialize(_find(docs, benchmark, min_coverage).select(F.col("doc_id").alias("bad"), "text_hash").distinct(), "leaks", TEXTS_AT_ONCE)
     return rows.join(bad, F.col("id").eqNullSafe(F.col("bad")) & (F.col("th") == F.col("text_hash")), "left_anti").select("row.*")

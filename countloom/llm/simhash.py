@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, join_counted, materialize, spark_partitions
+from .common import TEXTS_AT_ONCE, discard, join_counted, materialize, spark_partitions
 
 SHINGLE, MAX_BITS = 4, 4
 MIN_BYTES = 8 - MAX_BITS
@@ -215,7 +215,7 @@ def group_documents(docs: DataFrame) -> DataFrame:
     ids of the component are null (then null). Equal fingerprints meet first,
     so a group of copies of any size is one node.
     """
-    rows = materialize(fingerprints(docs), "fingerprints")
+    rows = materialize(fingerprints(docs), "fingerprints", TEXTS_AT_ONCE)
     nodes = _nodes(rows)
     named = nodes.groupBy(F.col("root").alias("r")).agg(F.min("first_id").alias("component_id"), F.count("*").alias("nodes"))
     names = join_counted(nodes, named, "root", "r", "nodes", nodes.count())
@@ -231,7 +231,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Of rows equal in doc_id and text, one stays. What goes is found on ids and
     hashes alone; whole rows move only where a row that stays is repeated.
     """
-    rows = materialize(fingerprints(docs), "fingerprints")
+    rows = materialize(fingerprints(docs), "fingerprints", TEXTS_AT_ONCE)
     nodes = _nodes(rows).select(F.col("fp").alias("node"), F.col("n").alias("of_node"), "root")
     # Rows equal in id and text have one fingerprint, so a key belongs to one component.
     keys = rows.groupBy("doc_id", "text_hash", "fp").agg(F.count("*").alias("times"))

@@ -1,7 +1,9 @@
+import os
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from countloom.llm import packing
@@ -137,3 +139,57 @@ def test_a_vocabulary_that_is_too_large(tmp_path):
 
 def test_empty(spark):
     assert packing.pack(spark.createDataFrame([], DOCS), tokenizer_path()).count() == 0
+
+
+def test_tasks_that_cut_get_few_documents_at_once(spark, monkeypatch):
+    cut, most = packing._cut, packing.TEXTS_AT_ONCE
+
+    def watched(with_ids):
+        run = cut(with_ids)
+
+        def few(batches):
+            for b in batches:
+                assert b.num_rows <= most
+                yield b
+
+        return lambda batches: run(few(batches))
+
+    monkeypatch.setattr(packing, "_cut", watched)
+    df = spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "concat('some words of ', id) AS text", "'a' AS source")
+    assert packing.pack(df, tokenizer_path()).select("doc_id").distinct().count() == 3000
+
+
+def test_the_schedule_starts_no_python_tasks_of_its_own(spark, monkeypatch):
+    df = spark.range(20).selectExpr("id AS doc_id", "concat('some words of ', id) AS text", "concat('s', id % 3) AS source")
+    targets = {"s1": 0.5, "absent": 0.5}
+    usual = sorted(packing.pack(df, tokenizer_path(), targets).collect())
+
+    def none(*args, **kwargs):
+        raise AssertionError("rows went through Python tasks")
+
+    monkeypatch.setattr(spark.sparkContext, "parallelize", none)
+    assert sorted(packing.pack(df, tokenizer_path(), targets).collect()) == usual
+    packing.pack(df, tokenizer_path()).collect()
+
+
+def test_ids_that_are_cut_do_not_stay(spark):
+    from urllib.parse import urlparse
+
+    df = spark.range(20).selectExpr("id AS doc_id", "concat('some words of ', id) AS text", "'a' AS source")
+    folder = urlparse(spark.conf.get("spark.checkpoint.dir")).path
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    got = packing.pack(df, tokenizer_path())
+    assert not any(x.startswith("tokens-") for x in set(os.listdir(folder)) - before)
+    assert sum(r.length for r in got.collect()) == sum({r.doc_id: r.doc_tokens for r in got.collect()}.values())
+
+
+def test_encoded_words_do_not_stay_in_the_worker(spark):
+    words = " ".join(f"w{i}" for i in range(500))
+
+    def known(batches):
+        rows = sum(b.num_rows for b in packing._encode(path)(batches))
+        yield pa.RecordBatch.from_arrays([pa.array([rows, len(packing._encoder(path).known)], pa.int64())], ["n"])
+
+    path = tokenizer_path()
+    df = spark.range(0, 5, 1, 1).selectExpr("id AS doc_id", "'a' AS source", f"'{words}' AS text")
+    assert [r.n for r in df.mapInArrow(known, "n long").collect()] == [5, 0]
