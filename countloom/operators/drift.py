@@ -8,11 +8,15 @@ model; recent rows are counted against all of them in one grouped pass.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
-from . import order_stats
+from . import arrays, order_stats
 
 #: Where drift is moderate and significant, and the least part of a bin.
 DRIFT_MODERATE, DRIFT_SIGNIFICANT, EPS = 0.10, 0.25, 1e-6
@@ -41,7 +45,28 @@ def _counts(long: DataFrame, edges: DataFrame) -> DataFrame:
     finite = long.where(F.col("x").isNotNull() & ~F.isnan("x") & (F.abs("x") != float("inf")))
     # edges: a row for each reference.
     held = finite.join(F.broadcast(edges.select("name", "inner")), "name").groupBy("name", bucket_of(F.col("x"), F.col("inner")).alias("bin")).agg(F.count("*").alias("c"))
-    return held.groupBy("name").agg(F.sum("c").alias("n"), F.map_from_entries(F.collect_list(F.struct("bin", "c"))).alias("counts"))
+    return _by_name(held)
+
+
+def _by_name(bins: DataFrame) -> DataFrame:
+    return bins.groupBy("name").agg(F.sum("c").alias("n"), F.map_from_entries(F.collect_list(F.struct("bin", "c"))).alias("counts"))
+
+
+def _counts_of(df: DataFrame, columns: list[str], inner: dict[str, list[float]]) -> DataFrame:
+    """As _counts, of columns: each task counts the finite values of all of them by their inner edges."""
+    edges = [np.array(inner[c], float) for c in columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = [np.zeros(len(e) + 1, np.int64) for e in edges]
+        for table in arrays.held(batches, order_stats.BLOCK):
+            for of, e, v in zip(total, edges, np.ascontiguousarray(arrays.matrix(table.column(0).combine_chunks(), len(edges)).T), strict=True):
+                of += np.bincount(np.searchsorted(e, v[np.isfinite(v)], side="right"), minlength=len(of))
+        for c, of in zip(columns, total, strict=True):
+            at = np.flatnonzero(of)
+            yield pa.RecordBatch.from_pydict({"name": pa.array([c] * len(at), pa.string()), "bin": at.astype(np.int32), "c": of[at]})
+
+    found = df.select(arrays.row_of(columns)).mapInArrow(run, "name string, bin int, c long")
+    return _by_name(found.groupBy("name", "bin").agg(F.sum("c").alias("c")))
 
 
 def _parts(counts: str, n: str) -> Column:
@@ -58,8 +83,9 @@ def references_and_medians(df: DataFrame, columns: list[str], bins: int = 10) ->
     spark = df.sparkSession
     held = written(df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns]), "reference")
     found = order_stats.select(held, {c: [*[i / bins for i in range(bins + 1)], 0.5] for c in columns})
-    edges = spark.createDataFrame([(c, inner_edges(found["", c][1][:-1]) if ("", c) in found else []) for c in columns], "name string, inner array<double>")
-    counts = _counts(long_of(held, columns), edges).withColumnRenamed("name", "of")
+    inner = {c: inner_edges(found["", c][1][:-1]) if ("", c) in found else [] for c in columns}
+    edges = spark.createDataFrame([*inner.items()], "name string, inner array<double>")
+    counts = _counts_of(held, columns, inner).withColumnRenamed("name", "of")
     out = edges.join(counts, F.col("name") == F.col("of"), "left")
     out = out.select("name", F.coalesce("n", F.lit(0)).alias("n"), "inner", F.when(F.col("n") >= 2, _parts("counts", "n")).alias("fractions"))
     return out, {c: float(found["", c][1][-1]) for c in columns if ("", c) in found}
@@ -75,7 +101,17 @@ def stability(recent: DataFrame, reference: DataFrame) -> DataFrame:
     psi is null and the status unavailable where the reference has no bins or
     there are less than two recent finite values.
     """
-    counts = _counts(recent, reference).select(F.col("name").alias("of"), F.col("n").alias("n_recent"), "counts")
+    return _stability(_counts(recent, reference), reference)
+
+
+def stability_of(recent: DataFrame, columns: list[str], reference: DataFrame) -> DataFrame:
+    """As stability, for the columns of recent that have a reference."""
+    inner = {r["name"]: r["inner"] for r in reference.collect()}  # a row a column
+    return _stability(_counts_of(recent, [c for c in columns if c in inner], inner), reference)
+
+
+def _stability(counts: DataFrame, reference: DataFrame) -> DataFrame:
+    counts = counts.select(F.col("name").alias("of"), F.col("n").alias("n_recent"), "counts")
     out = reference.join(counts, F.col("name") == F.col("of"), "left")
     at_least = lambda x: F.greatest(x, F.lit(EPS))
     terms = F.zip_with(_parts("counts", "n_recent"), "fractions", lambda p, q: (at_least(p) - at_least(q)) * F.ln(at_least(p) / at_least(q)))

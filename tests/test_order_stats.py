@@ -67,3 +67,16 @@ def test_radius_medians_and_edges(spark):
     assert tuple(tables.medians(df, ["a", "b"]).first()) == (49.5, pytest.approx(np.median([i / 7 for i in range(0, 100, 3)])))
     assert tables.medians(df.limit(0), ["a"]).first().a is None
     assert scoring.histogram_reference(df, "a", 4).first().inner == [24.75, 49.5, 74.25]
+
+
+def test_no_pass_has_a_row_for_each_value(spark, monkeypatch):
+    """All columns of a row come to Python together: neither quantiles nor drift explode them, and drift is that of name and value."""
+    from countloom.operators import drift
+
+    df = spark.range(2000).select(*[((F.col("id") * (i + 3) % 1999) / 3.0).alias(f"c{i}") for i in range(9)], F.when(F.col("id") % 2 == 0, F.col("id").cast("double")).alias("half"))
+    cols = df.columns
+    late = df.where("c0 > 100")
+    want = [tuple(r) for r in drift.stability(drift.long_of(late, cols), drift.references(df, cols)).orderBy("name").collect()]
+    monkeypatch.setattr(F, "explode", lambda *a: 1 / 0)
+    assert [tuple(r) for r in drift.stability_of(late, cols, drift.references(df, cols)).orderBy("name").collect()] == want
+    assert order_stats.select(df, {"half": [0.5]})["", "half"] == (1000, [999.0])
