@@ -13,12 +13,13 @@ import json
 from dataclasses import asdict, dataclass, field
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import drift, scoring, tables
 from ..sources.shared import written
-from . import models, studies
+from . import linear, models, studies
 
 #: Name of the forecasts among the references.
 FORECAST = "predicted_total_goals"
@@ -80,6 +81,9 @@ def release(df: DataFrame, kind: str, features: list[str], metrics: dict[str, fl
     used = [] if kind in GAME_FRAME else list(features)
     if kind == "stacked":
         model = studies.fit_stack_pipeline(df, used, target=target, **parameters)
+    elif kind == "ridge":
+        line = linear.products(df, used, target=target).ridge([0], used, **parameters)
+        model = PipelineModel(stages=[SQLTransformer(statement=f"SELECT *, greatest({line.sql()}, 1e-9D) AS mu FROM __THIS__")])
     else:
         model = models.fit_pipeline(kind, df, used, target, **parameters)
     seen = model.transform(df).select(F.col("mu").alias(FORECAST), *used)
@@ -93,11 +97,13 @@ def release(df: DataFrame, kind: str, features: list[str], metrics: dict[str, fl
 
 def calibrate(artifact: Artifact, history: DataFrame, fraction: float = 0.2, q: float = 0.9, target: str = "total_goals") -> tuple[float, float | None]:
     """NB2 dispersion and conformal radius of the artifact's forecasts on the last rows of the history that have all features and a result."""
-    complete = written(models.indexed(history.na.drop(subset=[*artifact.metadata.features, target])), "history")
-    n = complete.count()
+    complete = history.na.drop(subset=[*artifact.metadata.features, target])
+    placed = models.indexed(complete.select("game_pk", "date"))  # the features are not sorted with their rows
+    n = placed.count()
     if not n:
         raise ValueError("no row of the history has all features and a result")
-    last = complete.where(F.col("idx") >= n - max(1, int(fraction * n)))
+    last = placed.where(F.col("idx") >= n - max(1, int(fraction * n))).select(F.col("game_pk").alias("__id"), F.col("date").alias("__day"))
+    last = complete.join(last, F.col("game_pk").eqNullSafe(F.col("__id")) & F.col("date").eqNullSafe(F.col("__day")), "left_semi")
     held = written(artifact.predict(last).select(F.col(target).alias("y"), "mu"), "calibration")
     radius = scoring.higher_quantile(held.select(F.abs(F.col("y") - F.col("mu")).alias("e")), "e", q).first()["radius"]
     return models.fit_alpha(held), radius

@@ -99,3 +99,15 @@ def test_a_release_reads_quantiles_once(spark, monkeypatch):
     refs, medians = drift.references_and_medians(df, ["a", "b", "c"])
     assert medians == {k: v for k, v in want.items() if v is not None} and calls == [1]
     assert sorted(map(str, refs.collect())) == sorted(map(str, drift.references(df, ["a", "b", "c"]).collect()))
+
+
+def test_a_ridge_is_released_from_sums_of_products(spark, monkeypatch):
+    """No vectors and no MLlib fit, and MLlib's forecasts."""
+    from countloom.plans import artifact, models
+    from tests.test_studies import contests
+
+    df, cols = contests(spark), ["strong", "idle"]
+    want = [r.mu for r in models.fit_point_model("ridge", df, cols)(df).orderBy("game_pk").select("mu").collect()]
+    monkeypatch.setattr(models, "estimator", lambda *a, **k: 1 / 0)
+    got = [r.mu for r in artifact.release(df, "ridge", cols, alpha=1.0).predict(df).orderBy("game_pk").select("mu").collect()]
+    assert max(abs(a - b) for a, b in zip(want, got, strict=True)) < 1e-7
